@@ -130,7 +130,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(m / query_rows))
     dim = F.size("embedding").alias("dim")
     left = good.select("vec_id", "embedding", dim, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = asked.select("vec_id", "embedding", dim, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"))
+    right = asked.select("vec_id", "embedding", dim, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
 
     def search(key, data: pa.Table, asks: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})

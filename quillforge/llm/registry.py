@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillforge.llm.media import media_digest
 from quillforge.llm.mixing import mix_query
 from quillforge.llm.nearest import nearest_query
+from quillforge.llm.neardup import near_duplicates
 from quillforge.llm.quality import quality_query
 from quillforge.llm.spans import spans_query
 from quillforge.llm.windows import windows_query
@@ -25,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op2_vantage_nearest": lambda spark, sf_dir: nearest_query(table(spark, sf_dir, "embeddings")),
     "op4_countmin_windows": _documents(windows_query),
     "op5_ogg_media": _documents(media_digest),
+    "op7_hyperminhash": _documents(near_duplicates),
     "op8_budget_mix": _documents(mix_query),
     "op9_quality": lambda spark, sf_dir: quality_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_suffix_spans": _documents(spans_query),

@@ -10,8 +10,10 @@ from quillforge.llm.media import media_digest
 from quillforge.llm.mixing import mix_query
 from quillforge.llm.nearest import nearest_query
 from quillforge.llm.neardup import near_duplicates
+from quillforge.llm.packing import packing_query
 from quillforge.llm.quality import quality_query
 from quillforge.llm.spans import spans_query
+from quillforge.llm.tokenfile import tokens_query
 from quillforge.llm.windows import windows_query
 from quillforge.tables import table
 
@@ -23,9 +25,11 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_genetic_packing": _documents(packing_query),
     "op2_vantage_nearest": lambda spark, sf_dir: nearest_query(table(spark, sf_dir, "embeddings")),
     "op4_countmin_windows": _documents(windows_query),
     "op5_ogg_media": _documents(media_digest),
+    "op6_addressable_tokens": lambda spark, sf_dir: tokens_query(spark, table(spark, sf_dir, "documents")),
     "op7_hyperminhash": _documents(near_duplicates),
     "op8_budget_mix": _documents(mix_query),
     "op9_quality": lambda spark, sf_dir: quality_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),

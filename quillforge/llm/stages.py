@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read from the checkpoint folder from then on.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set
+    It is the session's spark.checkpoint.dir; only where none is set
     (tests on one machine) a temporary one is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillforge-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillforge-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read from the checkpoint folder from then on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

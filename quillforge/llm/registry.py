@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillforge.llm import licenses
 from quillforge.llm.media import media_digest
 from quillforge.llm.mixing import mix_query
 from quillforge.llm.nearest import nearest_query
@@ -27,6 +28,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_genetic_packing": _documents(packing_query),
     "op2_vantage_nearest": lambda spark, sf_dir: nearest_query(table(spark, sf_dir, "embeddings")),
+    "op3_rare_token_licenses": _documents(licenses.licenses_query),
     "op4_countmin_windows": _documents(windows_query),
     "op5_ogg_media": _documents(media_digest),
     "op6_addressable_tokens": lambda spark, sf_dir: tokens_query(spark, table(spark, sf_dir, "documents")),
@@ -37,6 +39,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_rare_token_licenses": licenses.oracle(),
     "op4_countmin_windows": r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents

@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillforge.llm.columns import U64, byte_table, mix, rows_of, slices, span_hash, text_bytes
 
@@ -212,22 +213,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (doc_id and text must not be in it twice) and a score from each whole text; null texts count as empty.
+    """``keep`` (columns of ``docs``; doc_id if not given) and a score from each whole text; null texts count as empty.
 
-    A narrow map: no shuffle, one row for each input row. A column of ``docs``
-    named score is left out unless it is kept under another name.
+    A narrow map: no shuffle, one row for each input row. ``keep`` must not hold a column called score.
     """
     shared = spark.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
-    source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    columns = [F.col(f"`{c}`") for c in keep]
+    source = docs.select(*columns) if "text" in keep else docs.select(*columns, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = shared.value.score(*text_bytes(batch.column(len(keep))))
+            score = shared.value.score(*text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{fields}, score double")
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep)], T.StructField("score", T.DoubleType())]))
 
 
 def quality_query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

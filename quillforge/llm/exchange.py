@@ -50,7 +50,7 @@ def deal(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Dealt:
     for a, b in zip(knots, knots[1:], strict=False):
         place = place + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (key - F.lit(a)).cast("double") / F.lit(float(b - a))))
     shard = F.least(F.lit(shards - 1), F.floor(place * F.lit(shards / (len(knots) - 1))))
-    return Dealt(docs.withColumn("__shard", F.coalesce(shard, F.lit(0)).cast("long")), shards, total)
+    return Dealt(docs.withColumn("__shard", F.when(key.isNull(), F.lit(0)).otherwise(shard).cast("long")), shards, total)
 
 
 @dataclass

@@ -200,7 +200,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP) -
     if m:
         rest = _solve(loose, max(1, math.ceil(m / group_rows)), capacity, 2)
         placed = placed.unionByName(rest.select("uid", (number + F.lit(1 << 60)).alias("sequence_id"), F.col("place").alias("offset")))
-    joined = base.join(placed, base["__uid"] == placed["uid"], "left").drop("uid")
+    placed = placed.withColumnRenamed("uid", "__placed")
+    joined = base.join(placed, F.col("__uid") == F.col("__placed"), "left").drop("__placed")
     whole = F.col("sequence_id").isNull()
     return joined.withColumn("offset", F.when(whole, 0).otherwise(F.col("offset")).cast("long")).withColumn("sequence_id", F.when(whole, F.col("__uid") + F.lit(1 << 61)).otherwise(F.col("sequence_id"))).drop("__uid")
 

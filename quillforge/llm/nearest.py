@@ -20,7 +20,7 @@ SHARD_ROWS = 16_384
 QUERY_ROWS = 16_384
 LEAF = 96
 #: Relaxation used by the query; recall against brute force is measured in the tests and stated in the README.
-FACTOR = 4.0
+FACTOR = 2.0
 K = 10
 
 

@@ -58,7 +58,7 @@ def words_of(text: Column) -> Column:
     lower() also folds other letters, which no phrase has; the Kelvin sign, the one other character that it turns
     into an ASCII letter, is put out of the way first.
     """
-    folded = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("K"), F.lit("Å")))
+    folded = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u212b")))
     return F.array_remove(F.split(folded, SEPARATORS), "")
 
 

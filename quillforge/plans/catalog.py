@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillforge.plans import corpus, evaluation, layout, service
+from quillforge.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "layout", "service"]

@@ -1 +1,167 @@
-"""Filled below."""
+"""Layout queries over boxes made from lineitem, lines made from documents, and turns as blocks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillforge.functions import text as tx
+from quillforge.operators import ctc
+from quillforge.operators import layout as lo
+from quillforge.plans.registry import query
+from quillforge.sources import sinks
+from quillforge.tables import table
+
+
+def boxes(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    """A box for each order line on the page of its order; ``shift`` moves them as a predictor might."""
+    k = F.col("l_partkey")
+    x, y = F.pmod(k * 37, F.lit(600)) + shift, F.pmod(k * 91, F.lit(800)) + shift
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("ord"), x.alias("x"), y.alias("y"), (F.pmod(F.col("l_suppkey") * 13, F.lit(300)) + 20).alias("w"), (F.col("l_quantity").cast("long") * 5 + 10).alias("h"), F.lit(1000).alias("page_width"), F.lit(1400).alias("page_height"))
+
+
+_BOX = "SELECT l_orderkey AS page, l_linenumber::BIGINT AS ord, (l_partkey * 37) % 600 + {0} AS x, (l_partkey * 91) % 800 + {0} AS y, (l_suppkey * 13) % 300 + 20 AS w, l_quantity::BIGINT * 5 + 10 AS h FROM lineitem"
+_IOU = f"""a AS ({_BOX.format(0)}), b AS ({_BOX.format(12)}),
+i AS (SELECT a.page, a.ord AS ref, b.ord AS pred, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS inter, a.w * a.h + b.w * b.h AS areas FROM a JOIN b USING (page)),
+m AS (SELECT page, ref, pred, inter / (areas - inter)::DOUBLE AS iou FROM i WHERE inter > 0 AND inter / (areas - inter)::DOUBLE >= 0.3)"""
+
+
+@query(f"WITH {_IOU} SELECT page, ref, pred, round(iou, 6) AS iou FROM m")
+def q_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lo.candidates(boxes(spark, sf_dir), boxes(spark, sf_dir, 12), 0.3).withColumn("iou", F.round("iou", 6))
+
+
+@query()
+def q_iou_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lo.greedy(lo.candidates(boxes(spark, sf_dir), boxes(spark, sf_dir, 12), 0.3)).withColumn("iou", F.round("iou", 6))
+
+
+@query()
+def q_layout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, pred = boxes(spark, sf_dir), boxes(spark, sf_dir, 12)
+    got = lo.layout_metrics(ref, pred, lo.greedy(lo.candidates(ref, pred, 0.3)))
+    return got.select("page", "n_ref", "n_pred", "matched", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_iou", "order_accuracy")))
+
+
+_DX = "((b.x + b.w / 2.0::DOUBLE) - (a.x + a.w / 2.0::DOUBLE)) / 1000"
+
+
+@query(f"WITH t AS ({_BOX.format(0)}) SELECT a.page, a.ord AS a, b.ord AS b, (a.ord < b.ord)::INT AS label, round({_DX}, 6) AS dx FROM t a JOIN t b ON a.page = b.page AND a.ord <> b.ord")
+def q_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lo.ordered_pairs(boxes(spark, sf_dir)).select("page", "a", "b", "label", F.round(F.get("features", F.lit(0)), 6).alias("dx"))
+
+
+@query(
+    f"""WITH t AS ({_BOX.format(0)}), p AS (SELECT a.page, a.ord AS a, b.ord AS b, CASE WHEN (a.y, a.x) < (b.y, b.x) THEN 0.75::DOUBLE WHEN (a.y, a.x) = (b.y, b.x) THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS f FROM t a JOIN t b ON a.page = b.page AND a.ord <> b.ord),
+s AS (SELECT p.page, p.a AS block, sum((p.f + 1 - q.f) / 2) AS score FROM p JOIN p q ON p.page = q.page AND p.a = q.b AND p.b = q.a GROUP BY ALL)
+SELECT page, block, row_number() OVER (PARTITION BY page ORDER BY score DESC, block) AS place FROM s"""
+)
+def q_borda_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairwise preferences (here: by place on the page) summed into an order."""
+    t = boxes(spark, sf_dir)
+    a, b = t.select("page", F.col("ord").alias("a"), F.struct("y", "x").alias("pa")), t.select("page", F.col("ord").alias("b"), F.struct("y", "x").alias("pb"))
+    pairs = a.join(b, "page").where("a <> b")
+    forward = F.when(F.col("pa") < F.col("pb"), 0.75).when(F.col("pa") == F.col("pb"), 0.5).otherwise(0.25)
+    return lo.borda(pairs.withColumn("f", forward), F.col("f")).select("page", "block", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    r"""WITH l AS (SELECT source AS doc, doc_id AS page, string_split(text, chr(10)) AS parts FROM documents WHERE text <> ''),
+b AS (SELECT doc, page, 'header' AS band, trim(parts[1]) AS text FROM l UNION ALL SELECT doc, page, 'footer', trim(parts[-1]) FROM l),
+n AS (SELECT doc, count(DISTINCT page) AS pages FROM b GROUP BY doc), c AS (SELECT doc, text, band, count(DISTINCT page) AS on_pages FROM b GROUP BY ALL)
+SELECT doc, text, band AS role, on_pages FROM c JOIN n USING (doc) WHERE pages >= 2 AND on_pages >= greatest(2, floor(pages * 0.02 + 0.999999)) QUALIFY row_number() OVER (PARTITION BY doc, text ORDER BY band <> 'header') = 1"""
+)
+def q_header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last lines of documents as bands, a source as a document of many pages."""
+    parts = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.split("text", "\n", -1).alias("p"))
+    bands = F.array(F.struct(F.lit("header").alias("band"), F.trim(F.element_at("p", 1)).alias("text")), F.struct(F.lit("footer").alias("band"), F.trim(F.element_at("p", -1)).alias("text")))
+    return lo.repeated_bands(parts.select("doc", "page", F.explode(bands).alias("b")).select("doc", "page", "b.band", "b.text"), 0.02)
+
+
+@query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS lines, min(turn * 20) AS y, max(turn * 20 + 18) - min(turn * 20) AS h, max(length(text)) AS w FROM conversations GROUP BY conv_id")
+def q_paragraph_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines, a conversation as a paragraph."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), "text", F.lit(1.0).alias("confidence"), F.lit(0).alias("x"), (F.col("turn") * 20).alias("y"), F.char_length("text").cast("long").alias("w"), F.lit(18).cast("long").alias("h"))
+    return lo.paragraphs(rows, ["conv_id"]).select("conv_id", "text", "lines", "y", "h", "w")
+
+
+@query(
+    f"""WITH t AS (SELECT *, x + w / 2.0::DOUBLE AS centre FROM ({_BOX.format(0)})), g AS (SELECT page, ord, centre, lead(centre) OVER z - centre AS gap, row_number() OVER z AS i FROM t WINDOW z AS (PARTITION BY page ORDER BY centre, ord)),
+k AS (SELECT *, CASE WHEN gap IS NOT NULL THEN row_number() OVER (PARTITION BY page ORDER BY gap DESC NULLS LAST, i) END AS k FROM g), c AS (SELECT *, (coalesce(lag(k) OVER (PARTITION BY page ORDER BY centre, ord), 3) <= 2)::INT AS cut FROM k)
+SELECT page, ord, sum(cut) OVER (PARTITION BY page ORDER BY centre, ord)::BIGINT AS column FROM c"""
+)
+def q_column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lo.column_groups(boxes(spark, sf_dir), 3)
+
+
+@query(
+    """WITH p AS (SELECT l_suppkey AS key, l_partkey % 500 AS pos, l_orderkey, l_linenumber FROM lineitem), o AS (SELECT key, pos, coalesce((pos - lag(pos) OVER (PARTITION BY key ORDER BY pos) > 2)::INT, 0) AS opens FROM (SELECT DISTINCT key, pos FROM p)),
+r AS (SELECT key, pos, sum(opens) OVER (PARTITION BY key ORDER BY pos)::BIGINT AS run FROM o) SELECT key, run, round_even(avg(pos), 0)::BIGINT AS pos, count(*) AS n FROM r GROUP BY key, run"""
+)
+def q_collapse_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part numbers of a supplier as line positions."""
+    pos = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 500).alias("pos")).distinct()
+    return lo.collapsed(pos)
+
+
+@query()
+def q_row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lo.row_clusters(boxes(spark, sf_dir))
+
+
+@query()
+def q_region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lo.merged_regions(boxes(spark, sf_dir).withColumnRenamed("page_width", "width"))
+
+
+_IDS = "s AS (SELECT user_id, list(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END ORDER BY ts, event_id) AS ids FROM events GROUP BY user_id)"
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types of a user in order as label ids, views as blanks."""
+    label = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 3).otherwise(4).cast("long")
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", label.alias("label"))))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(ordered.alias("s")).select("user_id", F.transform("s", lambda x: x["label"]).alias("ids"))
+
+
+@query(f"WITH {_IDS}, e AS (SELECT user_id, unnest(ids) AS a, unnest(list_prepend(NULL, ids[:-2])) AS b, unnest(range(len(ids))) AS i FROM s) SELECT user_id, coalesce(string_agg(a, ',' ORDER BY i) FILTER (WHERE a <> 0 AND (b IS NULL OR a <> b)), '') AS labels FROM e GROUP BY user_id")
+def q_ctc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequences(spark, sf_dir).select("user_id", F.array_join(ctc.collapse(F.col("ids")), ",").alias("labels"))
+
+
+@query(f"WITH {_IDS}, e AS (SELECT user_id, unnest(ids) AS a, unnest(list_prepend(NULL, ids[:-2])) AS b FROM s) SELECT user_id, (count(*) + count(*) FILTER (WHERE a = b))::BIGINT AS steps FROM e GROUP BY user_id")
+def q_ctc_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequences(spark, sf_dir).select("user_id", ctc.needed_steps(F.col("ids")).cast("long").alias("steps"))
+
+
+@query()
+def q_ctc_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beam search over lattices made from event values of a user: four labels and a blank."""
+    step = F.array(*(F.log(F.lit(0.05) + F.abs(F.sin(F.col("value") * (k + 1)))) for k in range(5)))
+    norm = F.transform(step, lambda v: v - F.log(F.aggregate(F.transform(step, lambda u: F.exp(u)), F.lit(0.0), lambda a, b: a + b)))
+    rows = table(spark, sf_dir, "events").where("value is not null").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", norm.alias("p")))).alias("s"))
+    decoded = rows.select("user_id", "day", ctc.beam_decode(4)(F.transform("s", lambda x: x["p"])).alias("d"))
+    return decoded.select("user_id", "day", F.array_join("d.labels", ",").alias("labels"), F.round("d.log_prob", 6).alias("log_prob"))
+
+
+_TEXT = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> '') AS text FROM conversations GROUP BY conv_id"
+
+
+@query(_TEXT)
+def q_plain_text_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a page joined by line ends; empty ones are skipped."""
+    rows = table(spark, sf_dir, "conversations").where("text <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), "text"))).alias("blocks"))
+    return rows.select("conv_id", sinks.plain_text(F.array(F.col("blocks"))).alias("text"))
+
+
+@query("SELECT conv_id, string_agg(CASE role WHEN 'system' THEN '# ' || text WHEN 'user' THEN '## ' || text ELSE text END, chr(10) || chr(10) ORDER BY turn) || chr(10) AS markdown FROM conversations WHERE text <> '' GROUP BY conv_id")
+def q_markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System turns as first-level headings, user turns as second-level ones, others as paragraphs."""
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2)
+    rows = table(spark, sf_dir, "conversations").where("text <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.when(level.isNotNull(), "heading").otherwise("paragraph").alias("type"), level.alias("level"), "text"))).alias("blocks"))
+    return rows.select("conv_id", sinks.markdown(F.col("blocks")).alias("markdown"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(replace(text, chr(10), ''), '\P{M}\p{M}*|^\p{M}+')) AS n_clusters FROM documents WHERE text IS NOT NULL")
+def q_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(tx.clusters(F.regexp_replace("text", "\n", ""))).cast("long").alias("n_clusters"))

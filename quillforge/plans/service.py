@@ -1 +1,142 @@
-"""Filled below."""
+"""Service queries: events as requests, orders as jobs, pages as an inventory."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillforge.functions import text as tx
+from quillforge.plans.registry import query
+from quillforge.streaming import jobs as jb
+from quillforge.streaming import limits
+from quillforge.tables import table
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests: the type is the method, the user a part of the path, the value the seconds."""
+    e = table(spark, sf_dir, "events")
+    path = F.concat(F.lit("/v1/jobs/"), F.col("user_id"), F.lit("?k=1"))
+    return e.select("event_id", F.upper("event_type").alias("method"), tx.route(path).alias("route"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.col("value").alias("seconds"), "ts", "user_id")
+
+
+@query("SELECT upper(event_type) AS method, '/v1/jobs/{id}' AS route, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, count(*) AS n, round(sum(greatest(0.0, value)), 4)::DOUBLE AS seconds FROM events GROUP BY ALL")
+def q_request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jb.request_metrics(requests(spark, sf_dir)).withColumn("seconds", F.round("seconds", 4))
+
+
+@query("""SELECT 'requests_total{method="' || upper(event_type) || '",route="/v1/jobs/{id}",status="' || CASE WHEN event_type = 'error' THEN 500 ELSE 200 END || '"} ' || count(*) AS line FROM events GROUP BY event_type""")
+def q_prometheus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jb.prometheus(jb.request_metrics(requests(spark, sf_dir)), "requests_total", tx.escape_label)
+
+
+@query()
+def q_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests an hour for each user."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("ord"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.lit(1).alias("cost"))
+    return limits.admit(e, 3, 3600.0)
+
+
+_JOBS = """j AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS created_at, o_orderdate + to_seconds((o_custkey % 90)::BIGINT) AS started_at,
+o_orderdate + to_seconds((o_custkey % 90 + o_orderkey % 600)::BIGINT) AS completed_at FROM orders)"""
+
+
+def orders_as_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    created = F.col("o_orderdate").cast("timestamp")
+    after = lambda s: created + F.make_dt_interval(secs=s)
+    status = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    return o.select(F.col("o_orderkey").alias("job_id"), status.alias("status"), created.alias("created_at"), after(F.col("o_custkey") % 90).alias("started_at"), after(F.col("o_custkey") % 90 + F.col("o_orderkey") % 600).alias("completed_at"))
+
+
+@query(f"WITH {_JOBS}, s AS (SELECT unnest(['uploading', 'queued', 'running', 'succeeded', 'failed', 'cancelled']) AS status) SELECT s.status, count(job_id) AS n FROM s LEFT JOIN j ON s.status = j.status GROUP BY s.status")
+def q_job_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jb.snapshot(orders_as_jobs(spark, sf_dir))
+
+
+@query(f"WITH {_JOBS} SELECT status, count(*) AS n, round(sum(epoch(completed_at) - epoch(started_at)), 3)::DOUBLE AS seconds FROM j WHERE status IN ('succeeded', 'failed', 'cancelled') GROUP BY status")
+def q_job_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jb.durations(orders_as_jobs(spark, sf_dir)).withColumn("seconds", F.round("seconds", 3))
+
+
+@query(f"WITH {_JOBS} SELECT status, count(*) AS n FROM j WHERE status IN ('succeeded', 'failed', 'cancelled') AND completed_at <= TIMESTAMP '2024-01-01 00:00:00' - INTERVAL 86400 SECOND GROUP BY status")
+def q_job_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return jb.expired(orders_as_jobs(spark, sf_dir), now, 86_400).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT (o_orderkey % 12 + 1)::BIGINT AS failures, least(30 * pow(2, least(o_orderkey % 12, 7)), 3600)::DOUBLE AS delay FROM orders")
+def q_retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 12 + 1).cast("long").alias("failures")).distinct()
+    return f.select("failures", jb.retry_delay(F.col("failures")).cast("double").alias("delay"))
+
+
+@query(f"WITH {_JOBS} SELECT job_id, epoch(completed_at)::BIGINT AS retry_at FROM j WHERE completed_at <= TIMESTAMP '2024-01-01 00:00:00' ORDER BY completed_at, job_id LIMIT 8")
+def q_due_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = orders_as_jobs(spark, sf_dir).select("job_id", F.col("completed_at").alias("retry_at"))
+    got = jb.due(entries, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return got.select("job_id", F.unix_seconds("retry_at").alias("retry_at"))
+
+
+@query("SELECT event_id, user_id, sum(CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS load FROM events")
+def q_admission_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    change = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", -1).otherwise(0)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_id").alias("ord"), change.alias("change"))
+    return jb.running_load(e, "user_id").select("event_id", "user_id", F.col("load").cast("long").alias("load"))
+
+
+@query(
+    """WITH c AS (SELECT unnest(['small', 'medium', 'large', 'huge']) AS category), p AS (SELECT CASE WHEN strlen(html) < 500 THEN 'small' WHEN strlen(html) < 2000 THEN 'medium' WHEN strlen(html) < 100000 THEN 'large' ELSE 'huge' END AS category, strlen(html) AS bytes FROM pages)
+SELECT c.category, count(bytes) AS n, coalesce(sum(bytes), 0)::BIGINT AS bytes FROM c LEFT JOIN p ON c.category = p.category GROUP BY c.category"""
+)
+def q_inventory_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and bytes for each category, categories without files included."""
+    size = F.octet_length("html")
+    kind = F.when(size < 500, "small").when(size < 2000, "medium").when(size < 100_000, "large").otherwise("huge")
+    rows = table(spark, sf_dir, "pages").select(kind.alias("category"), size.cast("long").alias("b")).groupBy("category").agg(F.count("b").alias("n"), F.sum("b").alias("bytes"))
+    every = spark.createDataFrame([(c,) for c in ("small", "medium", "large", "huge")], "category string")
+    return every.join(rows, "category", "left").na.fill(0)
+
+
+@query(
+    """WITH d AS (SELECT doc_id, greatest(1, n_chars // 500)::INT AS n FROM documents) SELECT doc_id, CASE WHEN n <= 3 THEN array_to_string(range(1, n + 1), ',') ELSE '1,' || ((n + 1) // 2) || ',' || n END AS sampled FROM d"""
+)
+def q_page_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, middle and last page of three or more; the table's 500 characters make a page."""
+    n = F.greatest(F.lit(1), F.floor(F.col("n_chars") / 500)).cast("int")
+    picks = F.when(n <= 3, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(1), F.floor((n + 1) / 2).cast("int"), n))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(picks, ",").alias("sampled"))
+
+
+@query(
+    """SELECT band, count(*) AS n FROM (SELECT CASE WHEN p.html IS NULL THEN 'no-page' WHEN d.text = '' THEN 'no-text' WHEN length(d.text) >= 0.9 * length(p.html) THEN 'agrees' WHEN length(d.text) >= 0.2 * length(p.html) THEN 'partial' ELSE 'gap' END AS band
+FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id) GROUP BY band"""
+)
+def q_layer_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered rules over two layers of a document: a page's HTML and its text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    share = F.char_length("text") / F.greatest(F.lit(1), F.char_length("html"))
+    band = F.when(F.col("html").isNull(), "no-page").when(F.col("text") == "", "no-text").when(share >= 0.9, "agrees").when(share >= 0.2, "partial").otherwise("gap")
+    return d.join(p, "doc_id", "left").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN value IS NULL THEN 'unknown' WHEN value / 100 < 0.6 THEN 'low' WHEN value / 100 < 0.8 THEN 'medium' ELSE 'high' END AS band, count(*) AS n FROM events GROUP BY 1")
+def q_conf_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("value") / 100
+    band = F.when(c.isNull(), "unknown").when(c < 0.6, "low").when(c < 0.8, "medium").otherwise("high")
+    return table(spark, sf_dir, "events").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT epoch(time_bucket(INTERVAL 60 MINUTE, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def q_events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jb.tumbling(e, 60).select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, (coalesce(ts >= lag(ts) OVER w + INTERVAL 120 MINUTE, true))::INT AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def q_events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jb.sessions(e, 120).select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n")

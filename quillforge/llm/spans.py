@@ -32,10 +32,10 @@ from quillforge.llm.suffix import common_prefixes, suffix_array
 
 LENGTH = 200
 GRAM = 100
-SHARD_BYTES = 2_000_000
-OWNER_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
+OWNER_BYTES = 500_000
 #: Different contexts of one anchor above which its windows are compared by key.
-HOT = 4000
+HOT = 1500
 ANCHOR, CONTEXT, BYTES, KEYS = 0, 1, 2, 3
 BASES = (0xD1342543DE82EF95, 0x9FB21C651E98DF25)
 _EMPTY = np.zeros(0, np.int64)
@@ -47,7 +47,10 @@ class Rolling:
     def __init__(self, data: np.ndarray, base: int):
         n = len(data)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(byte_table()[data] * powers(base, n)[:n], out=self.sums[1:])
+        value = byte_table()[data]
+        value *= powers(base, n)[:n]
+        np.cumsum(value, out=self.sums[1:])
+        del value
         self.back = powers(pow(base, -1, 1 << 64), n + 1)
 
     def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,7 +124,7 @@ class Sizes:
         blocks = max(0, math.ceil(math.log2(max(1, anchors / 500_000))))
         self.cell_shift = self.bits - blocks
         self.key_shift = 63 - blocks  # hashes of anchors have 63 bits
-        self.owner_shift = 63 - max(0, math.ceil(math.log2(max(1, total_bytes / OWNER_BYTES))))
+        self.owner_shift = 63 - max(0, math.ceil(math.log2(max(1, total_bytes / 2_000_000))))
         self.wide_shift = 64 - blocks
 
     def cells(self, key: np.ndarray) -> np.ndarray:
@@ -218,34 +221,51 @@ def merge_contexts(table: pa.Table, most: int = HOT) -> pa.Table:
 def merge_bytes(table: pa.Table, length: int) -> pa.Table:
     """Windows of the contexts of an owner that share ``length`` bytes with a window elsewhere: bits for each shard's run.
 
-    A message is the number of contexts, their lengths, whether each occurs twice, and their bytes.
+    A message holds the contexts' lengths, whether each occurs twice, their anchors' keys and their bytes. Anchors
+    are independent, so suffix arrays are built over about ``OWNER_BYTES`` of whole anchors at a time.
     """
     shards, raws = table.column("shard").to_pylist(), table.column("keys").to_pylist()
     counts = table.column("n").to_pylist()
-    sizes = [np.frombuffer(r, "<u2", n).astype(np.int64) for r, n in zip(raws, counts, strict=True)]
-    twice = np.concatenate([np.frombuffer(r, "?", n, 2 * n) for r, n in zip(raws, counts, strict=True)])
-    data = np.concatenate([np.frombuffer(r, np.uint8, offset=3 * n) for r, n in zip(raws, counts, strict=True)])
-    size = np.concatenate(sizes)
+    cut = lambda kind, skip: np.concatenate([np.frombuffer(r, kind, n, skip * n) for r, n in zip(raws, counts, strict=True)])
+    size, twice, key = cut("<u2", 0).astype(np.int64), cut("?", 2), cut("<u8", 3)
+    data = np.concatenate([np.frombuffer(r, np.uint8, offset=11 * n) for r, n in zip(raws, counts, strict=True)])
     offsets = np.append(0, np.cumsum(size))
-    sa = suffix_array(data, offsets)
-    lcp = common_prefixes(data, offsets, sa)
-    kind = np.cumsum(lcp < length) - 1  # runs of suffixes that share a window
-    text = np.repeat(np.arange(len(size)), size)
-    weight = np.bincount(kind, weights=1 + twice[text[sa]])
     again = np.zeros(len(data), bool)
-    again[sa] = weight[kind] > 1
-    is_window = np.arange(len(data)) + length <= offsets[1:][text]
+    order = np.argsort(key, kind="stable")
+    edges = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(order))
+    total = np.append(0, np.cumsum(size[order]))
+    at = 0
+    while at < len(edges) - 1:
+        stop = max(at + 1, int(np.searchsorted(total[edges], total[edges[at]] + OWNER_BYTES, side="right")) - 1)
+        _common_windows(data, offsets, order[edges[at] : edges[stop]], twice, length, again)
+        at = stop
+    is_window = np.zeros(len(data) + 1, np.int32)
+    np.add.at(is_window, offsets[:-1], 1)
+    np.add.at(is_window, offsets[1:] - length + 1, -1)
+    is_window = np.cumsum(is_window[:-1]) > 0
     out, at = [], 0
     part, block = table.column("part")[0].as_py(), table.column("block")[0].as_py()
-    for shard, s in zip(shards, sizes, strict=True):
-        a, b = offsets[at], offsets[at + len(s)]
-        at += len(s)
-        flags = (again & is_window)[a:b][is_window[a:b]]
+    for shard, n in zip(shards, counts, strict=True):
+        a, b = offsets[at], offsets[at + n]
+        at += n
+        flags = again[a:b][is_window[a:b]]
         if flags.any():
             out.append((shard, part, block, ex.pack_bits(flags)))
     return ex.answer_table(out)
 
 
+def _common_windows(data: np.ndarray, offsets: np.ndarray, which: np.ndarray, twice: np.ndarray, length: int, again: np.ndarray) -> None:
+    """Set ``again`` at the window starts of the contexts ``which`` that a second place shares."""
+    size = np.diff(offsets)[which]
+    local = np.append(0, np.cumsum(size))
+    source = np.repeat(offsets[which] - local[:-1], size) + np.arange(int(local[-1]))
+    text = data[source]
+    sa = suffix_array(text, local)
+    kind = np.cumsum(common_prefixes(text, local, sa) < length) - 1  # runs of suffixes that share a window
+    weight = np.bincount(kind, weights=1 + np.repeat(twice[which], size)[sa])
+    again[source[sa[weight[kind] > 1]]] = True
+
+
 def cut_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """``docs`` plus n_bytes, n_removed, spans (byte ranges removed, [start, end)) and kept (the other bytes).
 
@@ -278,7 +298,7 @@ def cut_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byt
             e = k.example[k.by_bytes[a:b]]
             first, stop = k.contexts.first[e], k.contexts.last[e] + length
             body = b"".join(shard.data[x:y].tobytes() for x, y in zip(first, stop, strict=True))
-            out.append((key[0].as_py(), BYTES, block, b - a, (stop - first).astype("<u2").tobytes() + k.repeated[k.by_bytes[a:b]].tobytes() + body))
+            out.append((key[0].as_py(), BYTES, block, b - a, (stop - first).astype("<u2").tobytes() + k.repeated[k.by_bytes[a:b]].tobytes() + k.key[k.by_bytes[a:b]].tobytes() + body))
         if len(k.by_keys):
             hi, lo, *_ = k.window_keys(shard.data)
             out += [(key[0].as_py(), KEYS, block, b - a, ex.wide_keys(hi[a:b], lo[a:b])) for block, a, b in ex.by_block(hi, sizes.wide_shift)]

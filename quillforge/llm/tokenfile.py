@@ -30,6 +30,7 @@ CHUNKS = (8, 8, 16)
 BLOCK = 512
 END = 2
 FILE_BYTES = 4_000_000
+BROADCAST_FILES = 100_000
 _HEAD = struct.Struct("<8sQQ")
 _LEVEL = struct.Struct("<QQ")
 _SET = np.array([bin(b).count("1") for b in range(256)], np.uint8)
@@ -122,7 +123,7 @@ def write_tokens(docs: DataFrame, path: str, name: str, end: int = END, file_byt
         doc_ids = shard.table.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
         return pa.table({"number": [key[0].as_py()], "documents": [len(doc_ids)], "tokens": [len(ids)], "body": pa.array([pack(doc_ids, counts, ids)], pa.binary())})
 
-    dealt.rows.groupBy("__shard").applyInArrow(write, "number long, documents long, tokens long, body binary").write.parquet(path)
+    dealt.rows.groupBy("__shard").applyInArrow(write, "number long, documents long, tokens long, body binary").write.option("compression", "zstd").parquet(path)
 
 
 def token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -133,6 +134,8 @@ def token_files(spark: SparkSession, path: str) -> DataFrame:
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("outer"))
     inner = F.sum("tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("tokens")
     starts = totals.withColumn("inner", inner).join(before, "part").select(F.col("number").alias("file"), (F.col("inner") + F.col("outer")).alias("start"))
+    if starts.count() <= BROADCAST_FILES:  # 16 bytes a file; beyond that the bodies are shuffled
+        starts = F.broadcast(starts)
     return files.join(starts, F.col("number") == F.col("file"), "inner").drop("file")
 
 

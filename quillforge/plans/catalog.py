@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillforge.plans import corpus, evaluation, layout, service
+from quillforge.plans import corpus, evaluation, layout, pages, service
 from quillforge.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "layout", "service"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "layout", "pages", "service"]

@@ -11,7 +11,7 @@ them (16 bits in all), and an empty bucket borrows another's by a fixed sequence
 3. Links whose collision-corrected Jaccard estimate falls far below the bar are left out; the others
    are verified on full sets. Components are taken from verified links.
 4. Where a bucket still holds several components, all its pairs across components are
-   estimated, in blocks of bounded size, and verified too. So every pair that shares a band is
+   estimated, in blocks of bounded size, and verified in the same blocks. So every pair that shares a band is
    either verified, estimated far below the bar, or already in one component.
 """
 
@@ -142,7 +142,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
-    """(bucket, node): a 64-bit hash of each band's registers."""
+    """(bucket, band, node): a 64-bit hash of each band's registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +154,10 @@ def band_keys(classes: DataFrame) -> DataFrame:
                 h = h * U64(0x9FB21C651E98DF25) + mix(regs[:, :, j] + U64(j << 20))
             h = mix(h + mix(np.arange(BANDS, dtype=U64) + U64(77))[None, :])
             node = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(node)], names=["bucket", "node"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(band), pa.array(node)], names=["bucket", "band", "node"])
 
-    return classes.select("node", "registers").mapInArrow(run, "bucket long, node long")
+    return classes.select("node", "registers").mapInArrow(run, "bucket long, band int, node long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, bar: float) -> DataFrame:
@@ -196,50 +197,92 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, numerator: int) -> Dat
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, label: DataFrame, classes: DataFrame, bar: float) -> DataFrame:
-    """Estimated pairs of different components in one bucket; (a, b) distinct.
+def _across(members: DataFrame, label: DataFrame, classes: DataFrame, texts: DataFrame, k: int, numerator: int) -> DataFrame:
+    """Verified links (a, b) between different components in one bucket.
 
     In a bucket, the component with most members is the major one. Its members are dealt to chunks, so are the
-    others; a task compares a chunk with a chunk of the others, never two chunks of the major component.
+    others; a task compares a chunk with a chunk of the others, never two chunks of the major component. A pair
+    is looked at in the first band that it shares. A task names its pairs in one row and is then
+    given their texts, so what moves grows with the members of a group, not with its pairs.
     """
     known = members.join(label.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     shape = counts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    shape = shape.where("parts > 1").select("bucket", "major", F.ceil(F.col("most") / CHUNK).alias("cm"), F.ceil((F.col("all") - F.col("most")) / CHUNK).alias("co"))
-    mixed = known.join(shape, "bucket").withColumn("is_major", F.col("component") == F.col("major"))
+    shape = shape.where("parts > 1 and all > 2").select(  # of two members, the star has tried the only pair
+        "bucket", "major", F.ceil(F.col("most") / CHUNK).alias("cm"), F.ceil((F.col("all") - F.col("most")) / CHUNK).alias("co")
+    )
+    mixed = known.drop("n").join(shape, "bucket").withColumn("is_major", F.col("component") == F.col("major"))
     chunk = F.pmod(F.xxhash64("node"), F.when(F.col("is_major"), F.col("cm")).otherwise(F.col("co")))
     mixed = mixed.withColumn("chunk", chunk.cast("long"))
     # a task is (bucket, x, y): chunk x of the major component (negative numbers) or of the others, against chunk y of the others
-    last = F.col("co") - 1
+    zero, last = F.lit(0).cast("long"), (F.col("co") - 1).cast("long")
     tasks = F.when(
         F.col("is_major"),
-        F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda y: F.struct((-1 - F.col("chunk")).alias("x"), y.alias("y"))),
+        F.transform(F.sequence(zero, last), lambda y: F.struct((-1 - F.col("chunk")).alias("x"), y.alias("y"))),
     ).otherwise(
         F.concat(
-            F.transform(F.sequence(F.lit(0).cast("long"), (F.col("cm") - 1).cast("long")), lambda x: F.struct((-1 - x).alias("x"), F.col("chunk").alias("y"))),
-            F.transform(F.sequence(F.lit(0).cast("long"), last.cast("long")), lambda o: F.struct(F.least(o, F.col("chunk")).alias("x"), F.greatest(o, F.col("chunk")).alias("y"))),
+            F.transform(F.sequence(zero, (F.col("cm") - 1).cast("long")), lambda x: F.struct((-1 - x).alias("x"), F.col("chunk").alias("y"))),
+            F.transform(F.sequence(zero, last), lambda o: F.struct(F.least(o, F.col("chunk")).alias("x"), F.greatest(o, F.col("chunk")).alias("y"))),
         )
     )
-    rows = mixed.select("bucket", "node", "component", "chunk", "is_major", F.explode(tasks).alias("task")).select("bucket", "task.x", "task.y", "node", "component", "chunk", "is_major")
+    rows = mixed.select("bucket", "band", "node", "component", "chunk", "is_major", F.explode(tasks).alias("task")).select("bucket", "band", "task.x", "task.y", "node", "component", "chunk", "is_major")
     rows = rows.join(classes.select("node", "n", "registers"), "node")
+    bar = numerator / 100
 
-    def run(table: pa.Table) -> pa.Table:
+    def find(table: pa.Table) -> pa.Table:
+        none = pa.table({"bucket": pa.array([], pa.int64()), "x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "nodes": pa.array([], pa.list_(pa.int64())), "pairs": pa.array([], pa.binary())})
+        if len(table) < 2:
+            return none
         regs, n = _matrix(table.column("registers")), table.column("n").to_numpy()
         node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        x, y, band = table.column("x")[0].as_py(), table.column("y")[0].as_py(), table.column("band")[0].as_py()
         major, chunk = table.column("is_major").to_numpy(), table.column("chunk").to_numpy()
-        left = np.flatnonzero(major) if x < 0 else np.flatnonzero(chunk == x)
-        right = np.flatnonzero(~major & (chunk == y)) if x < 0 else np.flatnonzero(chunk == y)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left = np.flatnonzero(major) if x < 0 else np.flatnonzero(~major & (chunk == x))
+        right = np.flatnonzero(~major & (chunk == y))
+        found = [np.zeros((0, 2), np.int64)]
         for i in left:
-            other = right[(part[right] != part[i]) & (node[right] != node[i])]
-            same = (regs[other] == regs[i]).sum(1)
-            hit = other[passes(same, np.broadcast_to(n[i], same.shape), n[other], bar)]
-            out_a.append(np.minimum(node[hit], node[i]))
-            out_b.append(np.maximum(node[hit], node[i]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+            other = right[(part[right] != part[i]) & (node[right] > node[i] if x == y else node[right] != node[i])]
+            if not len(other):
+                continue
+            equal = regs[other] == regs[i]
+            keep = passes(equal.sum(1), np.broadcast_to(n[i], other.shape), n[other], bar)
+            keep[keep] = ~equal[keep][:, : band * ROWS].reshape(int(keep.sum()), band, ROWS).all(2).any(1)
+            found.append(np.stack([np.full(int(keep.sum()), node[i]), node[other[keep]]], 1))
+        pairs = np.concatenate(found)
+        if not len(pairs):
+            return none
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "x": [x], "y": [y], "nodes": pa.array([np.unique(pairs)], pa.list_(pa.int64())), "pairs": pa.array([pairs.tobytes()], pa.binary())})
+
+    def verify(asked: pa.Table, have: pa.Table) -> pa.Table:
+        links = [np.zeros((0, 2), np.int64)]
+        if len(asked) and len(have):
+            pairs = np.frombuffer(asked.column("pairs")[0].as_py(), np.int64).reshape(-1, 2)
+            ids = have.column("node").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            data, offsets = text_bytes(have.column("text"))
+            sh, at = shingle_sets(data, offsets, k)
+            _, word = np.unique(sh, return_inverse=True)
+            mark = np.zeros(len(word) + 1, bool)
+            place = order[np.searchsorted(ids[order], pairs)]
+            place = place[np.argsort(place[:, 0], kind="stable")]
+            cut = np.append(np.flatnonzero(np.append(True, place[1:, 0] != place[:-1, 0])), len(place))
+            size = np.diff(at)
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                i, js = place[lo, 0], place[lo:hi, 1]
+                mine = word[at[i] : at[i + 1]]
+                mark[mine] = True
+                count = size[js]
+                flat = np.repeat(at[js] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                both = np.add.reduceat(mark[word[flat]].astype(np.int64), np.cumsum(count) - count)
+                mark[mine] = False
+                hit = js[100 * both >= numerator * (size[i] + count - both)]
+                links.append(np.stack([np.full(len(hit), ids[i]), ids[hit]], 1))
+        out = np.concatenate(links)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    asked = settle(rows.groupBy("bucket", "x", "y").applyInArrow(find, "bucket long, x long, y long, nodes array<long>, pairs binary"))
+    needed = asked.select(F.col("bucket").alias("b"), F.col("x").alias("i"), F.col("y").alias("j"), F.explode("nodes").alias("node")).join(texts, "node")
+    return asked.select("bucket", "x", "y", "pairs").groupBy("bucket", "x", "y").cogroup(needed.groupBy("b", "i", "j")).applyInArrow(verify, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -267,7 +310,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     twins = _twins(signed, usable, groups)
     links = settle(_verified(_estimated(stars, classes, bar), texts, shingle, percent).unionByName(twins))
     label = settle(components(links))
-    more = settle(_verified(_across(members, label, classes, bar), texts, shingle, percent))
+    more = settle(_across(members, label, classes, texts, shingle, percent))
     if more.limit(1).count():
         label = settle(components(links.unionByName(more)))
     named = groups.withColumnRenamed("s1", "g1").withColumnRenamed("s2", "g2")

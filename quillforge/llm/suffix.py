@@ -29,7 +29,7 @@ def suffix_array(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         byte[at + j >= end] = 0
         key = (key << U64(8)) | byte
     key = (key << U64(8)) | np.minimum(end - at, HEAD).astype(U64)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)  # ties may come in any order here; they are parted below
     new = np.ones(n, bool)
     new[1:] = key[sa][1:] != key[sa][:-1]
     del key
@@ -47,12 +47,12 @@ def suffix_array(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         ahead = p + step
         # past the end of a text its number decides, below any rank
         second = np.where(ahead < end[p], rank[np.minimum(ahead, n - 1)] + len(offsets), text[p])
-        order = np.lexsort((second, rank[p]))
-        p, second = p[order], second[order]
+        both = rank[p] * (n + len(offsets)) + second
+        order = np.argsort(both)
+        p, both = p[order], both[order]
         sa[tied] = p
-        group = rank[p]
         differs = np.ones(len(p), bool)
-        differs[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
+        differs[1:] = both[1:] != both[:-1]
         new[tied] = differs
         start = np.maximum.accumulate(np.where(differs, tied, 0))
         rank[p] = start
@@ -74,6 +74,9 @@ def common_prefixes(data: np.ndarray, offsets: np.ndarray, sa: np.ndarray) -> np
     place[sa] = np.arange(n)
     before = np.where(place > 0, sa[np.maximum(place - 1, 0)], -1)
     shared = np.zeros(n, np.int64)
+    eight = np.zeros(n, U64)  # the eight bytes from each place on
+    for j in range(8):
+        eight[: n - j] |= data[j:].astype(U64) << U64(8 * j)
     starts, lengths = offsets[:-1], np.diff(offsets)
     alive = np.flatnonzero(lengths > 0)
     h = np.zeros(len(offsets) - 1, np.int64)
@@ -83,6 +86,15 @@ def common_prefixes(data: np.ndarray, offsets: np.ndarray, sa: np.ndarray) -> np
         q = before[p]
         h[alive] = np.where(q >= 0, np.maximum(h[alive] - 1, 0), 0)
         todo = np.flatnonzero(q >= 0)
+        most = np.minimum(end[p] - p, end[q] - q)  # q is -1 where there is none; not used then
+        leap = todo
+        while len(leap):
+            g = h[alive[leap]]
+            a = p[leap] + g
+            ok = g + 8 <= most[leap]
+            ok[ok] = eight[a[ok]] == eight[(q[leap] + g)[ok]]
+            leap = leap[ok]
+            h[alive[leap]] += 8
         while len(todo):
             a, b = p[todo] + h[alive[todo]], q[todo] + h[alive[todo]]
             ok = (a < end[p[todo]]) & (b < end[q[todo]])

@@ -22,13 +22,26 @@ _REPORT = """SELECT 'overall' AS kind, 'all' AS name, * FROM edits {0} UNION ALL
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A turn as reference and the next as hypothesis, ASCII only, 200 characters of each (the recognizer's line length)."""
-    turns = table(spark, sf_dir, "conversations")
-    head = F.substring("text", 1, 200)
-    a = turns.select("conv_id", "turn", F.col("role").alias("subset"), head.alias("reference"))
-    b = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), head.alias("hypothesis"))
+    """The pairs that the SQL of these queries can follow: ASCII in the first 200 characters, and only those (DuckDB's levenshtein counts bytes)."""
+    head = lambda c: F.substring(c, 1, 200)
     ascii_only = lambda c: c.rlike(r"\A[\x00-\x7F]*\z")
-    both = a.join(b, ["conv_id", "turn"]).where(ascii_only(F.col("reference")) & ascii_only(F.col("hypothesis")))
+    cut = _turn_pairs(spark, sf_dir).withColumns({"reference": head("reference"), "hypothesis": head("hypothesis")})
+    return _tagged(cut.where(ascii_only(F.col("reference")) & ascii_only(F.col("hypothesis"))))
+
+
+def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as reference and the next as hypothesis, whole and in every script."""
+    return _tagged(_turn_pairs(spark, sf_dir))
+
+
+def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    a = turns.select("conv_id", "turn", F.col("role").alias("subset"), F.col("text").alias("reference"))
+    b = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
+    return a.join(b, ["conv_id", "turn"])
+
+
+def _tagged(both: DataFrame) -> DataFrame:
     tags = F.array(F.concat(F.lit("role-"), F.col("subset")), F.when(F.char_length("reference") > 100, "long").otherwise("short"))
     return both.withColumn("sample_id", F.col("conv_id") * 100 + F.col("turn")).withColumn("tags", tags)
 
@@ -40,19 +53,37 @@ def _axes():
 
 @query(f"WITH {_PAIRS} SELECT sample_id, char_edits, n_chars, round(CASE WHEN n_chars = 0 THEN (h_chars > 0)::INT::DOUBLE ELSE char_edits / n_chars END, 6) AS cer FROM edits")
 def q_cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = mt.edit_columns(pairs(spark, sf_dir))
+    return _cer(pairs(spark, sf_dir))
+
+
+@query()
+def q_cer_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cer(whole_pairs(spark, sf_dir))
+
+
+def _cer(both: DataFrame) -> DataFrame:
+    e = mt.edit_columns(both)
     return e.select("sample_id", "char_edits", "n_chars", F.round(mt.tx.error_rate(F.col("char_edits"), F.col("n_chars"), F.col("h_chars")), 6).alias("cer"))
 
 
 @query(f"WITH {_PAIRS} SELECT kind, name, count(*) AS samples, sum(char_edits)::BIGINT AS char_edits, sum(n_chars)::BIGINT AS n_chars, round({_RATE}, 6) AS cer FROM ({_REPORT.format('')}) GROUP BY kind, name")
 def q_cer_by_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mt.report(mt.edit_columns(pairs(spark, sf_dir)), _axes())
+    return _by_axis(pairs(spark, sf_dir))
+
+
+@query()
+def q_cer_by_axis_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_axis(whole_pairs(spark, sf_dir))
+
+
+def _by_axis(both: DataFrame) -> DataFrame:
+    got = mt.report(mt.edit_columns(both), _axes())
     return got.select("kind", "name", "samples", "char_edits", "n_chars", F.round("cer", 6).alias("cer"))
 
 
 @query()
 def q_wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = mt.edit_columns(pairs(spark, sf_dir))
+    e = mt.edit_columns(whole_pairs(spark, sf_dir))
     return e.select("sample_id", "word_edits", "n_words", F.round(mt.tx.error_rate(F.col("word_edits"), F.col("n_words"), F.col("h_words")), 6).alias("wer"))
 
 
@@ -61,8 +92,17 @@ def q_wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 round(count(*) FILTER (WHERE reference = hypothesis) / count(*), 6) AS exact_ratio FROM edits GROUP BY subset"""
 )
 def q_line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_metrics(pairs(spark, sf_dir))
+
+
+@query()
+def q_line_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_metrics(whole_pairs(spark, sf_dir))
+
+
+def _line_metrics(both: DataFrame) -> DataFrame:
     exact = F.count_if(F.col("reference") == F.col("hypothesis"))
-    got = pairs(spark, sf_dir).groupBy("subset").agg(F.count("*").alias("samples"), exact.alias("exact"), F.count_if(F.col("hypothesis") == "").alias("empty"))
+    got = both.groupBy("subset").agg(F.count("*").alias("samples"), exact.alias("exact"), F.count_if(F.col("hypothesis") == "").alias("empty"))
     return got.withColumn("exact_ratio", F.round(F.try_divide("exact", "samples"), 6))
 
 
@@ -71,20 +111,34 @@ c AS (SELECT kind, name, {_RATE} AS cer FROM ({_REPORT.format('WHERE conv_id % 2
 d AS (SELECT kind, name, b.cer AS baseline, c.cer AS candidate, c.cer - b.cer AS delta, c.cer - b.cer <= 0 AS passed FROM b JOIN c USING (kind, name))"""
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _halves(both: DataFrame) -> DataFrame:
     """Two reports, of the even and of the odd conversations, compared (the two sides of the comparison, not a sample)."""
-    e = mt.edit_columns(pairs(spark, sf_dir))
+    e = mt.edit_columns(both)
     return mt.compare(mt.report(e.where("conv_id % 2 = 0"), _axes()), mt.report(e.where("conv_id % 2 = 1"), _axes()), "cer")
 
 
 @query(f"{_HALVES} SELECT kind, name, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, passed FROM d")
 def q_compare_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _halves(spark, sf_dir).select("kind", "name", F.round("baseline", 6).alias("baseline"), F.round("candidate", 6).alias("candidate"), "passed")
+    return _slices(pairs(spark, sf_dir))
+
+
+@query()
+def q_compare_slices_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slices(whole_pairs(spark, sf_dir))
+
+
+def _slices(both: DataFrame) -> DataFrame:
+    return _halves(both).select("kind", "name", F.round("baseline", 6).alias("baseline"), F.round("candidate", 6).alias("candidate"), "passed")
 
 
 @query(f"{_HALVES} SELECT *, improved AND no_regression AS accepted FROM (SELECT coalesce(max(CASE WHEN kind = 'overall' THEN -delta END) > 0, false) AS improved, bool_and(passed) AS no_regression, count(*) AS slices FROM d)")
 def q_compare_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.gate(_halves(spark, sf_dir))
+    return mt.gate(_halves(pairs(spark, sf_dir)))
+
+
+@query()
+def q_compare_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mt.gate(_halves(whole_pairs(spark, sf_dir)))
 
 
 @query(

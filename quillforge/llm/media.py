@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,10 +195,14 @@ def ogg_column(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
     return docs.withColumn(media, store(F.col(text)))
 
 
+#: Distance of each sample value from the middle.
+_AWAY = np.abs(np.arange(256) - 128).astype(np.uint8)
+
+
 def features(d: Decoded, payload: bytes) -> str:
-    """pages, packets, seconds by granule positions and the mean distance of samples from the middle."""
+    """pages, packets, seconds by granule positions and the mean distance of all samples from the middle."""
     seconds = max((end for _, end in d.times), default=0.0)
-    level = sum(map(abs, map((-128).__add__, payload[:: max(1, len(payload) // 64)][:64]))) / min(64, max(1, len(payload)))
+    level = int(_AWAY[np.frombuffer(payload, np.uint8)].sum(dtype=np.int64)) / max(1, len(payload))
     return f"pages={d.pages};packets={d.packets};streams={len(d.times)};seconds={seconds:.4f};level={level:.2f}"
 
 

@@ -58,3 +58,13 @@ def test_digest(awkward, empty):
     assert m.media_digest(empty).count() == 0
     stored = m.ogg_column(awkward, media="lang").select("lang", "text").collect()
     assert all(m.decode(bytes(r["lang"])).payload == m.pad((r["text"] or "").encode()) for r in stored)
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 4000, 70001])
+def test_level_takes_every_sample(n):
+    payload = m.pad(random.Random(n).randbytes(n))
+    level = lambda data: m.features(m.decode(m.encode(data)), data).split("level=")[1]
+    assert level(payload) == f"{sum(abs(b - 128) for b in payload) / len(payload):.2f}"
+    changed = bytearray(payload)
+    changed[1::2] = bytes(128 for _ in changed[1::2])
+    assert level(bytes(changed)) == f"{sum(abs(b - 128) for b in changed) / len(changed):.2f}"

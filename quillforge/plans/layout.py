@@ -136,12 +136,12 @@ def q_ctc_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_ctc_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beam search over lattices made from event values of a user: four labels and a blank."""
+    """Beam search over one lattice a user, made from the values of all events in order: four labels and a blank."""
     step = F.array(*(F.log(F.lit(0.05) + F.abs(F.sin(F.col("value") * (k + 1)))) for k in range(5)))
     norm = F.transform(step, lambda v: v - F.log(F.aggregate(F.transform(step, lambda u: F.exp(u)), F.lit(0.0), lambda a, b: a + b)))
-    rows = table(spark, sf_dir, "events").where("value is not null").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", norm.alias("p")))).alias("s"))
-    decoded = rows.select("user_id", "day", ctc.beam_decode(4)(F.transform("s", lambda x: x["p"])).alias("d"))
-    return decoded.select("user_id", "day", F.array_join("d.labels", ",").alias("labels"), F.round("d.log_prob", 6).alias("log_prob"))
+    rows = table(spark, sf_dir, "events").where("value is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", norm.alias("p")))).alias("s"))
+    decoded = rows.select("user_id", ctc.beam_decode()(F.transform("s", lambda x: x["p"])).alias("d"))
+    return decoded.select("user_id", F.array_join("d.labels", ",").alias("labels"), F.round("d.log_prob", 6).alias("log_prob"))
 
 
 _TEXT = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> '') AS text FROM conversations GROUP BY conv_id"

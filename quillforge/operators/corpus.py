@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +77,17 @@ def vocabulary(rows: DataFrame, text: str) -> DataFrame:
     return chars.select("char", F.row_number().over(Window.orderBy("char")).cast("long").alias("id"))
 
 
+def corpus_vocabulary(texts: DataFrame, text: str) -> DataFrame:
+    """``vocabulary`` of the NFC of ``texts``: blocks are reduced to their distinct characters where they are read."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches):
+            found = set().union(*(unicodedata.normalize("NFC", t) for t in block))
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(found)])], names=["t"])
+
+    return vocabulary(texts.select(F.lit(0).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(reduce, "t string"), "t")
+
+
 def missing_characters(rows: DataFrame, text: str, key: str, vocab: DataFrame) -> DataFrame:
     """How many rows hold each character that the vocabulary lacks."""
     chars = characters(rows.select(key, text), text).select(key, "char").distinct()
@@ -89,6 +103,96 @@ def ngram_counts(texts: DataFrame, text: str, order: int) -> DataFrame:
     return sized.groupBy("len", context.alias("context"), "token").agg(F.count("*").alias("n"))
 
 
+#: Characters counted at once, and the bits that hold one code point.
+_BLOCK, _BITS = 1_000_000, 21
+#: A model of at most so many trigrams is broadcast.
+_BROADCAST = 1_000_000
+
+
+def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For every character of ``texts``: the number of its text, and it with the two before it in one integer (63 bits, exact)."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join("\x01\x01" + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    ends = np.cumsum(sizes + 2)
+    real = np.ones(len(points), bool)
+    real[ends - sizes - 1] = real[ends - sizes - 2] = False
+    at = np.flatnonzero(real)
+    return np.repeat(np.arange(len(texts)), sizes), points[at - 2] << 2 * _BITS | points[at - 1] << _BITS | points[at]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts (not null or empty) of about ``_BLOCK`` characters."""
+    for batch in batches:
+        keys: list = []
+        texts: list[str] = []
+        size = 0
+        for i in range(batch.num_rows):
+            if t := batch.column(1)[i].as_py():
+                keys.append(batch.column(0)[i].as_py())
+                texts.append(t)
+                size += len(t)
+            if size >= _BLOCK:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+        if texts:
+            yield keys, texts
+
+
+def packed_trigrams(texts: DataFrame, text: str) -> DataFrame:
+    """(gram, n): how often each character follows the two before it, in one integer, over whole texts padded with U+0001.
+
+    Blocks are counted where they are read, so only distinct grams are dealt.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches):
+            gram, n = np.unique(_trigrams(block)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    return texts.select(F.lit(0).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _character(point: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
+def corpus_ngram_counts(texts: DataFrame, text: str, order: int) -> DataFrame:
+    """``ngram_counts`` for ``order`` up to 3 over a corpus: every order is summed from the distinct trigrams."""
+    if not 1 <= order <= 3:
+        raise ValueError("order must be 1 to 3")
+    part = lambda k: F.shiftright("gram", k * _BITS).bitwiseAND((1 << _BITS) - 1)
+    before = F.array(F.lit(""), _character(part(1)), F.concat(_character(part(2)), _character(part(1))))
+    sized = packed_trigrams(texts, text).select("n", _character(part(0)).alias("token"), F.posexplode(F.slice(before, 1, order)).alias("len", "context"))
+    return sized.groupBy("len", "context", "token").agg(F.sum("n").alias("n"))
+
+
+def corpus_scores(texts: DataFrame, text: str, key: str, vocabulary_size: int, alpha: float = 0.1) -> DataFrame:
+    """``backoff_scores`` at order 3 of ``texts`` under the model counted from the same ``texts``.
+
+    Every text is in the model, so every context of two characters is known and none backs off. The distinct trigrams of a
+    text are joined with the model, each once with its number of occurrences. The model's distinct trigrams stay cached.
+    """
+    grams = packed_trigrams(texts, text).persist()
+    context = F.shiftright("gram", _BITS)
+    totals = grams.groupBy(context.alias("c")).agg(F.sum("n").alias("total"))
+    log_p = F.log((F.col("n") + alpha) / (F.col("total") + alpha * vocabulary_size))
+    model = grams.withColumn("c", context).join(totals, "c").select("gram", log_p.alias("log_p"))
+    small = grams.count() <= _BROADCAST
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, block in _blocks(batches):
+            owner, gram = _trigrams(block)
+            order = np.lexsort((gram, owner))
+            owner, gram = owner[order], gram[order]
+            first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])])
+            times = np.diff(np.r_[first, len(gram)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).take(pa.array(owner[first])), pa.array(gram[first]), pa.array(times)], names=[key, "gram", "times"])
+
+    rows = texts.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("t"))
+    each = rows.mapInArrow(count, f"{key} long, gram long, times long").join(F.broadcast(model) if small else model, "gram")
+    return each.groupBy(key).agg(F.sum(F.col("times") * F.col("log_p")).alias("log_prob"), F.sum("times").alias("n_chars"))
+
+
 def backoff_scores(texts: DataFrame, text: str, key: str, counts: DataFrame, order: int, vocabulary_size: int, alpha: float = 0.1) -> DataFrame:
     """Sum of log probabilities of each text: the longest context ever seen decides, with additive smoothing."""
     padded = F.concat(F.repeat(F.lit("\x01"), order - 1), F.col(text))

@@ -178,3 +178,24 @@ def q_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cp.ngram_counts(items.where("item_id % 2 = 0"), "text", 3)
     got = cp.backoff_scores(items.where("item_id % 2 = 1"), "text", "item_id", counts, 3, 200)
     return got.select("item_id", F.round("log_prob", 4).alias("log_prob"), "n_chars")
+
+
+@query(
+    """SELECT char, row_number() OVER (ORDER BY encode(char)) AS id FROM (SELECT DISTINCT unnest(string_split(nfc_normalize(text), '')) AS char FROM documents) WHERE char NOT IN ('', chr(10), chr(13))"""
+)
+def q_corpus_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of all documents."""
+    return cp.corpus_vocabulary(_documents(spark, sf_dir), "text")
+
+
+@query()
+def q_corpus_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language model of all documents, whole."""
+    return cp.corpus_ngram_counts(_documents(spark, sf_dir), "text", 3)
+
+
+@query()
+def q_corpus_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the model of all documents (an alphabet of 200)."""
+    got = cp.corpus_scores(_documents(spark, sf_dir), "text", "doc_id", 200)
+    return got.select("doc_id", F.round("log_prob", 4).alias("log_prob"), "n_chars")

@@ -130,6 +130,16 @@ SELECT context, string_agg(token || '=' || n, '|' ORDER BY encode(token)) AS fol
 )
 def q_model_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bigram model with contexts and followers in order, as it is written."""
-    counts = cp.ngram_counts(table(spark, sf_dir, "benchmark"), "text", 2).where("len = 1")
+    return _export(cp.ngram_counts(table(spark, sf_dir, "benchmark"), "text", 2))
+
+
+@query()
+def q_corpus_model_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bigram model of all documents."""
+    return _export(cp.corpus_ngram_counts(table(spark, sf_dir, "documents"), "text", 2))
+
+
+def _export(model: DataFrame) -> DataFrame:
+    counts = model.where("len = 1")
     pairs = F.array_sort(F.collect_list(F.struct("token", "n")))
     return counts.groupBy("context").agg(pairs.alias("f")).select("context", F.array_join(F.transform("f", lambda x: F.concat(x["token"], F.lit("="), x["n"].cast("string"))), "|").alias("followers"))

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm.columns import U64, byte_table, mix, rows_of, slices, span_hash, text_bytes
+from quillforge.llm.columns import U64, WORD_BASE, byte_table, mix, powers, rows_of, slices, span_hash, text_bytes
+from quillforge.llm.stages import settle
 
 SAMPLE_ROWS = 12_000
 BUCKETS = 1 << 14
@@ -37,14 +38,23 @@ REACH = 2
 HIDDEN = 24
 THRESHOLD = 0.7
 SHAPES = 6
+#: Bytes of text that are held as tokens at a time, inside long documents too.
+CHUNK = 1 << 18
+#: Sampled rows up to which the labels are broadcast (16 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[32, 9, 10, 11, 12, 13]] = 0
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_TABLE = byte_table(fold=True) * (_KIND > 0).astype(U64)
+_NONE = np.zeros(0, U64)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each token, in order, and n + 1 token offsets of the rows."""
+def tokens(data: np.ndarray, offsets: np.ndarray, before: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each token, in order, n + 1 token offsets of the rows, and the hashes of the last two tokens.
+
+    ``before`` are the hashes of the two tokens before ``data`` where it continues a document.
+    """
     kind = _KIND[data]
     edge = np.ones(len(data), bool)
     edge[1:] = kind[1:] != kind[:-1]
@@ -53,23 +63,70 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, ends = cuts[:-1], cuts[1:]
     keep = kind[starts] > 0 if len(starts) else np.zeros(0, bool)
     starts, ends = starts[keep], ends[keep]
-    h = span_hash(data, starts, ends, byte_table(fold=True) * (kind_nonblank()))
+    if len(starts) == 1 and ends[0] - starts[0] > CHUNK:
+        h = _long_hash(data[starts[0] : ends[0]])
+    else:
+        h = span_hash(data, starts, ends, _TABLE)
     bucket = (h & U64(BUCKETS - 1)).astype(np.int32)
     row = np.searchsorted(offsets, starts, side="right") - 1
     first = data[starts] if len(starts) else data[:0]
-    second = data[np.minimum(starts + 1, len(data) - 1)] if len(starts) else data[:0]
+    second = np.where(ends - starts > 1, data[np.minimum(starts + 1, len(data) - 1)], 0) if len(starts) else data[:0]
     capital = (first >= 65) & (first <= 90)
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-    again[2:] |= (h[2:] == h[:-2]) & (row[2:] == row[:-2]) & (kind[starts[2:]] == 1)
+    past, k = np.concatenate([before, h]), len(before)
+    there = np.concatenate([np.zeros(k, row.dtype), row])
+    again = np.zeros(len(past), bool)
+    again[1:] = (past[1:] == past[:-1]) & (there[1:] == there[:-1])
+    again[2:] |= (past[2:] == past[:-2]) & (there[2:] == there[:-2]) & (np.concatenate([np.zeros(k, np.uint8), kind[starts]])[2:] == 1)
+    again = again[k:]
     shape = np.where(again, 0, np.where(capital & (second >= 65) & (second <= 90), 1, np.where(capital, 2, np.where((first >= 48) & (first <= 57), 3, np.where((_KIND[first] == 2) & (ends - starts > 1), 4, 5)))))
     both = np.empty(2 * len(bucket), np.int32)
     both[0::2], both[1::2] = bucket, BUCKETS + shape
-    return both, 2 * np.searchsorted(row, np.arange(len(offsets)))
+    return both, 2 * np.searchsorted(row, np.arange(len(offsets))), past[-2:]
+
+
+def _long_hash(data: np.ndarray) -> np.ndarray:
+    """``span_hash`` of one token longer than a chunk, summed chunk by chunk."""
+    total, mask = 0, (1 << 64) - 1
+    for a in range(0, len(data), CHUNK):
+        part = _TABLE[data[a : a + CHUNK]]
+        total += int((part * powers(WORD_BASE, len(part))).sum(dtype=U64)) * pow(WORD_BASE, a, 1 << 64)
+    return mix(np.array([(total + len(data) * 0x9E3779B97F4A7C15) & mask], U64))
+
 
+def token_chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(first row, row after the last, buckets, token offsets, whether the chunk goes on with the row before it).
 
-def kind_nonblank() -> np.ndarray:
-    return (_KIND > 0).astype(U64)
+    Chunks hold about ``CHUNK`` bytes: several short rows, or a part of a long one that ends between two tokens. Where
+    a long row is cut depends on that row alone.
+    """
+    for a, b in slices(offsets, CHUNK):
+        lo, hi = int(offsets[a]), int(offsets[b])
+        if hi - lo <= CHUNK:
+            yield (a, b, *tokens(data[lo:hi], offsets[a : b + 1] - lo)[:2], False)
+            continue
+        at, before = lo, _NONE
+        while at < hi:
+            end = _between(data, at, hi)
+            bucket, places, before = tokens(data[at:end], np.array([0, end - at]), before)
+            yield a, b, bucket, places, at > lo
+            at = end
+
+
+def _between(data: np.ndarray, at: int, hi: int) -> int:
+    """The last place between two tokens in the next ``CHUNK`` bytes; the end of the token where there is none."""
+    end = min(hi, at + CHUNK)
+    if end == hi:
+        return hi
+    kind = _KIND[data[at : end + 1]]
+    change = np.flatnonzero(kind[1:] != kind[:-1])
+    if len(change):
+        return at + int(change[-1]) + 1
+    while end < hi:
+        other = np.flatnonzero(_KIND[data[end : min(hi, end + CHUNK)]] != kind[0])
+        if len(other):
+            return end + int(other[0])
+        end = min(hi, end + CHUNK)
+    return hi
 
 
 def index_vectors(seed: int = 7) -> np.ndarray:
@@ -82,20 +139,20 @@ def index_vectors(seed: int = 7) -> np.ndarray:
     return out
 
 
-def context_sums(bucket: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """For each bucket, the sum of the index vectors around its tokens (integers, so any order of adding agrees)."""
-    row = rows_of(offsets)
-    total = np.zeros((len(index), DIM), np.int64)
-    for step in range(-REACH, REACH + 1):
-        a, b = max(0, -step), len(bucket) - max(0, step)
-        if a >= b:
-            continue
-        here, there = np.arange(a, b), np.arange(a, b) + step
-        ok = row[here] == row[there]
-        pair = bucket[here[ok]].astype(np.int64) * len(index) + bucket[there[ok]]
-        pair, count = np.unique(pair, return_counts=True)
-        np.add.at(total, pair // len(index), index[pair % len(index)] * count[:, None])
-    return total
+def context_sums(data: np.ndarray, offsets: np.ndarray, index: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total``, for each bucket, the index vectors around its tokens (integers, so any order of adding agrees)."""
+    last = np.zeros(0, np.int32)
+    for a, b, bucket, at, goes_on in token_chunks(data, offsets):
+        old = last if goes_on else last[:0]
+        line = np.concatenate([old, bucket])
+        row = np.concatenate([np.zeros(len(old), np.int64), rows_of(at)])
+        for step in range(REACH + 1):
+            later = np.arange(max(step, len(old)), len(line))
+            later = later[row[later] == row[later - step]]
+            pair, count = np.unique(line[later - step].astype(np.int64) * len(index) + line[later], return_counts=True)
+            for x, y in ((pair // len(index), pair % len(index)), (pair % len(index), pair // len(index)))[: 1 + (step > 0)]:
+                np.add.at(total, x, index[y] * count[:, None])
+        last = line[-REACH:]
 
 
 @dataclass
@@ -112,16 +169,15 @@ class Model:
 
     def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The document vectors of all rows; an empty text has zeros."""
-        out = np.zeros((len(offsets) - 1, DIM + 1))
-        for a, b in slices(offsets):
-            off = offsets[a : b + 1] - offsets[a]
-            bucket, at = tokens(data[offsets[a] : offsets[b]], off)
-            n = np.diff(at)
-            if len(bucket):
-                sums = np.add.reduceat(np.vstack([self.vectors[bucket], np.zeros((1, DIM), np.float32)]), at[:-1], axis=0, dtype=np.float64)
-                sums[n == 0] = 0
-                out[a:b, :DIM] = sums / np.maximum(n, 1)[:, None]
-            out[a:b, DIM] = np.log1p(n)
+        out, n = np.zeros((len(offsets) - 1, DIM + 1)), np.zeros(len(offsets) - 1, np.int64)
+        for a, b, bucket, at, _ in token_chunks(data, offsets):
+            count = np.diff(at)
+            has = np.flatnonzero(count)
+            if len(has):
+                out[a + has, :DIM] += np.add.reduceat(self.vectors[bucket], at[:-1][has], axis=0, dtype=np.float64)
+                n[a:b] += count
+        out[:, :DIM] /= np.maximum(n, 1)[:, None]
+        out[:, DIM] = np.log1p(n)
         return out
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -168,24 +224,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     The sample is the rows with the smallest seeded hash. Rows without a quality
     of 0 or 1 and without a document don't count; of several labels of one document the
-    smallest counts. With no rows, or one class only, every score is the
+    smallest counts, of several texts of one document that with the smallest hash. Null texts count as
+    empty; long ones are read whole, in chunks. The rows of the sample are fetched once and written to the
+    checkpoint folder. Extra columns don't matter. With no rows, or one class only, every score is the
     share of label 1 (0.5 with no rows).
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("doc_id is not null and quality in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    if sample_rows <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known, "doc_id")
+    rows = settle(rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(), None
+        index, seen = index_vectors(), False
+        total = np.zeros_like(index)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            for a, b in slices(offsets):
-                bucket, at = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                sums = context_sums(bucket, at, index)
-                total = sums if total is None else total + sums
-        if total is not None:
+            context_sums(*text_bytes(batch.column(0)), index, total)
+            seen = True
+        if seen:
             used = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, d]) for d in range(DIM))], names=["bucket", *(f"v{d}" for d in range(DIM))])
 
@@ -212,10 +271,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return _train(x[order], y[order], vectors)
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (columns of ``docs``; doc_id if not given) and a score from each whole text; null texts count as empty.
+def quality_scores(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` (columns of ``docs``; doc_id if not given) and a score, called ``name``, from each whole text; null texts count as empty.
 
-    A narrow map: no shuffle, one row for each input row. ``keep`` must not hold a column called score.
+    A narrow map: no shuffle, one row for each input row; equal texts score alike, wherever they stand. Long
+    texts take the memory of one chunk beside their own bytes. An empty table gives no rows. ``keep`` must not hold ``name``.
     """
     shared = spark.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
@@ -225,13 +285,17 @@ def quality_scores(spark: SparkSession, docs: DataFrame, model: Model, keep: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = shared.value.score(*text_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, name])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep)], T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep)], T.StructField(name, T.DoubleType())]))
 
 
 def quality_query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 from a score of ``THRESHOLD``) of every document."""
+    """doc_id, held_out, score and predicted (1 from a score of ``THRESHOLD``) of every row.
+
+    Null and empty texts have the score of a document without tokens; a null doc_id isn't held out; repeated rows
+    give repeated results; extra columns are dropped; without labels every score is 0.5; no documents, no rows.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = quality_scores(spark, docs, fit(docs, labels))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))

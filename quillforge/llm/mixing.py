@@ -19,10 +19,12 @@ from quillforge.llm.stages import settle
 
 MOST = 3
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Words that the knapsack table covers.
+#: Words that the knapsack table covers at the end of a budget; a larger table is exact for larger budgets.
 DP_BUDGET = 20_000
-#: Documents that one task ranks at a time, about.
-RANK_ROWS = 20_000
+#: Documents of one size of one source that one task ranks at a time, about.
+RANK_ROWS = 1_000
+#: Different (source, size) pairs up to which the plan is broadcast (about 100 bytes each).
+BROADCAST_KINDS = 200_000
 SEED = 17
 
 
@@ -67,7 +69,9 @@ def target_table(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
 def fit_budget(counts: list[tuple[int, int]], budget: int, dp_budget: int = DP_BUDGET) -> dict[int, int]:
     """How many documents of each size to take so that the sum comes as near ``budget`` as can be found.
 
-    Exact (no choice comes nearer) while ``budget`` is at most ``dp_budget``.
+    Exact (no choice comes nearer) while ``budget`` is at most ``dp_budget``. Beyond it a proportional share of every
+    size is taken first, and the table closes what is left, which lies between a quarter of ``dp_budget`` and all of it
+    (or every document is taken): the sum then misses by no more than the smallest size with a document left, mostly by nothing.
     """
     counts = [(s, n) for s, n in sorted(counts, reverse=True) if s > 0 and n > 0]
     whole = sum(s * n for s, n in counts)
@@ -115,61 +119,58 @@ def fit_budget(counts: list[tuple[int, int]], budget: int, dp_budget: int = DP_B
     return take
 
 
-def plan(lengths: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
-    """(source, size) -> base repeats for every document and how many of its documents get one more."""
+def plan(lengths: DataFrame, goals: DataFrame, most: int = MOST, dp_budget: int = DP_BUDGET) -> DataFrame:
+    """(source, size) -> base repeats for every document and how many of its documents get one more.
+
+    One task holds the (size, count) pairs of a source: as many as it has different sizes, not documents.
+    """
     joined = lengths.join(goals, F.col("source").eqNullSafe(F.col("g_source")), "inner")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         base = min(most, int(target // size)) if size else 0
         counts = list(zip(pdf["size"].astype(int), pdf["n"].astype(int), strict=True))
-        more = fit_budget(counts, round(target - base * size)) if base < most else {}
+        more = fit_budget(counts, round(target - base * size), dp_budget) if base < most else {}
         return pdf[["source", "size", "n", "source_size", "target"]].assign(base=base, more=[more.get(s, 0) for s, _ in counts])
 
     kinds = "source string, size long, n long, source_size long, target double, base long, more long"
     return joined.groupBy("source").applyInPandas(choose, kinds)
 
 
-def mix(docs: DataFrame, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``docs`` plus size, source_size, target and repeats (0 to ``most``) under names that start with mix_.
+def mix(docs: DataFrame, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, dp_budget: int = DP_BUDGET) -> DataFrame:
+    """The columns of ``docs`` as a struct ``doc``, with size, source_size, target and repeats (0 to ``most``).
 
     Null texts have size 0 and are taken ``base`` times like others of their source; a
     null source is a source of its own, last in order. Repeated rows are told
-    apart by doc_id and text where they differ; equal rows may trade places, which changes nothing.
-    Equal inputs give equal results. A size that very many documents share is ranked in
+    apart by doc_id and text where they differ; equal rows may trade places, which changes nothing. Columns
+    of ``docs`` may have any names. An empty table gives no rows.
+    Equal inputs give equal results. A size that many documents share is ranked in
     hash ranges of about ``RANK_ROWS`` rows.
     """
-    sized = docs.withColumn("mix_size", word_count(F.col("text"))).withColumn("mix_source", F.col("source").cast("string"))
-    sized = sized.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce(F.xxhash64("text"), F.lit(0))))
-    lengths = sized.groupBy(F.col("mix_source").alias("source"), F.col("mix_size").alias("size")).agg(F.count("*").alias("n"))
-    lengths = settle(lengths)  # the texts are read once for it, and once more for the rows
-    widest = lengths.agg(F.max("n")).first()[0] or 0
+    source, text = F.col("source").cast("string"), F.col("text")
+    key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce(F.xxhash64(text.cast("string")), F.lit(0)))
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), source.alias("source"), word_count(text).alias("size"), key.alias("key"))
+    lengths = settle(docs.select(source.alias("source"), word_count(text).alias("size")).groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = target_table(sizes, weights, most).withColumnRenamed("source", "g_source")
     ranges = F.ceil(F.col("n") / RANK_ROWS)
-    decided = plan(lengths, goals, most).select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "base", "more", ranges.alias("ranges"))
-    rows = sized.join(decided, F.col("mix_source").eqNullSafe(F.col("p_source")) & (F.col("mix_size") == F.col("p_size")), "inner")
-    rows = rows.withColumn("mix_range", F.when(F.col("ranges") <= 1, F.lit(0)).otherwise(F.pmod(F.shiftrightunsigned("mix_key", 20), F.col("ranges"))))
-    return _ranked(rows, widest > RANK_ROWS).drop("p_source", "p_size", "base", "more", "ranges", "mix_range", "mix_key", "mix_source", "before")
-
-
-def _ranked(rows: DataFrame, wide: bool) -> DataFrame:
-    """Rank within (source, size, range) plus the documents of the ranges before; the first ``more`` get one repeat more."""
-    group = ["mix_source", "mix_size", "mix_range"]
-    inner = Window.partitionBy(*group).orderBy("mix_key", "doc_id")
-    if not wide:
-        return rows.withColumn("mix_repeats", F.col("base") + (F.row_number().over(inner) <= F.col("more")).cast("long")).withColumn("before", F.lit(0))
-    split = rows.where("ranges > 1").groupBy(*group).agg(F.count("*").alias("k"))
-    prior = Window.partitionBy("mix_source", "mix_size").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    prior = split.select(F.col("mix_source").alias("b_source"), F.col("mix_size").alias("b_size"), F.col("mix_range").alias("b_range"), F.coalesce(F.sum("k").over(prior), F.lit(0)).alias("before"))
-    ranked = rows.withColumn("mix_rank", F.row_number().over(inner))
-    ranked = ranked.join(prior, F.col("mix_source").eqNullSafe(F.col("b_source")) & (F.col("mix_size") == F.col("b_size")) & (F.col("mix_range") == F.col("b_range")), "left").drop("b_source", "b_size", "b_range")
-    rank = F.col("mix_rank") + F.coalesce(F.col("before"), F.lit(0))
-    return ranked.withColumn("mix_repeats", F.col("base") + (rank <= F.col("more")).cast("long")).drop("mix_rank")
+    decided = settle(plan(lengths, goals, most, dp_budget).select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "source_size", "target", "base", "more", ranges.alias("ranges")))
+    if decided.count() <= BROADCAST_KINDS:
+        decided = F.broadcast(decided)
+    rows = sized.join(decided, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")), "inner")
+    rows = rows.withColumn("range", F.when(F.col("ranges") <= 1, F.lit(0)).otherwise(F.pmod(F.shiftrightunsigned("key", 20), F.col("ranges"))))
+    group = ["source", "size", "range"]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("key", "doc.doc_id"))
+    if not decided.where("ranges > 1").isEmpty():
+        split = rows.where("ranges > 1").groupBy(*group).agg(F.count("*").alias("k"))
+        prior = Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        prior = split.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("range").alias("b_range"), F.coalesce(F.sum("k").over(prior), F.lit(0)).alias("before"))
+        rows = rows.withColumn("place", place)
+        rows = rows.join(prior, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("range") == F.col("b_range")), "left")
+        place = F.col("place") + F.coalesce(F.col("before"), F.lit(0))
+    return rows.select("doc", "size", "source_size", "target", (F.col("base") + (place <= F.col("more")).cast("long")).alias("repeats"))
 
 
 def mix_query(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken words of every document."""
-    slim = docs.select("doc_id", "text", "source")
-    sized = mix(slim)
-    return sized.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_repeats")).alias("taken"))
+    """doc_id, size, source_size, target and taken words of every document; awkward rows as ``mix`` says."""
+    return mix(docs.select("doc_id", "text", "source")).select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))

@@ -58,5 +58,29 @@ def test_frame(make, monkeypatch, rank_rows):
 def test_awkward_rows(awkward, empty):
     got = m.mix_query(awkward).collect()
     assert len(got) == awkward.count()
-    assert {"score", "size", "shard", "mix_repeats"} <= set(m.mix(awkward).columns)
+    mixed = m.mix(awkward)
+    assert mixed.select("doc.*").columns == awkward.columns and {"size", "repeats"} <= set(mixed.columns)
     assert m.mix_query(empty).count() == 0
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "source", "base", "more", "ranges", "before", "p_size", "key", "doc", "size", "place", "range", "mix_size", "__x", "a.b", "Target"]
+    docs = spark.createDataFrame([(i, "w " * (i % 4), "s", *([i] * (len(names) - 3))) for i in range(40)], names)
+    got = m.mix(docs)
+    assert got.select("doc.*").columns == names
+    assert sorted(r["doc"]["base"] for r in got.collect()) == list(range(40))
+
+
+def test_a_larger_table_is_exact_for_larger_budgets():
+    rng = random.Random(5)
+    counts = [(rng.randrange(900, 5_000) * 7 + 3, rng.randrange(1, 4)) for _ in range(12)]
+    counts = list({s: n for s, n in counts}.items())
+    budget = sum(s * n for s, n in counts) * 2 // 5
+    sums = {0}
+    for s, n in counts:
+        sums = {x + s * k for x in sums for k in range(n + 1)}
+    best = min(abs(budget - x) for x in sums)
+    take = m.fit_budget(counts, budget, dp_budget=budget)
+    assert abs(budget - sum(s * k for s, k in take.items())) == best
+    near = m.fit_budget(counts, budget)
+    assert abs(budget - sum(s * k for s, k in near.items())) <= min(s for s, _ in counts)

@@ -42,7 +42,20 @@ def test_stages(spark, tmp_path):
 
 def test_awkward_rows(spark, awkward, empty, tmp_path):
     spark.createDataFrame([(6, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    for docs in (awkward.drop("score"), empty.drop("score")):
-        for _, stage in corpus_pipeline.STAGES:
+    for docs in (awkward, empty):
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
             out.collect()
+            assert name == "packing" or out.columns == docs.columns
+
+
+def test_clashing_names_keep_their_values(spark, tmp_path):
+    names = ["base", "more", "ranges", "before", "kept", "spans", "n_bytes", "n_removed", "score", "mix_size", "__x", "a.b", "Doc", "rest", "place", "repeats"]
+    data = [(i, f"short text number {i} " + ("again and again " * 20 if i % 2 else ""), "s", *(f"{i}-{n}" for n in names)) for i in range(12)]
+    docs = spark.createDataFrame(data, ["doc_id", "text", "source", *names])
+    spark.createDataFrame([(6, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{r['doc_id']}-{n}" for n in names], name

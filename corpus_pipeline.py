@@ -25,49 +25,81 @@ REJECT_BELOW = 0.3
 SHINGLE, PERCENT = 5, 80
 
 
+def _slim(docs: DataFrame, *needed: str) -> DataFrame:
+    """``needed`` and one struct of all other columns, so that no operator meets their names."""
+    rest = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))).alias("rest"))
+
+
+def _whole(slim: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of ``docs`` back from ``_slim``."""
+    rest = [c for c in docs.columns if c not in needed]
+    return slim.select(*(F.col(c) if c in needed else F.col(f"rest.c{rest.index(c)}").alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. Null and empty texts are scored like others."""
+    """Documents that the quality classifier doesn't reject.
+
+    Null and empty texts are scored like others; repeated rows share their fate; ties don't arise. Columns may have any
+    names and all stay. With no labels nothing is rejected. An empty table gives no rows.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
-    kept = docs.drop("score")
-    return quality_scores(spark, kept, model, kept.columns).where(F.col("score") >= REJECT_BELOW).drop("score")
+    slim = _slim(docs, "doc_id", "text")
+    scored = quality_scores(spark, slim, model, slim.columns).where(F.col("score") >= REJECT_BELOW)
+    return _whole(scored, docs, "doc_id", "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest doc_id.
 
-    Rows that share a doc_id are one document: the row with the smallest hash of its text stays. Rows without an id stay.
+    Rows that share a doc_id are one document: the row with the smallest hash of its text stays, of equal texts any one.
+    Rows without an id and documents without words stay. Columns may have any names. An empty table gives no rows.
     """
-    found = near_duplicates(docs, SHINGLE, PERCENT)
-    left = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    slim = _slim(docs, "doc_id", "text")
+    found = near_duplicates(slim, SHINGLE, PERCENT)
+    left = slim.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
     twice = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not twice.limit(1).count():
-        return left
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    return left.withColumn("__first", first).where((F.col("__first") == 1) | F.col("doc_id").isNull()).drop("__first")
+    if not twice.isEmpty():
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+        left = left.withColumn("place", place).where((F.col("place") == 1) | F.col("doc_id").isNull())
+    return _whole(left, docs, "doc_id", "text")
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of any 200-byte string that starts twice or more.
 
-    A character that is cut in two reads U+FFFD. Documents of which nothing is left go; those that were empty stay.
+    A character that is cut in two reads U+FFFD. Documents of which nothing is left go; those that were empty or null
+    stay. Repeated rows of 200 bytes or more remove each other. n_chars, where there is one, follows a text that was
+    cut; other columns, of any names, stay as they are. An empty table gives no rows.
     """
-    cut = cut_spans(docs)
+    cut = cut_spans(_slim(docs, "doc_id", "text"))
     cut = cut.where(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_bytes"))))
     text = F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("text"))
     cut = cut.withColumn("text", text)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        old = f"rest.c{[c for c in docs.columns if c not in ('doc_id', 'text')].index('n_chars')}"
+        length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(old)).cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("rest", F.col("rest").withField(old.removeprefix("rest."), length))
+    return _whole(cut, docs, "doc_id", "text")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: none to three rows each."""
-    taken = mix(docs).where("mix_repeats > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_repeats")))).select(*docs.columns)
+    """Documents as often as the mixture takes them: none to three rows each.
+
+    Null texts have size 0, a null source is a source of its own, repeated rows are taken one by one, ties in size go by
+    a seeded hash. Columns may have any names. An empty table gives no rows.
+    """
+    taken = mix(docs).where("repeats > 0")
+    copies = taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    return copies.select(*(F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of at most 1024 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Token pieces in sequences of at most 1024 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is one piece, its end mark. Repeated rows (the mixture makes them) are packed one by one. Other
+    columns, of any names, don't matter. An empty table gives no rows.
+    """
     return pack(pieces(docs, "byte_bpe_50k.json"))
 
 

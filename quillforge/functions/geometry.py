@@ -75,22 +75,35 @@ def rotated(b: Box, degrees: Column, width: Column, height: Column) -> Box:
     )
 
 
-def pair_features(a: Box, b: Box, width: Column, height: Column) -> Column:
-    """Differences of centres and edges by page size, axis overlaps and area ratio of an ordered pair."""
-    cx = lambda k: k.x + k.w / 2
-    cy = lambda k: k.y + k.h / 2
-    parts = [
-        (cx(b) - cx(a)) / width,
-        (cy(b) - cy(a)) / height,
-        (b.x - a.x) / width,
-        (b.y - a.y) / height,
-        axis_ratio(a.x, a.right, b.x, b.right),
-        axis_ratio(a.y, a.bottom, b.y, b.bottom),
-        safe_ratio(F.least(a.area, b.area), F.greatest(a.area, b.area)),
-    ]
+#: Block types and roles in the order of their features.
+TYPES, ROLES = ("heading", "paragraph", "list", "table", "image"), ("header", "footer")
+
+
+def block_features(b: Box, kind: Column, role: Column, width: Column, height: Column) -> Column:
+    """16 numbers of a block: edges, middle, size and area by page size, its type and its role as flags."""
+    left, top, right, bottom = b.x / width, b.y / height, b.right / width, b.bottom / height
+    wide, high = b.w / width, b.h / height
+    flags = [F.coalesce(kind == t, F.lit(False)) for t in TYPES] + [F.coalesce(role == r, F.lit(False)) for r in ROLES]
+    parts = [left, top, right, bottom, (left + right) / 2, (top + bottom) / 2, wide, high, wide * high, *flags]
     return F.array(*(p.cast("double") for p in parts))
 
 
+def pair_features(a: Column, b: Column) -> Column:
+    """38 numbers of an ordered pair: the features of both, differences of middles and sizes, overlap along both axes by the shorter side."""
+    at = lambda k, i: F.get(k, F.lit(i))
+
+    def along(low: int, high: int) -> Column:
+        both = F.least(at(a, high), at(b, high)) - F.greatest(at(a, low), at(b, low))
+        return F.greatest(F.lit(0.0), both) / F.greatest(F.lit(1e-6), F.least(at(a, high) - at(a, low), at(b, high) - at(b, low)))
+
+    return F.concat(a, b, F.array(*(at(b, i) - at(a, i) for i in (4, 5, 6, 7)), along(0, 2), along(1, 3)))
+
+
+def moved(b: Box, dx: Column, dy: Column) -> Box:
+    """The box of a part of a page, in the page's own coordinates."""
+    return Box(b.x + dx, b.y + dy, b.w, b.h)
+
+
 def resize_plan(width: Column, height: Column, target_height: int, target_width: int) -> Column:
     """Width of a line scaled to ``target_height``, at least 1 and at most ``target_width`` (halves to even)."""
     return F.greatest(F.lit(1), F.least(F.lit(target_width), F.bround(width * target_height / height).cast("int")))

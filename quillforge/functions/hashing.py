@@ -30,6 +30,11 @@ def framed(text: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(text)), 16, "0")), F.encode(text, "UTF-8"))
 
 
+def json_array(*values: Column) -> Column:
+    """Strings as a compact JSON array, other scripts as they are."""
+    return F.concat(F.lit("["), F.concat_ws(",", *(F.to_json(F.array(v.cast("string"))).substr(F.lit(2), F.char_length(F.to_json(F.array(v.cast("string")))) - 2) for v in values)), F.lit("]"))
+
+
 def set_fingerprint(texts: Column) -> Column:
     """SHA-256 over the framed distinct texts in code-point order (``texts``: an aggregated array)."""
     return F.sha2(F.aggregate(F.array_sort(F.array_distinct(texts)), F.lit(b""), lambda acc, t: F.concat(acc, framed(t))), 256)

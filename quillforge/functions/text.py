@@ -19,9 +19,15 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+#: Characters that are composed already, whatever stands beside them (their neighbours in this set included).
+_COMPOSED = r"\x{00}-\x{2FF}\x{400}-\x{482}\x{48A}-\x{52F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+
+
 def nfc(text: Column) -> Column:
-    """Canonical composition; ASCII texts never leave the JVM."""
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(_nfc(text))
+    """Canonical composition. Texts of characters that are composed whatever stands beside them (ASCII among them) are
+    seen by the JVM alone: Python is handed a null for them."""
+    composed = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(f"[^{_COMPOSED}]")
+    return F.when(composed, text).otherwise(_nfc(F.when(~composed, text)))
 
 
 def tidy(text: Column) -> Column:
@@ -41,11 +47,15 @@ def normalize_line(text: Column) -> Column:
     return normalize_text(F.translate(text, "\r\n", "  "))
 
 
+def count_of(text: Column, inside: str) -> Column:
+    """Characters of a class (the inside of a character class), counted run by run."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{inside}]+", ""))
+
+
 def script_ratio(text: Column, script: str = LAO) -> Column:
     """Share of the letters and digits that belong to ``script`` (inside of a character class); 0 without any."""
-    of = F.regexp_count(text, F.lit(f"[{script}]"))
-    every = F.regexp_count(text, F.lit(rf"[\p{{L}}\p{{N}}_{script}]"))
-    return F.when(every == 0, F.lit(0.0)).otherwise(of / every)
+    every = count_of(text, rf"\p{{L}}\p{{N}}_{script}")
+    return F.when(every == 0, F.lit(0.0)).otherwise(count_of(text, script) / every)
 
 
 def eligible(text: Column, script: str = LAO, shortest: int = 8, longest: int = 180, least: float = 0.5) -> Column:
@@ -67,48 +77,57 @@ def char_edits(reference: Column, hypothesis: Column) -> Column:
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance over words: each distinct word of the pair becomes one private character."""
+    """Edit distance over words: each distinct word of the pair becomes one character (a pair may hold a million different ones)."""
     both = F.array_distinct(F.concat(words(reference), words(hypothesis)))
 
     def coded(text: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(both, w)), 4, "0")), "UTF-16BE")
+        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) + F.array_position(both, w)), 8, "0")), "UTF-32")
         return F.array_join(F.transform(words(text), code), "")
 
     return F.levenshtein(coded(reference), coded(hypothesis))
 
 
 def text_stats(text: Column, script: str = LAO) -> dict[str, Column]:
-    """Counts by kind of character."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
+    """Counts by kind of character. What ASCII texts can't hold isn't looked for in them."""
+    plain = F.octet_length(text) == F.char_length(text)
+    rare = lambda inside: F.when(plain, 0).otherwise(count_of(text, inside)).cast("long")
+    both = lambda ascii_, inside: F.when(plain, count_of(text, ascii_)).otherwise(count_of(text, inside)).cast("long")
     return {
         "n_chars": F.char_length(text).cast("long"),
-        "n_solid": count(r"[^\s\x{0085}\x{00A0}]"),
-        "n_words": F.size(words(text)).cast("long"),
-        "n_lines": F.when(text == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n", -1))).cast("long"),
-        "n_script": count(f"[{script}]"),
-        "n_letters": count(r"\p{L}"),
-        "n_marks": count(r"\p{M}"),
-        "n_digits": count(r"\p{Nd}"),
-        "n_punct": count(r"[\p{P}\p{S}]"),
-        "n_replaced": count("�"),
+        "n_solid": both(r"\S", r"^\s\x{0085}\x{00A0}"),
+        "n_words": F.regexp_count(text, F.lit(r"(?U)\S+")).cast("long"),
+        "n_lines": F.when(text == "", 0).otherwise(F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + F.when(F.endswith(text, F.lit("\n")), 0).otherwise(1)).cast("long"),
+        "n_script": both("A-Za-z", script) if script == LATIN else rare(script),
+        "n_letters": both("A-Za-z", r"\p{L}"),
+        "n_marks": rare(r"\p{M}"),
+        "n_digits": both("0-9", r"\p{Nd}"),
+        "n_punct": both(r"!-/:-@\[-`{-~", r"\p{P}\p{S}"),
+        "n_replaced": rare("\N{REPLACEMENT CHARACTER}"),
     }
 
 
+def text_ratios(stats: dict[str, Column]) -> dict[str, Column]:
+    """Shares of ``text_stats``: script, replaced and digit characters among the solid ones; 0 without any."""
+    share = lambda n: F.when(stats["n_solid"] == 0, F.lit(0.0)).otherwise(stats[n] / F.when(stats["n_solid"] == 0, F.lit(1)).otherwise(stats["n_solid"]))
+    return {"script_share": share("n_script"), "digit_share": share("n_digits"), "replaced_share": share("n_replaced")}
+
+
 def clusters(text: Column) -> Column:
     """Base characters with the marks that follow; leading marks stand alone."""
     return F.regexp_extract_all(text, F.lit(r"\P{M}\p{M}*|^\p{M}+"), F.lit(0))
 
 
-#: How list items begin.
-NUMBERED, BULLETED = r"^\s*\d{1,3}[.)]\s+", r"^\s*[-*\x{2022}\x{25E6}\x{2013}]\s+"
+#: How list items begin, and what the styles are called.
+ORDERED_ITEM, BULLET_ITEM = r"^\d{1,3}[.)]\s+", r"^[\x{2022}\x{25AA}\x{25E6}\x{25CF}*\-]\s+"
+ORDERED, BULLET = "ordered", "bullet"
 
 
 def prefix_style(text: Column) -> Column:
-    return F.when(text.rlike(NUMBERED), "numbered").when(text.rlike(BULLETED), "bulleted")
+    return F.when(text.rlike(ORDERED_ITEM), ORDERED).when(text.rlike(BULLET_ITEM), BULLET)
 
 
 def strip_prefix(text: Column) -> Column:
-    return F.regexp_replace(text, f"{NUMBERED}|{BULLETED}", "")
+    return F.trim(F.regexp_replace(text, f"{ORDERED_ITEM}|{BULLET_ITEM}", ""))
 
 
 def list_style(lines: Column) -> Column:
@@ -118,22 +137,50 @@ def list_style(lines: Column) -> Column:
     return F.when(F.get(styles, F.lit(0)).isNotNull() & (F.size(some) == 1), F.get(some, F.lit(0)))
 
 
+def list_items(lines: Column) -> Column:
+    """The items of a list: a line with a prefix opens one, others go on with it; empty items go. Null for what is no list."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc: Column, line: Column) -> Column:
+        opens = prefix_style(line).isNotNull()
+        done = F.when(opens & (acc["open"] != ""), F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(opens, strip_prefix(line)).otherwise(F.trim(F.concat(acc["open"], F.lit(" "), F.trim(line)))).alias("open"))
+
+    items = F.aggregate(lines, start, step, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+    return F.when(list_style(lines).isNotNull() & (F.size(items) > 0), items)
+
+
 def value_like(text: Column) -> Column:
     """A number or an amount with a currency: a digit, and nothing but digits, separators and currency signs."""
     return text.rlike(r"\d") & text.rlike(r"(?i)^\s*(?:[$\x{20AD}\x{20AC}\x{0E3F}]|LAK|USD|THB)?\s*[+-]?[\d.,\s]+%?\s*(?:[$\x{20AD}\x{20AC}\x{0E3F}]|LAK|USD|THB|\x{0E81}\x{0EB5}\x{0E9A})?\s*$")
 
 
+#: What a name without anything usable is called, and the longest stem.
+UNNAMED, STEM = "document", 120
+
+
 def safe_filename(name: Column) -> Column:
-    """The last path part without control characters, marks kept with their letters, other signs as _; "upload" if nothing is left."""
-    base = F.element_at(F.split(F.translate(nfc(name), "\\", "/"), "/"), -1)
-    clean = F.regexp_replace(F.regexp_replace(base, r"\p{C}", ""), r"[^\p{L}\p{M}\p{N}._-]+", "_")
-    clean = F.regexp_replace(clean, r"^[._]+|[._]+$", "")
-    return F.when(clean == "", "upload").otherwise(F.substring(clean, 1, 120))
+    """The last path part as a safe name: control characters go, marks stay with the letters of the stem, other signs read _.
+
+    The suffix is what follows the last dot (not at either end), in lower case. Blanks of the stem are collapsed, its ends
+    stripped of blanks and dots; an empty stem reads "document".
+    """
+    base = F.element_at(F.split(F.translate(nfc(F.coalesce(name, F.lit(UNNAMED))), "\\", "/"), "/"), -1)
+    base = F.regexp_replace(base, r"(?U)^\s+|\s+$", "")
+    suffix = F.regexp_extract(base, r"(?s)^.+(\.[^.]+)$", 1)
+    stem = F.left(base, F.char_length(base) - F.char_length(suffix))
+    clean = lambda t, kept: F.regexp_replace(F.regexp_replace(t, r"\p{C}", ""), rf"[^{kept}]", "_")
+    ends = lambda t: F.regexp_replace(t, r"^[ .]+|[ .]+$", "")
+    stem = ends(F.regexp_replace(clean(stem, r"\p{L}\p{M}\p{N} ._\-"), " +", " "))
+    stem = F.regexp_replace(F.left(stem, F.lit(STEM)), "[ .]+$", "")
+    stem = F.when(stem == "", UNNAMED).otherwise(stem)
+    return F.when(base.isin("", ".", ".."), UNNAMED).otherwise(F.concat(stem, clean(F.lower(suffix), r"\p{L}\p{N}._\-")))
 
 
 def route(path: Column) -> Column:
-    """Path with identifiers replaced: numbers and long hexadecimal parts read {id}; queries and fragments go."""
-    return F.regexp_replace(F.regexp_replace(path, r"[?#].*$", ""), r"/(?:\d+|[0-9a-fA-F-]{16,})(?=/|$)", "/{id}")
+    """The template of a request path: job numbers read {job_id}; other paths stay as they are."""
+    template = F.when(path.rlike(r"^/v1/jobs/[^/]+/download\z"), "/v1/jobs/{job_id}/download").when(path.rlike(r"^/v1/jobs/[^/]+\z"), "/v1/jobs/{job_id}")
+    return F.when(path == "/v1/jobs/batch", path).otherwise(F.coalesce(template, path))
 
 
 def escape_label(value: Column) -> Column:

@@ -27,6 +27,12 @@ def violations(samples: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (single, twice, leaks, equal))
 
 
+def is_real_source(tags: Column) -> Column:
+    """Whether tags prove a real source: a real document, or a real capture with optical evidence."""
+    has = lambda t: F.array_contains(tags, t)
+    return has("source:real-document") | (has("source:real-capture") & has("capture:optical-evidence"))
+
+
 def leakage(samples: DataFrame) -> DataFrame:
     sets = samples.groupBy("document_id").agg(F.array_sort(F.collect_set("split")).alias("s"))
     return sets.where(F.size("s") > 1).select("document_id", F.array_join("s", ",").alias("splits"))

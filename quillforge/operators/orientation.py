@@ -16,11 +16,29 @@ def line_stats(lines: DataFrame) -> DataFrame:
     return sums.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("score", F.col("confidence") * F.log1p("chars"))
 
 
-def line_geometry(lines: DataFrame, times: float = 1.5) -> DataFrame:
-    """Lines that are clearly wide or clearly tall, and whether tall ones prevail."""
-    wide, tall = F.col("w") >= F.col("h") * times, F.col("h") >= F.col("w") * times
-    got = lines.groupBy("page").agg(F.count_if(wide).alias("wide"), F.count_if(tall).alias("tall"))
-    return got.withColumn("tall_prevail", F.col("tall") > F.col("wide"))
+def line_geometry(lines: DataFrame, *keys: str) -> DataFrame:
+    """Counts of lines along both axes and their solid characters, and whether sideways text prevails, by ``keys`` (page if none).
+
+    Lines of fewer than two characters, square ones and those without a size are ignored.
+    """
+    n = F.char_length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s", ""))
+    w, h = F.col("w").cast("double"), F.col("h").cast("double")
+    sound = (n >= 2) & (F.least(w, h) > 0) & (w != h) & (F.greatest(w, h) < float("inf"))
+    axis = F.when(F.coalesce(sound, F.lit(False)), F.when(w > h, "horizontal").otherwise("vertical"))
+    each = lines.withColumns({"axis": axis, "n": n})
+    chars = lambda a: F.coalesce(F.sum(F.when(F.col("axis") == a, F.col("n"))), F.lit(0)).cast("long")
+    got = each.groupBy(*(keys or ("page",))).agg(*(F.count_if(F.col("axis") == a).alias(f"{a}_lines") for a in ("horizontal", "vertical")), *(chars(a).alias(f"{a}_characters") for a in ("horizontal", "vertical")), F.count_if(F.col("axis").isNull()).alias("ignored_lines"))
+    return got.withColumn("sideways", (F.col("vertical_lines") >= 2) & (F.col("vertical_characters") > F.col("horizontal_characters")))
+
+
+#: Confidence from which no other turn is tried, and confidence, characters and share of the script that do as well.
+SURE, SCRIPT_SURE, SCRIPT_CHARS, SCRIPT_SHARE = 0.65, 0.45, 200, 0.75
+
+
+def skip_reason(confidence: Column, chars: Column, script_share: Column, sideways: Column) -> Column:
+    """Why other turns need not be tried: high confidence, or a baseline mostly in the script; null where they must, as sideways text always must."""
+    reason = F.when(confidence >= SURE, "high-confidence").when((confidence >= SCRIPT_SURE) & (chars >= SCRIPT_CHARS) & (script_share >= SCRIPT_SHARE), "lao-dominant-baseline")
+    return F.when(~sideways, reason)
 
 
 def acceptable(score: Column, confidence: Column, chars: Column, upright_score: Column, upright_confidence: Column, upright_chars: Column) -> Column:

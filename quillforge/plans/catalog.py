@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillforge.plans import corpus, evaluation, layout, pages, service
+from quillforge.plans import assembly, audits, corpus, evaluation, layout, pages, rollups, service, values
 from quillforge.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "layout", "pages", "service"]
+__all__ = ["ORACLES", "QUERIES", "assembly", "audits", "corpus", "evaluation", "layout", "pages", "rollups", "service", "values"]

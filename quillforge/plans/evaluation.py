@@ -12,29 +12,21 @@ from quillforge.plans.corpus import _SPLIT
 from quillforge.plans.registry import query
 from quillforge.tables import table
 
-_PAIRS = r"""pairs AS (SELECT a.conv_id * 100 + a.turn AS sample_id, a.conv_id, a.role AS subset, substr(a.text, 1, 200) AS reference, substr(b.text, 1, 200) AS hypothesis
-FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
-WHERE regexp_full_match(substr(a.text, 1, 200), '[\x00-\x7F]*') AND regexp_full_match(substr(b.text, 1, 200), '[\x00-\x7F]*')),
-edits AS (SELECT *, levenshtein(reference, hypothesis) AS char_edits, length(reference) AS n_chars, length(hypothesis) AS h_chars,
-['role-' || subset, CASE WHEN length(reference) > 100 THEN 'long' ELSE 'short' END] AS tags FROM pairs)"""
+#: DuckDB's levenshtein counts bytes, so each pair's characters are renamed to the first ASCII ones, of which a pair uses fewer than 127.
+_CODED = """pairs AS (SELECT a.conv_id * 100 + a.turn AS sample_id, a.conv_id, a.turn, a.role AS subset, a.text AS reference, b.text AS hypothesis FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+letters AS (SELECT *, array_to_string(list_distinct(string_split(reference || hypothesis, '')), '') AS alphabet, (SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(1, 128) t(i)) AS ascii FROM pairs),
+edits AS (SELECT * EXCLUDE (alphabet, ascii), CASE WHEN length(alphabet) > 127 THEN error('too many characters') ELSE levenshtein(translate(reference, alphabet, left(ascii, length(alphabet))), translate(hypothesis, alphabet, left(ascii, length(alphabet)))) END AS char_edits,
+length(reference) AS n_chars, length(hypothesis) AS h_chars, ['role-' || subset, CASE WHEN length(reference) > 100 THEN 'long' ELSE 'short' END] AS tags FROM letters)"""
 _RATE = "CASE WHEN sum(n_chars) = 0 THEN (sum(h_chars) > 0)::INT::DOUBLE ELSE sum(char_edits) / sum(n_chars) END"
 _REPORT = """SELECT 'overall' AS kind, 'all' AS name, * FROM edits {0} UNION ALL SELECT 'subset', subset, * FROM edits {0} UNION ALL SELECT 'tag', unnest(tags), * FROM edits {0}"""
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs that the SQL of these queries can follow: ASCII in the first 200 characters, and only those (DuckDB's levenshtein counts bytes)."""
-    head = lambda c: F.substring(c, 1, 200)
-    ascii_only = lambda c: c.rlike(r"\A[\x00-\x7F]*\z")
-    cut = _turn_pairs(spark, sf_dir).withColumns({"reference": head("reference"), "hypothesis": head("hypothesis")})
-    return _tagged(cut.where(ascii_only(F.col("reference")) & ascii_only(F.col("hypothesis"))))
-
-
-def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as reference and the next as hypothesis, whole and in every script."""
-    return _tagged(_turn_pairs(spark, sf_dir))
+    return _tagged(turn_pairs(spark, sf_dir))
 
 
-def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     a = turns.select("conv_id", "turn", F.col("role").alias("subset"), F.col("text").alias("reference"))
     b = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
@@ -51,31 +43,21 @@ def _axes():
     return F.concat(F.array(pair("overall", F.lit("all")), pair("subset", F.col("subset"))), F.transform("tags", lambda t: pair("tag", t)))
 
 
-@query(f"WITH {_PAIRS} SELECT sample_id, char_edits, n_chars, round(CASE WHEN n_chars = 0 THEN (h_chars > 0)::INT::DOUBLE ELSE char_edits / n_chars END, 6) AS cer FROM edits")
+@query(f"WITH {_CODED} SELECT sample_id, char_edits, n_chars, round(CASE WHEN n_chars = 0 THEN (h_chars > 0)::INT::DOUBLE ELSE char_edits / n_chars END, 6) AS cer FROM edits")
 def q_cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cer(pairs(spark, sf_dir))
 
 
-@query()
-def q_cer_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cer(whole_pairs(spark, sf_dir))
-
-
 def _cer(both: DataFrame) -> DataFrame:
     e = mt.edit_columns(both)
     return e.select("sample_id", "char_edits", "n_chars", F.round(mt.tx.error_rate(F.col("char_edits"), F.col("n_chars"), F.col("h_chars")), 6).alias("cer"))
 
 
-@query(f"WITH {_PAIRS} SELECT kind, name, count(*) AS samples, sum(char_edits)::BIGINT AS char_edits, sum(n_chars)::BIGINT AS n_chars, round({_RATE}, 6) AS cer FROM ({_REPORT.format('')}) GROUP BY kind, name")
+@query(f"WITH {_CODED} SELECT kind, name, count(*) AS samples, sum(char_edits)::BIGINT AS char_edits, sum(n_chars)::BIGINT AS n_chars, round({_RATE}, 6) AS cer FROM ({_REPORT.format('')}) GROUP BY kind, name")
 def q_cer_by_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_axis(pairs(spark, sf_dir))
 
 
-@query()
-def q_cer_by_axis_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_axis(whole_pairs(spark, sf_dir))
-
-
 def _by_axis(both: DataFrame) -> DataFrame:
     got = mt.report(mt.edit_columns(both), _axes())
     return got.select("kind", "name", "samples", "char_edits", "n_chars", F.round("cer", 6).alias("cer"))
@@ -83,30 +65,25 @@ def _by_axis(both: DataFrame) -> DataFrame:
 
 @query()
 def q_wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = mt.edit_columns(whole_pairs(spark, sf_dir))
+    e = mt.edit_columns(pairs(spark, sf_dir))
     return e.select("sample_id", "word_edits", "n_words", F.round(mt.tx.error_rate(F.col("word_edits"), F.col("n_words"), F.col("h_words")), 6).alias("wer"))
 
 
 @query(
-    f"""WITH {_PAIRS} SELECT subset, count(*) AS samples, count(*) FILTER (WHERE reference = hypothesis) AS exact, count(*) FILTER (WHERE hypothesis = '') AS empty,
+    f"""WITH {_CODED} SELECT subset, count(*) AS samples, count(*) FILTER (WHERE reference = hypothesis) AS exact, count(*) FILTER (WHERE hypothesis = '') AS empty,
 round(count(*) FILTER (WHERE reference = hypothesis) / count(*), 6) AS exact_ratio FROM edits GROUP BY subset"""
 )
 def q_line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_metrics(pairs(spark, sf_dir))
 
 
-@query()
-def q_line_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_metrics(whole_pairs(spark, sf_dir))
-
-
 def _line_metrics(both: DataFrame) -> DataFrame:
     exact = F.count_if(F.col("reference") == F.col("hypothesis"))
     got = both.groupBy("subset").agg(F.count("*").alias("samples"), exact.alias("exact"), F.count_if(F.col("hypothesis") == "").alias("empty"))
     return got.withColumn("exact_ratio", F.round(F.try_divide("exact", "samples"), 6))
 
 
-_HALVES = f"""WITH {_PAIRS}, b AS (SELECT kind, name, {_RATE} AS cer FROM ({_REPORT.format('WHERE conv_id % 2 = 0')}) GROUP BY kind, name),
+_HALVES = f"""WITH {_CODED}, b AS (SELECT kind, name, {_RATE} AS cer FROM ({_REPORT.format('WHERE conv_id % 2 = 0')}) GROUP BY kind, name),
 c AS (SELECT kind, name, {_RATE} AS cer FROM ({_REPORT.format('WHERE conv_id % 2 = 1')}) GROUP BY kind, name),
 d AS (SELECT kind, name, b.cer AS baseline, c.cer AS candidate, c.cer - b.cer AS delta, c.cer - b.cer <= 0 AS passed FROM b JOIN c USING (kind, name))"""
 
@@ -122,11 +99,6 @@ def q_compare_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slices(pairs(spark, sf_dir))
 
 
-@query()
-def q_compare_slices_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _slices(whole_pairs(spark, sf_dir))
-
-
 def _slices(both: DataFrame) -> DataFrame:
     return _halves(both).select("kind", "name", F.round("baseline", 6).alias("baseline"), F.round("candidate", 6).alias("candidate"), "passed")
 
@@ -136,20 +108,17 @@ def q_compare_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.gate(_halves(pairs(spark, sf_dir)))
 
 
-@query()
-def q_compare_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.gate(_halves(whole_pairs(spark, sf_dir)))
-
-
 @query(
-    """WITH b AS (SELECT doc_id AS id, lang AS subset FROM documents WHERE doc_id % 7 <> 0), c AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'moved' ELSE lang END AS subset FROM documents WHERE doc_id % 11 <> 0)
+    """WITH b AS (SELECT doc_id AS id, lang AS subset FROM documents), c AS (SELECT l.doc_id AS id, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE d.lang END AS subset FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id)
 SELECT id, change FROM (SELECT coalesce(b.id, c.id) AS id, CASE WHEN c.id IS NULL THEN 'missing' WHEN b.id IS NULL THEN 'extra' WHEN b.subset <> c.subset THEN 'relabelled' END AS change FROM b FULL JOIN c ON b.id = c.id) WHERE change IS NOT NULL"""
 )
 def q_compare_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two made-up reports over documents: each lacks some samples, and one has moved some to another subset."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("subset"), F.array(F.col("source")).alias("tags"))
-    moved = d.withColumn("subset", F.when(F.col("id") % 5 == 0, "moved").otherwise(F.col("subset")))
-    return mt.signature_changes(d.where("id % 7 <> 0"), moved.where("id % 11 <> 0"))
+    """Documents against labels: a document without a label is missing, a toxic one has moved to a subset of its own."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("subset"))
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic")).join(d, "id", "left")
+    moved = labelled.select("id", F.when(F.col("toxic") == 1, "toxic").otherwise(F.col("subset")).alias("subset"))
+    none = F.array().cast("array<string>").alias("tags")
+    return mt.signature_changes(d.select("*", none), moved.select("*", none))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,14 +134,29 @@ list_filter([CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN n_chars > 2000 THEN
 CASE WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'rejected' ELSE 'unreviewed' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
+#: Samples of which some break each rule: paths, hashes and tags are spoilt by the document's number.
+_SPOILT = f"""{_SAMPLES}, q AS (SELECT * EXCLUDE (sha256, tags), CASE id % 9 WHEN 0 THEN '/' || id WHEN 1 THEN 'a/../' || id WHEN 2 THEN 'C:' || id WHEN 3 THEN '' ELSE document_id || '/' || id END AS path,
+CASE WHEN id % 10 = 0 THEN left(sha256, 63) WHEN id % 10 = 1 THEN left(sha256, 63) || 'g' ELSE sha256 END AS sha256, CASE WHEN id % 8 = 0 THEN list_append(tags, 'Bad Tag') ELSE tags END AS tags FROM s)"""
+
+
 @query(
-    f"""WITH {_SAMPLES} SELECT rule, count(*) AS n FROM (SELECT 'empty-text' AS rule FROM s WHERE trim(coalesce(text, '')) = ''
-UNION ALL SELECT 'duplicate-id' FROM s GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'split-leakage' FROM s GROUP BY document_id HAVING count(DISTINCT split) > 1
-UNION ALL SELECT 'duplicate-hash' FROM s WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(DISTINCT id) > 1) GROUP BY rule"""
+    f"""WITH {_SPOILT} SELECT rule, count(*) AS n FROM (SELECT 'empty-text' AS rule FROM q WHERE trim(coalesce(text, '')) = ''
+UNION ALL SELECT 'unsafe-path' FROM q WHERE path = '' OR path LIKE '/%' OR path LIKE 'C:%' OR list_contains(string_split(path, '/'), '..')
+UNION ALL SELECT 'bad-hash' FROM q WHERE NOT regexp_full_match(lower(sha256), '[0-9a-f]{{64}}')
+UNION ALL SELECT 'bad-tag' FROM q WHERE len(list_filter(tags, lambda t: NOT regexp_full_match(t, '[a-z0-9][a-z0-9-]*'))) > 0
+UNION ALL SELECT 'duplicate-id' FROM q GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'split-leakage' FROM q GROUP BY document_id HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'duplicate-hash' FROM q WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(DISTINCT id) > 1) GROUP BY rule"""
 )
 def q_manifest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dt.violations(samples(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"))
+    rows = samples(spark, sf_dir)
+    k = lambda n: F.col("id") % n
+    path = F.when(k(9) == 0, F.concat(F.lit("/"), "id")).when(k(9) == 1, F.concat(F.lit("a/../"), "id")).when(k(9) == 2, F.concat(F.lit("C:"), "id")).when(k(9) == 3, "").otherwise(F.col("path"))
+    head = F.left("sha256", F.lit(63))
+    digest = F.when(k(10) == 0, head).when(k(10) == 1, F.concat(head, F.lit("g"))).otherwise(F.col("sha256"))
+    tags = F.when(k(8) == 0, F.array_append("tags", "Bad Tag")).otherwise(F.col("tags"))
+    spoilt = rows.withColumns({"path": path, "sha256": digest, "tags": tags})
+    return dt.violations(spoilt).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query(

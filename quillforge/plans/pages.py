@@ -11,7 +11,8 @@ from quillforge.functions import text as tx
 from quillforge.operators import corpus as cp
 from quillforge.operators import orientation as ori
 from quillforge.operators import spatial as sp
-from quillforge.operators import tables as tb
+from quillforge.operators import reading as rd
+from quillforge.plans.inputs import duck, made
 from quillforge.plans.layout import _BOX, boxes
 from quillforge.plans.registry import query
 from quillforge.tables import table
@@ -75,13 +76,15 @@ def q_cell_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tb.reading_order(boxes(spark, sf_dir))
+    return rd.reading_order(boxes(spark, sf_dir))
 
 
 @query()
-def q_region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = boxes(spark, sf_dir).select("page", F.lit(1).cast("long").alias("block"), "ord", F.concat(F.lit("v"), F.col("ord")).alias("text"), (F.col("x") - F.col("x") % 300).alias("x"), (F.col("y") - F.col("y") % 200).alias("y"), "w", "h")
-    return tb.region_tables(lines)
+def q_column_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of three columns of an order's page, by their numbers."""
+    b = boxes(spark, sf_dir)
+    thirds = b.withColumns({"x": F.lit(40) + F.col("ord") % 3 * 330, "w": F.col("w") % 200 + 60})
+    return rd.column_bands(thirds)
 
 
 _LINES = "l AS (SELECT conv_id AS page, (turn % 4 * 90)::INT AS degrees, len(regexp_replace(text, '\\s', '', 'g')) AS n, (turn % 7 + 1) / 8.0::DOUBLE AS confidence FROM conversations)"
@@ -95,7 +98,13 @@ def q_orientation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page", "degrees", "chars", F.round("confidence", 6).alias("confidence"), F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    f"""WITH {_LINES}, s AS (SELECT page, degrees, sum(n)::BIGINT AS chars, coalesce(sum(confidence * n) / nullif(sum(n), 0), 0) AS confidence FROM l GROUP BY page, degrees), t AS (SELECT *, confidence * ln(1 + chars) AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, confidence DESC, chars DESC, degrees) AS k FROM t), g AS (SELECT page, max(score) FILTER (WHERE k = 1) - coalesce(max(score) FILTER (WHERE k = 2), 0) AS margin FROM r GROUP BY page),
+u AS (SELECT page, score AS us, confidence AS uc, chars AS un FROM t WHERE degrees = 0), b AS (SELECT r.page, arg_min(degrees, k) AS turn FROM r LEFT JOIN u ON u.page = r.page WHERE degrees <> 0
+AND score >= greatest(0.01, coalesce(us, 0) * 1.15) AND confidence >= coalesce(uc, 0) + 0.08 AND chars >= greatest(20, floor(coalesce(un, 0) * 0.5)) GROUP BY r.page)
+SELECT g.page, coalesce(turn, 0) AS degrees, round(margin, 6) AS margin FROM g LEFT JOIN b ON b.page = g.page"""
+)
 def q_orientation_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), (F.col("turn") % 4 * 90).cast("int").alias("degrees"), "text", ((F.col("turn") % 7 + 1) / 8.0).alias("confidence"))
     return ori.choose(ori.line_stats(lines)).withColumn("margin", F.round("margin", 6))
@@ -119,9 +128,13 @@ def q_url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", (F.parse_url(url, F.lit("PROTOCOL")) == "https").alias("secure"), F.parse_url(url, F.lit("HOST")).alias("host"))
 
 
-@query(r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^\s*\d{1,3}[.)]\s+') THEN 'numbered' WHEN regexp_matches(text, '^\s*[-*\x{2022}\x{25E6}\x{2013}]\s+') THEN 'bulleted' END AS style FROM conversations")
+_ITEMS = "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN turn || '. ' || text WHEN 1 THEN '* ' || text WHEN 2 THEN '\u2022 ' || text ELSE text END AS item FROM {conversations}"
+
+
+@query(rf"SELECT conv_id, turn, CASE WHEN regexp_matches(item, '^\d{{1,3}}[.)]\s+') THEN 'ordered' WHEN regexp_matches(item, '^[\x{{2022}}\x{{25AA}}\x{{25E6}}\x{{25CF}}*-]\s+') THEN 'bullet' END AS style FROM {duck(_ITEMS)}")
 def q_prefix_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.prefix_style(F.col("text")).alias("style"))
+    """Turns with marks of list items before three of four."""
+    return made(spark, sf_dir, _ITEMS).select("conv_id", "turn", tx.prefix_style(F.col("item")).alias("style"))
 
 
 @query(

@@ -6,34 +6,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillforge.functions import text as tx
+from quillforge.plans.inputs import duck, made
 from quillforge.plans.registry import query
+from quillforge.sources.manifests import CATEGORIES, inventory
 from quillforge.streaming import jobs as jb
 from quillforge.streaming import limits
 from quillforge.tables import table
 
 
+_PATH = """CASE event_type WHEN 'view' THEN '/v1/jobs/' || user_id WHEN 'click' THEN '/v1/jobs/' || user_id || '/download' WHEN 'purchase' THEN '/v1/jobs/batch' WHEN 'signup' THEN '/v1/health/' || user_id % 3 ELSE '/v1/jobs/' || user_id % 5 || '/x"y' END"""
+_REQUESTS = f"SELECT event_id, upper(event_type) AS method, {_PATH} AS path, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value AS seconds FROM {{events}}"
+_ROUTED = f"""q AS {duck(_REQUESTS)}, r AS (SELECT *, CASE WHEN path = '/v1/jobs/batch' THEN path WHEN regexp_full_match(path, '/v1/jobs/[^/]+/download') THEN '/v1/jobs/{{job_id}}/download' WHEN regexp_full_match(path, '/v1/jobs/[^/]+') THEN '/v1/jobs/{{job_id}}' ELSE path END AS route FROM q),
+m AS (SELECT method, route, status, count(*) AS n, round(sum(greatest(0.0, seconds)), 4)::DOUBLE AS seconds FROM r GROUP BY ALL)"""
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as requests: the type is the method, the user a part of the path, the value the seconds."""
-    e = table(spark, sf_dir, "events")
-    path = F.concat(F.lit("/v1/jobs/"), F.col("user_id"), F.lit("?k=1"))
-    return e.select("event_id", F.upper("event_type").alias("method"), tx.route(path).alias("route"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.col("value").alias("seconds"), "ts", "user_id")
+    """Events as requests: the type is the method and decides the path, the value the seconds."""
+    return made(spark, sf_dir, _REQUESTS).withColumn("route", tx.route(F.col("path")))
 
 
-@query("SELECT upper(event_type) AS method, '/v1/jobs/{id}' AS route, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, count(*) AS n, round(sum(greatest(0.0, value)), 4)::DOUBLE AS seconds FROM events GROUP BY ALL")
+@query(f"WITH {_ROUTED} SELECT * FROM m")
 def q_request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jb.request_metrics(requests(spark, sf_dir)).withColumn("seconds", F.round("seconds", 4))
 
 
-@query("""SELECT 'requests_total{method="' || upper(event_type) || '",route="/v1/jobs/{id}",status="' || CASE WHEN event_type = 'error' THEN 500 ELSE 200 END || '"} ' || count(*) AS line FROM events GROUP BY event_type""")
+@query(f"WITH {_ROUTED} SELECT method, route, sum(n)::BIGINT AS n, round(sum(seconds), 3)::DOUBLE AS seconds FROM m GROUP BY ALL")
+def q_request_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jb.request_durations(jb.request_metrics(requests(spark, sf_dir))).withColumn("seconds", F.round("seconds", 3))
+
+
+@query(f"""WITH {_ROUTED} SELECT row_number() OVER (ORDER BY method, route, status) AS place, 'requests_total{{method="' || method || '",route="' || replace(replace(route, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '",status="' || status || '"}} ' || n AS line FROM m""")
 def q_prometheus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jb.prometheus(jb.request_metrics(requests(spark, sf_dir)), "requests_total", tx.escape_label)
+    got = jb.prometheus(jb.request_metrics(requests(spark, sf_dir)), "requests_total", tx.escape_label)
+    return got.select(F.col("place").cast("long").alias("place"), "line")
 
 
-@query()
+_COSTS = "SELECT CAST(user_id AS STRING) AS key, event_id AS ord, ts, CASE WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'signup' THEN 4 ELSE 1 END AS cost FROM {events}"
+
+
+def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of users: a purchase costs two units, a signup four (more than the limit)."""
+    return made(spark, sf_dir, _COSTS).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT key, ord, epoch_us(ts) / 1e6::DOUBLE AS now, cost, row_number() OVER (PARTITION BY key ORDER BY ts, ord) AS i FROM {duck(_COSTS)}),
+r AS (SELECT DISTINCT key, 0::BIGINT AS i, []::DOUBLE[] AS held, NULL::BIGINT AS ord, false AS admitted, 0 AS remaining, 0 AS retry_after FROM e
+UNION ALL SELECT key, i, CASE WHEN len(h) + cost <= 3 THEN list_concat(h, list_transform(range(cost), lambda x: now)) ELSE h END, ord, len(h) + cost <= 3, CASE WHEN len(h) + cost <= 3 THEN 3 - len(h) - cost ELSE 0 END::INT,
+CASE WHEN len(h) + cost <= 3 THEN 0 WHEN len(h) = 0 THEN 172800 ELSE greatest(1, ceil(h[1] + 172800.0::DOUBLE - now)) END::INT FROM (SELECT e.*, list_filter(r.held, lambda x: x > e.now - 172800.0::DOUBLE) AS h FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1))
+SELECT key, ord, admitted, remaining, retry_after FROM r WHERE i > 0"""
+)
 def q_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three requests an hour for each user."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("ord"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.lit(1).alias("cost"))
-    return limits.admit(e, 3, 3600.0)
+    """Three units in two days for each user; many requests are refused."""
+    return limits.admit(costs(spark, sf_dir), 3, 172_800.0).drop("ts")
+
+
+@query()
+def q_rate_limit_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same units on seven servers that track five users at a time."""
+    rows = costs(spark, sf_dir).withColumn("server", F.col("key").cast("long") % 7)
+    return limits.admit_bounded(rows, 3, 172_800.0, 5, "server")
 
 
 _JOBS = """j AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS created_at, o_orderdate + to_seconds((o_custkey % 90)::BIGINT) AS started_at,
@@ -84,17 +116,23 @@ def q_admission_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jb.running_load(e, "user_id").select("event_id", "user_id", F.col("load").cast("long").alias("load"))
 
 
-@query(
-    """WITH c AS (SELECT unnest(['small', 'medium', 'large', 'huge']) AS category), p AS (SELECT CASE WHEN strlen(html) < 500 THEN 'small' WHEN strlen(html) < 2000 THEN 'medium' WHEN strlen(html) < 100000 THEN 'large' ELSE 'huge' END AS category, strlen(html) AS bytes FROM pages)
-SELECT c.category, count(bytes) AS n, coalesce(sum(bytes), 0)::BIGINT AS bytes FROM c LEFT JOIN p ON c.category = p.category GROUP BY c.category"""
-)
+_LISTING = """SELECT page_id AS ord, CASE page_id % 5 WHEN 0 THEN '.staging/' || sha2(url, 256) || '.part' WHEN 1 THEN '.staging/lock-' || CASE page_id % 4 WHEN 0 THEN '0a' WHEN 1 THEN '3f' WHEN 2 THEN '40' ELSE '1g' END WHEN 2 THEN 'a/.x.' || md5(url) || '.tmp' WHEN 3 THEN 'b/.staging/' || sha2(url, 256) || '.part' ELSE 'a/b' || page_id END AS path,
+CASE page_id % 11 WHEN 0 THEN 'directory' WHEN 1 THEN 'symlink' WHEN 2 THEN 'pipe' WHEN 3 THEN NULL ELSE 'file' END AS kind, octet_length(html) AS size, CASE WHEN page_id % 13 = 0 THEN 2 ELSE 1 END AS links FROM {pages}"""
+_CATEGORY = r"""CASE WHEN kind IS NULL THEN 'unreadable_entry' WHEN kind IN ('directory', 'symlink') THEN kind WHEN kind <> 'file' THEN 'special_file' WHEN links <> 1 THEN 'hardlinked_file' WHEN regexp_full_match(path, '\.staging/[0-9a-f]{64}\.part') THEN 'recoverable_stage_candidate'
+WHEN regexp_full_match(path, '\.staging/lock-[0-3][0-9a-f]') THEN 'coordination_lock_candidate' WHEN regexp_full_match(path, '(.*/)?\.[^/]+\.[0-9a-f]{32}\.tmp') THEN 'legacy_temporary_candidate' ELSE 'other_regular_file' END"""
+_LISTED = duck(_LISTING).replace("sha2(url, 256)", "sha256(url)").replace("octet_length(html)", "strlen(html)")
+
+
+@query(f"WITH c AS (SELECT unnest({list(CATEGORIES)}) AS category), l AS (SELECT *, {_CATEGORY} AS category FROM {_LISTED}) SELECT c.category, count(l.ord) AS n, coalesce(sum(CASE WHEN kind = 'file' THEN size END), 0)::BIGINT AS bytes FROM c LEFT JOIN l ON l.category = c.category GROUP BY c.category")
 def q_inventory_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count and bytes for each category, categories without files included."""
-    size = F.octet_length("html")
-    kind = F.when(size < 500, "small").when(size < 2000, "medium").when(size < 100_000, "large").otherwise("huge")
-    rows = table(spark, sf_dir, "pages").select(kind.alias("category"), size.cast("long").alias("b")).groupBy("category").agg(F.count("b").alias("n"), F.sum("b").alias("bytes"))
-    every = spark.createDataFrame([(c,) for c in ("small", "medium", "large", "huge")], "category string")
-    return every.join(rows, "category", "left").na.fill(0)
+    """Pages as entries of a storage folder: count and bytes of all nine categories."""
+    return inventory(made(spark, sf_dir, _LISTING), most_entries=1 << 30)[0]
+
+
+@query(f"SELECT sha256(path) AS path_id, {_CATEGORY} AS category, CASE WHEN kind = 'file' THEN size END AS size, links FROM (SELECT * FROM {_LISTED} ORDER BY ord LIMIT 25)")
+def q_inventory_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The details that a report shows: its first 25 entries."""
+    return inventory(made(spark, sf_dir, _LISTING), most_items=25)[1]
 
 
 @query(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from quillforge.llm.nearest import FACTOR, VpTree, distances, nearest
+from quillforge.llm.nearest import VpTree, calibrate, distances, nearest, nearest_query
 
 SCHEMA = T.StructType([T.StructField("rank", T.StringType()), T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
@@ -26,7 +26,7 @@ def test_factor_one_is_exact_and_production_recall():
     tree = VpTree(ids, x)
     best, who = tree.search(ids[q], x[q], 10, 1.0)
     assert [[(int(w), float(b)) for w, b in zip(*r, strict=True)] for r in zip(who, best, strict=True)] == want
-    _, who = tree.search(ids[q], x[q], 10, FACTOR)
+    _, who = tree.search(ids[q], x[q], 10, calibrate(ids, x))
     recall = np.mean([len(set(w.tolist()) & {i for i, _ in t}) / 10 for w, t in zip(who, want, strict=True)])
     assert recall >= 0.9
 
@@ -51,3 +51,35 @@ def test_few_and_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert nearest(none, none).count() == 0
     assert nearest(few, none).count() == 0
+
+
+def test_recall_and_share_on_embeddings(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = frame.orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    q = np.flatnonzero(ids % 100 == 0)
+    want = {int(ids[i]): {v for v, _ in row} for i, row in zip(q, brute(ids, x, q, 10), strict=True)}
+    hits = {i: 0 for i in want}
+    for r in nearest_query(frame).collect():
+        hits[r["query_id"]] += r["vec_id"] in want[r["query_id"]]
+    assert sum(hits.values()) / (10 * len(hits)) >= 0.95
+    factor = calibrate(ids, x)
+    tree = VpTree(ids, x)
+    tree.search(ids[q], x[q], 10, factor)
+    assert factor > 1 and tree.visited < 0.97 * len(q) * len(x)  # random directions in 64 dimensions: little to prune
+
+
+def test_clusters_prune_whole_cells():
+    from quillforge.llm import nearest as nn
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16)) * 20
+    x = centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 16))
+    ids = np.arange(4000)
+    factor = calibrate(ids, x)
+    tree = nn.VpTree(ids, x)
+    q = np.arange(0, 4000, 100)
+    _, who = tree.search(q, x[q], 10, factor)
+    want = brute(ids, x, q, 10)
+    assert np.mean([len(set(w.tolist()) & {i for i, _ in t}) / 10 for w, t in zip(who, want, strict=True)]) >= 0.95
+    assert tree.visited < 0.2 * len(q) * len(x)

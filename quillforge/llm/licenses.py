@@ -1,35 +1,79 @@
 """License scans by a positional rare-token index, in DataFrame expressions only.
 
-Every template has mandatory key phrases. The index holds, for each template, the two key-phrase
-words that fewest documents contain (the highest IDF), with their places in the template. A
-file's places of both are shifted by those places and intersected: what is left are offsets
-at which the template may lie. There the key phrases must stand word for word; the score is the
-IDF-weighted share of the template's words that stand in place, the best over all matches.
-Anchors are words that a match must have, so the index loses no match.
+The index is a table of postings and one of templates, carried in one row: for a word, the templates in whose
+key phrases it is one of the two rarest (those that fewest documents contain, the highest IDF), with its place in
+each. A file looks up those of its words that the index knows, rarest first; every place of a word
+gives for each posting the offset at which that template would lie. Offsets on which both words of a template agree
+are left; there the key phrases must stand word for word, and the score is the IDF-weighted share
+of the template's words that stand in place, the best over all matches. The two words are words that
+a match must have, so the index loses no match. Templates are data: any number of them
+gives the same plan.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values: (phrase, label) whose places are counted whatever stands around them.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Fixed values: (label, template, key phrases), short notices in common use.
+#: Fixed values: (label, template, key phrases), notices and licence texts in common use, as words.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        ("in compliance with the license", "without warranties or conditions of any kind"),
+    ),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
+    (
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution",
+        ("redistributions of source code must retain", "redistributions in binary form must reproduce"),
+    ),
+    (
+        "boost-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software",
+        ("any person or organization obtaining", "use reproduce display distribute execute and transmit"),
+    ),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license",)),
+    (
+        "gpl-notice",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        ("free software foundation", "merchantability or fitness for a particular purpose"),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ("permission to use copy modify", "with or without fee is hereby granted"),
+    ),
     ("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted", "free of charge")),
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use "
+        "copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission "
+        "notice shall be included in all copies or substantial portions of the software",
+        ("copy modify merge publish distribute sublicense", "all copies or substantial portions of the software"),
+    ),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software", "public domain")),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any "
+        "purpose including commercial applications and to alter it and redistribute it freely",
+        ("in no event will the authors be held liable", "alter it and redistribute it freely"),
+    ),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANCHORS = 2
@@ -42,12 +86,17 @@ def _place(words: list[str], phrase: str) -> list[int]:
     return list(range(at, at + len(part)))
 
 
-def template_words() -> list[tuple[int, str, int, str, bool]]:
+Templates = tuple[tuple[str, str, tuple[str, ...]], ...]
+
+
+def template_words(templates: Templates = TEMPLATES) -> list[tuple[int, str, int, str, bool]]:
     """(template, label, place, word, mandatory) of every template word."""
     out = []
-    for t, (label, text, phrases) in enumerate(TEMPLATES):
+    for t, (label, text, phrases) in enumerate(templates):
         words = text.split()
         keys = {i for p in phrases for i in _place(words, p)}
+        if len(keys) < ANCHORS:
+            raise ValueError(f"the key phrases of {label} need two words or more")
         out += [(t, label, i, w, i in keys) for i, w in enumerate(words)]
     return out
 
@@ -62,69 +111,99 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(folded, SEPARATORS), "")
 
 
-def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
+def document_frequencies(docs: DataFrame, templates: Templates = TEMPLATES) -> tuple[int, dict[str, int]]:
     """Number of documents, and how many of them hold each template word (one row for each of those words)."""
-    vocabulary = sorted({w for _, _, _, w, _ in template_words()} | {w for p, _ in BASE for w in p.split()})
+    vocabulary = sorted({w for _, _, _, w, _ in template_words(templates)} | {w for p, _ in BASE for w in p.split()})
     some = docs.select(words_of(F.col("text")).alias("words")).select(F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary))).alias("found"))
     rows = some.select(F.explode(F.concat("found", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     found = {r["word"]: r["n"] for r in rows}
     return found.pop("", 0), {w: found.get(w, 0) for w in vocabulary}
 
 
-def scan(docs: DataFrame) -> DataFrame:
+POSTING = "struct<t:int,j:int>"
+TEMPLATE = "struct<label:string,base:boolean,needed:array<struct<j:int,w:string>>,words:array<struct<j:int,w:string,v:double>>>"
+
+
+def index(spark: SparkSession, templates: Templates, n: int, df: dict[str, int]) -> tuple[DataFrame, list[str]]:
+    """One row with the postings (word -> places, one anchor each way) and the templates, and the words that have postings.
+
+    Base phrases are templates without a score, with their rarest word as their only anchor.
+    """
+    idf = {w: math.log((n + 1) / (k + 1)) for w, k in df.items()}
+    grouped: dict[int, list[tuple[int, str, bool]]] = {}
+    for t, _, i, w, key in template_words(templates):
+        grouped.setdefault(t, []).append((i, w, key))
+    postings: dict[str, list[tuple[int, int]]] = {}
+    entries = []
+    for t, rows in sorted(grouped.items()):
+        for j, w, _ in sorted((x for x in rows if x[2]), key=lambda x: (df[x[1]], x[0]))[:ANCHORS]:
+            postings.setdefault(w, []).append((t, j))
+        whole = sum(idf[w] for _, w, _ in rows)
+        entries.append((templates[t][0], False, [(j, w) for j, w, key in rows if key], [(j, w, idf[w] / whole if whole > 0 else 0.0) for j, w, _ in rows]))
+    for phrase, label in BASE:
+        words = phrase.split()
+        at = min((df[w], i) for i, w in enumerate(words))[1]
+        postings.setdefault(words[at], []).append((len(entries), at))
+        entries.append((label, True, list(enumerate(words)), []))
+    kinds = f"postings map<string,array<{POSTING}>>, templates array<{TEMPLATE}>"
+    return spark.createDataFrame([(postings, entries)], kinds), sorted(postings, key=lambda w: (df[w], w))
+
+
+def scan(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     """``docs`` plus n_words, base_places (starts of base phrases, words from 0), base_labels, method_labels and score.
 
     Null and empty texts have no words: empty arrays and score 0. Repeated rows give repeated rows;
     columns of ``docs`` with those names are replaced, others pass through. Document frequencies cover
-    all documents. An empty table gives no rows. There is no shuffle of texts.
+    all documents. An empty table gives no rows. There is no shuffle of texts; what is broadcast is one row, the index,
+    whose size is that of the templates.
     """
-    n, df = document_frequencies(docs)
-    idf = {w: math.log((n + 1) / (k + 1)) for w, k in df.items()}
-    table: dict[int, list[tuple[int, str, bool]]] = {}
-    for t, _, i, w, key in template_words():
-        table.setdefault(t, []).append((i, w, key))
-    anchors = {t: sorted((x for x in rows if x[2]), key=lambda x: (df[x[1]], x[0]))[:ANCHORS] for t, rows in table.items()}
-    base_anchor = [(p.split(), lab, min((df[w], i) for i, w in enumerate(p.split()))[1]) for p, lab in BASE]
-    interest = sorted({w for a in anchors.values() for _, w, _ in a} | {p[k] for p, _, k in base_anchor})
-
-    rows = docs.withColumn("__words", words_of(F.col("text")))
-    size = F.size("__words")
+    n, df = document_frequencies(docs, templates)
+    one, known = index(docs.sparkSession, templates, n, df)
+    user = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in user)).alias("row"), words_of(F.col("text")).alias("words")).join(F.broadcast(one), F.lit(True))
+    size = F.size("words")
     every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("__hits", F.filter(every, lambda i: F.get("__words", i).isin(interest)))
-
-    def starts(word: str, place: int) -> Column:
-        return F.transform(F.filter("__hits", lambda i: F.get("__words", i) == word), lambda i: i - place)
-
-    def stands(start: Column, need: list[tuple[int, str]]) -> Column:
-        return reduce(lambda a, b: a & b, (F.coalesce(F.get("__words", start + j) == w, F.lit(False)) for j, w in need))
-
-    def kept(found: Column, need: list[tuple[int, str]]) -> Column:
-        return F.filter(found, lambda s: stands(s, need))
-
-    def weighed(t: int, whole: float) -> Column:
-        one = lambda s: sum((F.when(F.get("__words", s + i) == w, F.lit(idf[w] / whole)).otherwise(F.lit(0.0)) for i, w, _ in table[t]), F.lit(0.0))
-        return F.transform(f"__match{t}", one)
-
-    for k, (phrase, _, at) in enumerate(base_anchor):
-        rows = rows.withColumn(f"__base{k}", kept(starts(phrase[at], at), list(enumerate(phrase))))
-    for t, a in anchors.items():
-        (i, w, _), (j, v, _) = a
-        need = [(p, x) for p, x, key in table[t] if key]
-        rows = rows.withColumn(f"__match{t}", kept(F.array_intersect(starts(w, i), starts(v, j)), need))
-    base = [F.when(F.size(f"__base{k}") > 0, F.lit(lab)) for k, (_, lab, _) in enumerate(base_anchor)]
-    method = [F.when(F.size(f"__match{t}") > 0, F.lit(TEMPLATES[t][0])) for t in anchors]
-    scores = []
-    for t in anchors:
-        whole = sum(idf[w] for _, w, _ in table[t])
-        scores.append(F.coalesce(F.array_max(weighed(t, whole)), F.lit(0.0)) if whole > 0 else F.lit(0.0))
-    listed = lambda xs: F.array_sort(F.array_distinct(F.array_compact(F.array(*xs))))
-    places = F.array_sort(F.concat(*(f"__base{k}" for k in range(len(BASE)))))
-    out = rows.withColumn("n_words", size.cast("long")).withColumn("base_places", places).withColumn("base_labels", listed(base)).withColumn("method_labels", listed(method)).withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(*scores)), DIGITS))
-    return out.drop("__words", "__hits", *(f"__base{k}" for k in range(len(BASE))), *(f"__match{t}" for t in anchors))
+    rows = rows.withColumn("hits", F.filter(every, lambda i: F.get("words", i).isin(known)))
+    # look up the file's words, rarest first: (template, offset) that each place would give
+    found = F.array_intersect(F.array(*map(F.lit, known)), F.transform("hits", lambda i: F.get("words", i)))
+
+    def offsets(word: Column) -> Column:
+        places = F.filter("hits", lambda i: F.get("words", i) == word)
+        return F.flatten(F.transform(F.element_at("postings", word), lambda p: F.transform(places, lambda i: F.struct(p["t"].alias("t"), (i - p["j"]).alias("o"), p["j"].alias("j")))))
+
+    rows = rows.withColumn("asked", F.flatten(F.transform(found, offsets)))
+    # both anchors of a template agree on an offset: sorted, they are neighbours
+    rows = rows.withColumn("sorted", F.array_sort("asked"))
+    rows = rows.withColumn("agreed", F.filter("sorted", lambda c, k: _base_at(c["t"]) | ((F.get("sorted", k + 1)["t"] == c["t"]) & (F.get("sorted", k + 1)["o"] == c["o"]))))
+    stands = lambda c: F.forall(_template(c["t"])["needed"], lambda x: F.coalesce(F.get("words", c["o"] + x["j"]) == x["w"], F.lit(False)))
+    rows = rows.withColumn("matches", F.filter("agreed", lambda c: (c["o"] >= 0) & stands(c)))
+    weight = lambda c: F.aggregate(_template(c["t"])["words"], F.lit(0.0), lambda acc, x: acc + F.when(F.get("words", c["o"] + x["j"]) == x["w"], x["v"]).otherwise(0.0))
+    of = lambda base: F.filter("matches", lambda c: _base_at(c["t"]) == F.lit(base))
+    labels = lambda base: F.array_sort(F.array_distinct(F.transform(of(base), lambda c: _template(c["t"])["label"])))
+    best = F.coalesce(F.array_max(F.transform(of(False), weight)), F.lit(0.0))
+    added = {
+        "n_words": size.cast("long"),
+        "base_places": F.array_sort(F.transform(of(True), lambda c: c["o"])),
+        "base_labels": labels(True),
+        "method_labels": labels(False),
+        "score": F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), best)), DIGITS),
+    }
+    return rows.select(*(F.col(f"row.`{c}`") for c in user if c.lower() not in added), *(v.alias(k) for k, v in added.items()))
+
+
+def _template(t: Column) -> Column:
+    return F.get("templates", t)
+
+
+def _base_at(t: Column) -> Column:
+    return _template(t)["base"]
 
 
 def licenses_query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row.
+
+    Null and empty texts have no words, labels or places, and score 0; repeated rows give repeated rows; an empty table gives none.
+    """
     found = scan(docs.select("doc_id", "text"))
     joined = F.array_join(F.array_sort(F.array_union("base_labels", "method_labels")), ",")
     edge = lambda f: f("base_places").cast("long")

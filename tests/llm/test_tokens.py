@@ -123,3 +123,34 @@ def test_many_groups_and_repeated_pieces(spark):
     assert len(got) == len(data) and {"group", "uid"} <= set(got[0].asDict())
     used = check_packing(got, 1024)
     assert used <= 1.1 * max(-(-sum(r["length"] for r in got) // 1024), sum(1 for r in got if r["length"] > 512))
+
+
+def test_evolution_wins_bins_over_its_seed():
+    rng = np.random.default_rng(3)
+    thirds = []
+    for _ in range(300):
+        a = int(rng.integers(390, 510))
+        b = int(rng.integers(256, 1024 - a - 255))
+        thirds += [a, b, 1024 - a - b]
+    for lengths in (np.array(thirds), rng.integers(200, 700, 1500), rng.integers(100, 400, 1500)):
+        lengths = np.sort(lengths)[::-1].astype(np.int64)
+        seed = pk.fitness(lengths, pk.fresh(lengths, rng, 0.0, 1024), 1024)[0]
+        got = pk.fitness(lengths, pk.evolve(lengths, [], 11), 1024)[0]
+        assert pk.least_bins(lengths, 1024) <= got < seed
+
+
+def test_least_bins_is_a_bound():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        lengths = np.sort(rng.integers(1, 41, rng.integers(1, 9)))[::-1].astype(np.int64)
+
+        def fewest(left, free):
+            if not left:
+                return len(free)
+            n, best = left[0], fewest(left[1:], [*free, 40 - left[0]])
+            for i, f in enumerate(free):
+                if f >= n:
+                    best = min(best, fewest(left[1:], [*free[:i], f - n, *free[i + 1 :]]))
+            return best
+
+        assert pk.least_bins(lengths, 40) <= fewest(lengths.tolist(), [])

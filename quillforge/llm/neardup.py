@@ -17,6 +17,7 @@ them (16 bits in all), and an empty bucket borrows another's by a fixed sequence
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.llm.columns import U64, mix, rows_of, slices, text_bytes, window_hash, words
+from quillforge.llm.columns import U64, mix, release, rows_of, slices, text_bytes, window_hash, words
 from quillforge.llm.components import components
 from quillforge.llm.stages import settle
 
@@ -35,6 +36,8 @@ EMPTY = np.uint16(0xFFFF)
 #: Standard deviations that an estimate may lie below the bar before a pair is left out.
 MARGIN = 4.5
 CHUNK = 1000
+#: Pairs of one hub that meet in a part, about.
+HUB = 256
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, registers binary"
 
 
@@ -132,6 +135,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 regs = registers(sh, at)
                 raw = [r.tobytes() if x else b"" for r, x in zip(regs, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "registers"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
@@ -161,24 +165,29 @@ def band_keys(classes: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, bar: float) -> DataFrame:
-    """Pairs (a, b) that pass the estimate."""
+    """Pairs (a, b, part) that pass the estimate. A hub b meets its pairs in parts, each with a copy of what b holds."""
     one = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    two = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    two = _parts(pairs, classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 same = (_matrix(batch.column("ra")) == _matrix(batch.column("rb"))).sum(1)
                 keep = passes(same, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), bar)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("part")], names=["a", "b", "part"]).filter(pa.array(keep))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, ["b", "part"]).select("a", "b", "part", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, part long")
+
+
+def _parts(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """``held`` (by b) once for each part of b that occurs: as many copies as the hub's pairs fill parts of ``HUB``."""
+    return pairs.select("b", "part").distinct().join(held, "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, numerator: int) -> DataFrame:
     """Pairs with 100 * intersection >= numerator * union on full sets."""
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    two = _parts(pairs, texts.select(F.col("node").alias("b"), F.col("text").alias("tb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, np.ndarray] = (-1, np.zeros(0, U64))
@@ -193,8 +202,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, numerator: int) -> Dat
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= numerator * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, ["b", "part"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _across(members: DataFrame, label: DataFrame, classes: DataFrame, texts: DataFrame, k: int, numerator: int) -> DataFrame:
@@ -278,6 +288,7 @@ def _across(members: DataFrame, label: DataFrame, classes: DataFrame, texts: Dat
                 hit = js[100 * both >= numerator * (size[i] + count - both)]
                 links.append(np.stack([np.full(len(hit), ids[i]), ids[hit]], 1))
         out = np.concatenate(links)
+        release()
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
     asked = settle(rows.groupBy("bucket", "x", "y").applyInArrow(find, "bucket long, x long, y long, nodes array<long>, pairs binary"))
@@ -298,30 +309,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = settle(signatures(base, shingle))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    groups = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    classes = settle(usable.join(groups, (usable.s1 == groups.s1) & (usable.s2 == groups.s2) & (usable.doc_id == groups.node), "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "registers").dropDuplicates(["node"]))
+    # rows of one set are many where copies are: they are counted in salted parts, and told their class part by part
+    salts = max(1, math.isqrt(signed.count()))
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(salts)).alias("salt")
+    some = settle(usable.groupBy("s1", "s2", salt).agg(F.min_by(F.struct("n_shingles", "registers"), "doc_id").alias("of"), F.min("doc_id").alias("least")))
+    groups = some.groupBy("s1", "s2").agg(F.min("least").alias("node"))
+    classes = settle(some.join(groups, ["s1", "s2"]).where("least = node").groupBy("node").agg(F.min_by("of", F.struct("s1", "s2")).alias("of")).select("node", F.col("of.n_shingles").alias("n"), "of.registers"))
     buckets = band_keys(classes)
     members = settle(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
     central = members.groupBy("node").agg(F.sum("n").alias("score"))
     leaders = members.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("leader"))
-    stars = members.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    stars = members.join(leaders, "bucket").where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.max("n").alias("n"))
+    stars = stars.select("a", "b", F.pmod(F.xxhash64("a", F.lit(5)), F.ceil(F.col("n") / HUB)).cast("long").alias("part"))
     met = members.select("node").distinct()
     texts = settle(base.join(met, base.doc_id == met.node, "inner").select("node", "text"))
-    twins = _twins(signed, usable, groups)
+    twins = _twins(usable, groups)
     links = settle(_verified(_estimated(stars, classes, bar), texts, shingle, percent).unionByName(twins))
     label = settle(components(links))
     more = settle(_across(members, label, classes, texts, shingle, percent))
-    if more.limit(1).count():
+    if not more.isEmpty():
         label = settle(components(links.unionByName(more)))
-    named = groups.withColumnRenamed("s1", "g1").withColumnRenamed("s2", "g2")
-    rows = signed.drop("registers").join(named, (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-    rows = rows.join(label, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = groups.join(label, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
+    told = some.select("s1", "s2", "salt").join(named, ["s1", "s2"])
+    rows = usable.select("doc_id", "n_shingles", "s1", "s2", salt).join(told, ["s1", "s2", "salt"]).select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    every = rows.unionByName(alone)
+    return every.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _twins(signed: DataFrame, usable: DataFrame, groups: DataFrame) -> DataFrame:
+def _twins(usable: DataFrame, groups: DataFrame) -> DataFrame:
     """Links between the classes of rows that share a doc_id."""
     several = usable.select("doc_id", "s1", "s2").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
-    both = usable.join(several, "doc_id").select("doc_id", "s1", "s2").join(groups, ["s1", "s2"])
+    both = usable.join(several, "doc_id").select("doc_id", "s1", "s2").distinct().join(groups, ["s1", "s2"])
     return both.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()

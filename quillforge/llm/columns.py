@@ -7,6 +7,8 @@ Null texts are read as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -108,3 +110,13 @@ def slices(offsets: np.ndarray, limit: int = 2_000_000) -> list[tuple[int, int]]
         out.append((a, min(b, n)))
         a = out[-1][1]
     return out
+
+
+def release() -> None:
+    """Give the memory of freed arrays back to the system: workers are reused, and what one step held would count against the next."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only

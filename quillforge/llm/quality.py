@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm.columns import U64, WORD_BASE, byte_table, mix, powers, rows_of, slices, span_hash, text_bytes
+from quillforge.llm.columns import U64, WORD_BASE, byte_table, mix, powers, release, rows_of, slices, span_hash, text_bytes
 from quillforge.llm.stages import settle
 
 SAMPLE_ROWS = 12_000
@@ -244,6 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         for batch in batches:
             context_sums(*text_bytes(batch.column(0)), index, total)
             seen = True
+        release()
         if seen:
             used = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, d]) for d in range(DIM))], names=["bucket", *(f"v{d}" for d in range(DIM))])
@@ -261,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         for batch in batches:
             x = blank.pooled(*text_bytes(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+        release()
 
     got: pd.DataFrame = rows.select("doc_id", "quality", "text").mapInArrow(pooled, "doc_id long, quality int, x array<double>").toPandas()
     if got["quality"].nunique() < 2:
@@ -286,6 +288,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, model: Model, keep: lis
         for batch in batches:
             score = shared.value.score(*text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score)], names=[*keep, name])
+        release()
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep)], T.StructField(name, T.DoubleType())]))
 

@@ -2,23 +2,26 @@
 
 A string of ``LENGTH`` bytes is a window. The position of the smallest hash of
 ``GRAM`` bytes inside a window (the leftmost on ties) is its anchor: equal windows have equal
-anchors at equal places, so all that can repeat meets under the anchor's bytes. Every run
+anchors at equal places, so all that can repeat meets under the anchor's key. Every run
 of windows with one anchor is a context, and every window lies in exactly one context.
 
-1. Shards send the anchors they have, as cells; owners of cell ranges answer which another shard has too.
-2. For shared anchors, shards send a digest of each context; owners answer
-   which contexts occur twice (all their windows repeat) and which must be compared by bytes.
-3. Those contexts' bytes go to the shard of the suffix space that owns their anchor. It builds a suffix
-   array (Larsson-Sadakane), takes common prefixes (Kasai) and reports the windows that share ``LENGTH`` bytes.
-   An anchor with very many different contexts is resolved by 96-bit keys of its windows instead.
-4. Shards cover the bytes of all repeated windows.
-
-Every answer is found by binary search in the sorted runs that the shards sent.
+1. Shards send the anchors they have, as cells, with the number of different contexts of each; owners of
+   cell ranges answer which another shard has too, and which have very many contexts.
+2. Shards send the bytes of their different contexts of shared anchors to the shard of the suffix space that owns the
+   anchor. It builds a suffix array (Larsson-Sadakane), takes common prefixes (Kasai) and reports
+   the windows that share ``LENGTH`` bytes. Contexts are compared as bytes; no digest decides.
+3. Shards cover the bytes of all repeated windows.
+
+An anchor with more than ``HOT`` different contexts (a very common passage under ever other text) would be one large array; its
+windows are compared by 96-bit keys instead, which spread evenly. ``hot`` sets the bound; a large one leaves all to arrays.
+Keys are mixed before they are routed, for the smallest of many hashes is a small number. Every answer
+is found by binary search in the sorted runs that the shards sent.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillforge.llm import exchange as ex
-from quillforge.llm.columns import U64, byte_table, mix, powers
+from quillforge.llm.columns import U64, byte_table, mix, powers, release
 from quillforge.llm.suffix import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -36,85 +39,110 @@ SHARD_BYTES = 1_000_000
 OWNER_BYTES = 500_000
 #: Different contexts of one anchor above which its windows are compared by key.
 HOT = 1500
-ANCHOR, CONTEXT, BYTES, KEYS = 0, 1, 2, 3
+ANCHOR, BYTES, KEYS = 0, 1, 2
 BASES = (0xD1342543DE82EF95, 0x9FB21C651E98DF25)
 _EMPTY = np.zeros(0, np.int64)
 
 
+@lru_cache(8)
+def _powers(base: int, n: int) -> np.ndarray:
+    return powers(base, n)
+
+
 class Rolling:
     """64-bit hashes of any byte span in constant time: prefix sums of byte * base ** place."""
 
     def __init__(self, data: np.ndarray, base: int):
         n = len(data)
+        step = 1 << max(16, n.bit_length())  # powers are kept for a few lengths
         self.sums = np.zeros(n + 1, U64)
         value = byte_table()[data]
-        value *= powers(base, n)[:n]
+        value *= _powers(base, step)[:n]
         np.cumsum(value, out=self.sums[1:])
-        del value
-        self.back = powers(pow(base, -1, 1 << 64), n + 1)
+        self.back = _powers(pow(base, -1, 1 << 64), step)
 
     def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[b] - self.sums[a]) * self.back[a]
 
     def grams(self, k: int) -> np.ndarray:
         n = len(self.sums) - 1
-        return (self.sums[k:] - self.sums[: n + 1 - k]) * self.back[: n + 1 - k]
+        out = self.sums[k:] - self.sums[: n + 1 - k]
+        out *= self.back[: n + 1 - k]
+        return out
 
 
-def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
-    """pick over x[i : i + width] for each i (shorter at the end)."""
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of x[i : i + width] for each i (shorter at the end)."""
     out, have = x.copy(), 1
     while have < width:
         step = min(have, width - have)
-        out[: len(out) - step] = pick(out[: len(out) - step], out[step:])
+        np.minimum(out[: len(out) - step], out[step:], out=out[: len(out) - step])
         have += step
     return out
 
 
 class Contexts:
-    """Anchors and contexts of a shard: arrays anchor (place), key (hash), first and last (window starts)."""
+    """Contexts of a shard: arrays key (of the anchor), first and last (window starts)."""
 
     def __init__(self, shard: ex.Shard, length: int, gram: int):
         self.length, data, offsets = length, shard.data, shard.offsets
         self.key = np.zeros(0, U64)
-        self.anchor = self.first = self.last = _EMPTY
+        self.first = self.last = _EMPTY
         long = np.diff(offsets) >= length
         if not long.any():
             return
         self.roll = Rolling(data, BASES[0])
         n, width = len(data), length - gram + 1
-        h = np.full(n, np.iinfo(U64).max, U64)
-        h[: n - gram + 1] = mix(self.roll.grams(gram)) >> U64(1)
-        whole = np.zeros(n + 1, np.int32)  # windows that lie in one document
+        grams = self.roll.grams(gram)
+        h = np.full(n, np.iinfo(np.uint32).max, np.uint32)  # orders the places; equal numbers of unequal grams do no harm
+        h[: n - gram + 1] = ((grams ^ (grams >> U64(29))) * U64(0x94D049BB133111EB)) >> U64(32)
+        least = sliding_min(h, width)
+        # runs of windows, within a document, whose least number is one
+        whole = np.zeros(n + 1, np.int32)
         np.add.at(whole, offsets[:-1][long], 1)
         np.add.at(whole, offsets[1:][long] - length + 1, -1)
-        starts = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
-        least = sliding(h, width, np.minimum)[starts]
-        # candidates: places whose hash is the least of some window
-        hit = np.zeros(n, bool)
-        top = np.zeros(n, U64)
-        top[starts] = least
-        most = sliding(top[::-1], width, np.maximum)[::-1]
-        np.equal(h, most, out=hit)
-        places = np.flatnonzero(hit)
-        hashes = h[places]
-        at = np.searchsorted(places, starts)
-        todo = np.flatnonzero(hashes[at] != least)
-        while len(todo):
-            at[todo] += 1
-            todo = todo[hashes[at[todo]] != least[todo]]
-        edge = np.ones(len(starts), bool)
-        edge[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
-        cut = np.flatnonzero(edge)
-        self.first, self.last = starts[cut], starts[np.append(cut[1:], len(starts)) - 1]
-        self.anchor, self.key = places[at[cut]], hashes[at[cut]]
-
-    def digest(self, which: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits over the bytes of a context and the place of its anchor."""
-        a, b = self.first[which], self.last[which] + self.length
-        shape = mix(((b - a) * 512 + self.anchor[which] - a).astype(U64))
-        hi = mix(self.roll.spans(a, b) + shape)
-        return hi, (mix(Rolling(data, BASES[1]).spans(a, b) + shape) >> U64(32)).astype(np.uint32)
+        inside = np.cumsum(whole[:-1]) > 0
+        edge = inside.copy()
+        edge[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+        edge[offsets[:-1][long]] = True
+        first = np.flatnonzero(edge)
+        stop = np.append(first[1:], n)
+        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1 if not inside[-1] or n > 1 else np.array([n])
+        ends = np.append(ends, n) if inside[-1] else ends
+        last = np.minimum(stop, ends[np.searchsorted(ends, first, side="right")]) - 1
+        # the leftmost place with that number: the one that has just come in, else one to look for
+        anchor = first + width - 1
+        look = np.flatnonzero((h[anchor] != least[first]) | (first == 0) | (least[np.maximum(first - 1, 0)] <= least[first]) | ~inside[np.maximum(first - 1, 0)])
+        for a in range(0, len(look), 4096):
+            some = look[a : a + 4096]
+            window = h[first[some][:, None] + np.arange(width)]
+            anchor[some] = first[some] + (window == least[first[some]][:, None]).argmax(1)
+        # where the number stands again before the run ends, windows past the first place belong to the next
+        again = np.flatnonzero(last > anchor)
+        if len(again):
+            more: list[list[np.ndarray]] = [[], [], []]
+            for r in again.tolist():
+                i, j, value = int(first[r]), int(last[r]), least[first[r]]
+                places = i + np.flatnonzero(h[i : j + width] == value)
+                at = places[np.searchsorted(places, np.arange(i, j + 1))]
+                cut = np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1)
+                for column, values in zip(more, (i + cut, np.append(i + cut[1:], j + 1) - 1, at[cut]), strict=True):
+                    column.append(values)
+            keep = np.ones(len(first), bool)
+            keep[again] = False
+            first, last, anchor = (np.concatenate([x[keep], *m]) for x, m in zip((first, last, anchor), more, strict=True))
+            order = np.argsort(first, kind="stable")
+            first, last, anchor = first[order], last[order], anchor[order]
+        self.first, self.last, self.key = first, last, mix(grams[anchor], seed=9)
+
+    def kinds(self, which: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts ``which`` told apart by their bytes: the kind of each, and an example of each kind, kinds in order of first appearance."""
+        raw, seen = data.tobytes(), {}
+        spans = zip(self.first[which].tolist(), (self.last[which] + self.length).tolist(), strict=True)
+        kind = np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in spans), np.int64, len(which))
+        example = np.empty(len(seen), np.int64)
+        example[kind[::-1]] = which[::-1]
+        return kind, example
 
 
 class Sizes:
@@ -123,51 +151,75 @@ class Sizes:
         self.bits = min(63, math.ceil(math.log2(anchors)) + 18)
         blocks = max(0, math.ceil(math.log2(max(1, anchors / 500_000))))
         self.cell_shift = self.bits - blocks
-        self.key_shift = 63 - blocks  # hashes of anchors have 63 bits
-        self.owner_shift = 63 - max(0, math.ceil(math.log2(max(1, total_bytes / 2_000_000))))
+        self.owner_shift = 64 - max(0, math.ceil(math.log2(max(1, total_bytes / 8_000_000))))
         self.wide_shift = 64 - blocks
 
     def cells(self, key: np.ndarray) -> np.ndarray:
-        return key >> U64(63 - self.bits)
+        return key >> U64(64 - self.bits)
+
+
+def anchor_messages(shard: ex.Shard, number: int, sizes: Sizes, c: Contexts) -> list[tuple]:
+    """The shard's cells, each with the number of different contexts in it (65535 stands for more)."""
+    cells, inverse, count = np.unique(sizes.cells(c.key), return_inverse=True, return_counts=True)
+    different = count.copy()
+    several = np.flatnonzero((count > 1)[inverse]) if len(cells) else _EMPTY
+    if len(several):
+        _, example = c.kinds(several, shard.data)
+        different[count > 1] = np.bincount(inverse[example], minlength=len(cells))[count > 1]
+    crowd = np.minimum(different, 65535).astype("<u2")
+    base = U64((1 << sizes.cell_shift) - 1)
+    return [(number, ANCHOR, block, b - a, crowd[a:b].tobytes() + ex.encode_cells(cells[a:b] & base, 1 << sizes.cell_shift)) for block, a, b in ex.by_block(cells, sizes.cell_shift)]
+
+
+def merge_anchors(table: pa.Table, hot: int = HOT) -> pa.Table:
+    """For each shard's run of a block: which of its cells another shard has too, and which hold more than ``hot`` contexts in all."""
+    shards, counts, raws = table.column("shard").to_pylist(), table.column("n").to_pylist(), table.column("keys").to_pylist()
+    part, block = table.column("part")[0].as_py(), table.column("block")[0].as_py()
+    cells = np.concatenate([ex.decode_cells(r[2 * n :]) for r, n in zip(raws, counts, strict=True)])
+    crowd = np.concatenate([np.frombuffer(r, "<u2", n) for r, n in zip(raws, counts, strict=True)])
+    every, inverse, times = np.unique(cells, return_inverse=True, return_counts=True)
+    shared = (times > 1)[inverse]
+    crowded = (np.bincount(inverse, weights=crowd, minlength=len(every)) > hot)[inverse]
+    out, at = [], 0
+    for shard, n in zip(shards, counts, strict=True):
+        flags = np.concatenate([shared[at : at + n], crowded[at : at + n]])
+        at += n
+        if flags.any():
+            out.append((shard, part, block, ex.pack_bits(flags)))
+    return ex.answer_table(out)
 
 
 class Known:
-    """What a shard finds out from the answers so far."""
+    """What a shard knows after the anchors' answers: its contexts of shared anchors, told apart by bytes, kinds in order of their key."""
 
-    def __init__(self, shard: ex.Shard, sizes: Sizes, length: int, gram: int, got: pa.Table, digests: bool):
+    def __init__(self, shard: ex.Shard, sizes: Sizes, length: int, gram: int, got: pa.Table):
         c = self.contexts = Contexts(shard, length, gram)
         cells, inverse, count = np.unique(sizes.cells(c.key), return_inverse=True, return_counts=True)
-        shared = ((count > 1) | ex.marked(cells, sizes.cell_shift, ex.answers(got, ANCHOR)))[inverse] if len(cells) else np.zeros(0, bool)
-        self.which = np.flatnonzero(shared)
-        hi, lo = c.digest(self.which, shard.data) if len(self.which) else (np.zeros(0, U64), np.zeros(0, np.uint32))
-        key = c.key[self.which]
-        by = np.lexsort((lo, hi, key))
-        new = np.ones(len(by), bool)
-        new[1:] = (key[by][1:] != key[by][:-1]) | (hi[by][1:] != hi[by][:-1]) | (lo[by][1:] != lo[by][:-1])
-        self.kind = np.empty(len(by), np.int64)
-        self.kind[by] = np.cumsum(new) - 1
-        first = by[new]
-        self.key, self.hi, self.lo, self.example = key[first], hi[first], lo[first], self.which[first]
-        self.twice = np.bincount(self.kind, minlength=len(first)) > 1
-        self.code = np.zeros(len(first), np.uint8)
-        if digests:
-            bits = ex.answers(got, CONTEXT)
-            for block, a, b in ex.by_block(self.key, sizes.key_shift):
-                if block in bits:
-                    self.code[a:b] = np.frombuffer(bits[block], np.uint8)
-        self.repeated = self.code & 1 > 0
-        self.by_bytes = np.flatnonzero((self.code & 2 > 0) & (self.code & 4 == 0))
-        self.by_keys = np.flatnonzero((self.code & 2 > 0) & (self.code & 4 > 0))
+        shared, hot = count > 1, np.zeros(len(cells), bool)
+        bits = ex.answers(got, ANCHOR)
+        for block, a, b in ex.by_block(cells, sizes.cell_shift):
+            if block in bits:
+                flags = ex.unpack_bits(bits[block], 2 * (b - a))
+                shared[a:b] |= flags[: b - a]
+                hot[a:b] = flags[b - a :]
+        which = np.flatnonzero(shared[inverse]) if len(cells) else _EMPTY
+        self.which = which[np.argsort(c.key[which], kind="stable")]
+        self.kind, self.example = c.kinds(self.which, shard.data)
+        self.key = c.key[self.example]
+        self.twice = np.bincount(self.kind, minlength=len(self.example)) > 1
+        crowded = hot[inverse[self.example]] if len(cells) else np.zeros(0, bool)
+        self.by_bytes, self.by_keys = np.flatnonzero(~crowded), np.flatnonzero(crowded)
+        self.counts = c.last[self.example] - c.first[self.example] + 1
+        self.offsets = np.append(0, np.cumsum(self.counts))
 
     def windows(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window starts of the examples of ``kinds``, and for each the index into ``kinds``."""
-        c, e = self.contexts, self.example[kinds]
-        n = c.last[e] - c.first[e] + 1
+        n = self.counts[kinds]
         owner = np.repeat(np.arange(len(kinds)), n)
-        return c.first[e][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
+        return self.contexts.first[self.example[kinds]][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
 
-    def window_keys(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct sorted 96-bit keys of windows compared by key, and the class, start and kind of each window, and which classes are known to repeat here."""
+    def window_keys(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct sorted 96-bit keys of the windows of crowded anchors, the class of each window, and which classes are known to repeat here."""
         starts, owner = self.windows(self.by_keys)
         stop = starts + self.contexts.length
         hi = mix(self.contexts.roll.spans(starts, stop), seed=5)
@@ -178,92 +230,82 @@ class Known:
         kind = np.empty(len(by), np.int64)
         kind[by] = np.cumsum(new) - 1
         known = np.bincount(kind, minlength=int(new.sum())) > 1
-        known[kind[self.repeated[self.by_keys][owner]]] = True
-        return hi[by][new], lo[by][new], kind, starts, owner, known
-
-
-def _context_message(k: Known, a: int, b: int) -> bytes:
-    return k.key[a:b].tobytes() + k.hi[a:b].tobytes() + k.lo[a:b].tobytes() + k.twice[a:b].tobytes()
-
-
-def merge_contexts(table: pa.Table, most: int = HOT) -> pa.Table:
-    """Codes for each shard's contexts of a block of anchors: 1 occurs twice, 2 compare it, 4 compare it by window keys."""
-    order = np.argsort(table.column("shard").to_numpy(), kind="stable")
-    shards, counts = table.column("shard").to_numpy()[order], table.column("n").to_numpy()[order]
-    raws = table.column("keys").to_pylist()
-    raws = [raws[i] for i in order]
-    cut = lambda kind, size, skip: np.concatenate([np.frombuffer(r, kind, n, skip * n) for r, n in zip(raws, counts, strict=True)])
-    key, hi, lo, twice = cut("<u8", 8, 0), cut("<u8", 8, 8), cut("<u4", 4, 16), cut("?", 1, 20)
-    by = np.lexsort((lo, hi, key))
-    new = np.ones(len(by), bool)
-    new[1:] = (key[by][1:] != key[by][:-1]) | (hi[by][1:] != hi[by][:-1]) | (lo[by][1:] != lo[by][:-1])
-    kind = np.cumsum(new) - 1
-    total = np.bincount(kind, minlength=int(new.sum())) + np.bincount(kind, weights=twice[by])
-    repeats = total > 1
-    fresh = np.ones(int(new.sum()), bool)
-    fresh[1:] = key[by][new][1:] != key[by][new][:-1]
-    group = np.cumsum(fresh) - 1
-    different = np.bincount(group)
-    open_group = np.bincount(group, weights=~repeats) > 0
-    compare = (open_group & (different > 1))[group]
-    hot = (different > most)[group]
-    code = np.zeros(len(by), np.uint8)
-    code[by] = repeats[kind] + 2 * (compare[kind] & (new | ~repeats[kind])) + 4 * hot[kind]
-    out, at = [], 0
-    part, block = table.column("part")[0].as_py(), table.column("block")[0].as_py()
-    for shard, n in zip(shards, counts, strict=True):
-        if code[at : at + n].any():
-            out.append((int(shard), part, block, code[at : at + n].tobytes()))
-        at += n
-    return ex.answer_table(out)
+        known[kind[self.twice[self.by_keys][owner]]] = True
+        return hi[by][new], lo[by][new], kind, known
+
+    def repeated(self, flags: np.ndarray) -> np.ndarray:
+        """Starts of the windows, over all contexts, whose kind's windows are marked in ``flags`` (laid out by ``offsets``)."""
+        n = self.counts[self.kind]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        marked = flags[np.repeat(self.offsets[self.kind], n) + inner]
+        return (np.repeat(self.contexts.first[self.which], n) + inner)[marked]
+
+
+def _flat(offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of all elements of the rows ``which``, one row after the other."""
+    n = offsets[which + 1] - offsets[which]
+    return np.repeat(offsets[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def merge_bytes(table: pa.Table, length: int) -> pa.Table:
-    """Windows of the contexts of an owner that share ``length`` bytes with a window elsewhere: bits for each shard's run.
+    """Windows of an owner's contexts that share ``length`` bytes with a window elsewhere: bits for each shard's run.
 
-    A message holds the contexts' lengths, whether each occurs twice, their anchors' keys and their bytes. Anchors
-    are independent, so suffix arrays are built over about ``OWNER_BYTES`` of whole anchors at a time.
+    A message holds the contexts' lengths, whether each occurs twice in its shard, their anchors' keys and their bytes. Contexts
+    of several shards that are equal whole are one. Anchors are independent, so suffix arrays are built over
+    about ``OWNER_BYTES`` of whole anchors at a time; an anchor whose contexts all occur twice needs none.
     """
     shards, raws = table.column("shard").to_pylist(), table.column("keys").to_pylist()
     counts = table.column("n").to_pylist()
-    cut = lambda kind, skip: np.concatenate([np.frombuffer(r, kind, n, skip * n) for r, n in zip(raws, counts, strict=True)])
-    size, twice, key = cut("<u2", 0).astype(np.int64), cut("?", 2), cut("<u8", 3)
-    data = np.concatenate([np.frombuffer(r, np.uint8, offset=11 * n) for r, n in zip(raws, counts, strict=True)])
-    offsets = np.append(0, np.cumsum(size))
-    again = np.zeros(len(data), bool)
+    seen: dict[bytes, int] = {}
+    runs, weights, keys = [], [], []
+    for raw, n in zip(raws, counts, strict=True):
+        size, twice, key = np.frombuffer(raw, "<u2", n).tolist(), np.frombuffer(raw, "?", n, 2 * n).tolist(), np.frombuffer(raw, "<u8", n, 3 * n).tolist()
+        run, at = np.empty(n, np.int64), 11 * n
+        for i in range(n):
+            k = run[i] = seen.setdefault(raw[at : at + size[i]], len(seen))
+            at += size[i]
+            if k == len(weights):
+                weights.append(0)
+                keys.append(key[i])
+            weights[k] += 1 + twice[i]
+        runs.append(run)
+    weight, key = np.array(weights, np.int64), np.array(keys, U64)
+    size = np.fromiter(map(len, seen), np.int64, len(seen))
+    data, offsets = np.frombuffer(b"".join(seen), np.uint8), np.append(0, np.cumsum(size))
+    del seen
+    again = np.repeat(weight > 1, size)
     order = np.argsort(key, kind="stable")
     edges = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(order))
-    total = np.append(0, np.cumsum(size[order]))
+    open_anchor = (np.diff(edges) > 1) & (np.add.reduceat(weight[order] < 2, edges[:-1]) > 0)
+    todo = order[np.repeat(open_anchor, np.diff(edges))]
+    first = np.append(np.flatnonzero(np.append(True, key[todo][1:] != key[todo][:-1])), len(todo)) if len(todo) else np.zeros(1, np.int64)
+    total = np.append(0, np.cumsum(size[todo]))
     at = 0
-    while at < len(edges) - 1:
-        stop = max(at + 1, int(np.searchsorted(total[edges], total[edges[at]] + OWNER_BYTES, side="right")) - 1)
-        _common_windows(data, offsets, order[edges[at] : edges[stop]], twice, length, again)
+    while at < len(first) - 1:
+        stop = max(at + 1, int(np.searchsorted(total[first], total[first[at]] + OWNER_BYTES, side="right")) - 1)
+        _common_windows(data, offsets, todo[first[at] : first[stop]], weight, length, again)
         at = stop
+    starts = np.append(0, np.cumsum(size - length + 1))
     is_window = np.zeros(len(data) + 1, np.int32)
     np.add.at(is_window, offsets[:-1], 1)
     np.add.at(is_window, offsets[1:] - length + 1, -1)
-    is_window = np.cumsum(is_window[:-1]) > 0
-    out, at = [], 0
+    flags = again[np.cumsum(is_window[:-1]) > 0]
     part, block = table.column("part")[0].as_py(), table.column("block")[0].as_py()
-    for shard, n in zip(shards, counts, strict=True):
-        a, b = offsets[at], offsets[at + n]
-        at += n
-        flags = again[a:b][is_window[a:b]]
-        if flags.any():
-            out.append((shard, part, block, ex.pack_bits(flags)))
-    return ex.answer_table(out)
+    bits = [flags[_flat(starts, run)] for run in runs]
+    return ex.answer_table([(shard, part, block, ex.pack_bits(b)) for shard, b in zip(shards, bits, strict=True) if b.any()])
 
 
-def _common_windows(data: np.ndarray, offsets: np.ndarray, which: np.ndarray, twice: np.ndarray, length: int, again: np.ndarray) -> None:
+def _common_windows(data: np.ndarray, offsets: np.ndarray, which: np.ndarray, weight: np.ndarray, length: int, again: np.ndarray) -> None:
     """Set ``again`` at the window starts of the contexts ``which`` that a second place shares."""
     size = np.diff(offsets)[which]
     local = np.append(0, np.cumsum(size))
-    source = np.repeat(offsets[which] - local[:-1], size) + np.arange(int(local[-1]))
+    source = _flat(offsets, which)
     text = data[source]
     sa = suffix_array(text, local)
-    kind = np.cumsum(common_prefixes(text, local, sa) < length) - 1  # runs of suffixes that share a window
-    weight = np.bincount(kind, weights=1 + np.repeat(twice[which], size)[sa])
-    again[source[sa[weight[kind] > 1]]] = True
+    sa = sa[np.repeat(local[1:], size)[sa] - sa >= length]  # shorter suffixes hold no window
+    kind = np.cumsum(common_prefixes(text, local, sa, length) < length) - 1  # runs of suffixes that share a window
+    total = np.bincount(kind, weights=np.repeat(weight[which], size)[sa])
+    again[source[sa[total[kind] > 1]]] = True
 
 
 def cut_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
@@ -272,7 +314,8 @@ def cut_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byt
     A byte is removed if a string of ``length`` bytes that covers it also starts anywhere
     else, in another document or this one; every copy goes. Strings don't cross documents and are judged on
     the input. Null texts are empty; repeated rows remove each other; extra columns pass through, but
-    columns of ``docs`` with the four names above or starting with __ are left out. An empty table gives no rows.
+    columns of ``docs`` with the four names above or starting with __ are left out. An empty table gives no rows. ``hot``
+    parts the anchors whose contexts are compared in suffix arrays from those compared by 96-bit window keys (see above).
     """
     added = ["n_bytes", "n_removed", "spans", "kept"]
     carried = [f for f in docs.schema.fields if f.name not in added and not f.name.startswith("__")]
@@ -280,55 +323,56 @@ def cut_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byt
     rows, sizes = dealt.rows, Sizes(dealt.bytes, length, gram)
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
-        c = Contexts(ex.in_order(table), length, gram)
-        return ex.message_table(ex.cell_messages(key[0].as_py(), ANCHOR, np.unique(sizes.cells(c.key)), sizes.cell_shift))
-
-    def digests(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
-        if not len(table):
-            return ex.message_table([])
-        k = Known(ex.in_order(table), sizes, length, gram, got, False)
-        return ex.message_table([(key[0].as_py(), CONTEXT, block, b - a, _context_message(k, a, b)) for block, a, b in ex.by_block(k.key, sizes.key_shift)])
+        shard = ex.in_order(table)
+        out = ex.message_table(anchor_messages(shard, key[0].as_py(), sizes, Contexts(shard, length, gram)))
+        release()
+        return out
 
-    def compare(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
+    def send(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         if not len(table):
             return ex.message_table([])
-        shard, out = ex.in_order(table), []
-        k = Known(shard, sizes, length, gram, got, True)
+        shard, out, number = ex.in_order(table), [], key[0].as_py()
+        k = Known(shard, sizes, length, gram, got)
+        first, stop, raw = k.contexts.first, k.contexts.last + length, shard.data.tobytes()
         for block, a, b in ex.by_block(k.key[k.by_bytes], sizes.owner_shift):
-            e = k.example[k.by_bytes[a:b]]
-            first, stop = k.contexts.first[e], k.contexts.last[e] + length
-            body = b"".join(shard.data[x:y].tobytes() for x, y in zip(first, stop, strict=True))
-            out.append((key[0].as_py(), BYTES, block, b - a, (stop - first).astype("<u2").tobytes() + k.repeated[k.by_bytes[a:b]].tobytes() + k.key[k.by_bytes[a:b]].tobytes() + body))
+            kinds = k.by_bytes[a:b]
+            e = k.example[kinds]
+            body = b"".join(raw[x:y] for x, y in zip(first[e].tolist(), stop[e].tolist(), strict=True))
+            out.append((number, BYTES, block, b - a, (stop - first)[e].astype("<u2").tobytes() + k.twice[kinds].tobytes() + k.key[kinds].tobytes() + body))
         if len(k.by_keys):
             hi, lo, *_ = k.window_keys(shard.data)
-            out += [(key[0].as_py(), KEYS, block, b - a, ex.wide_keys(hi[a:b], lo[a:b])) for block, a, b in ex.by_block(hi, sizes.wide_shift)]
+            out += [(number, KEYS, block, b - a, ex.wide_keys(hi[a:b], lo[a:b])) for block, a, b in ex.by_block(hi, sizes.wide_shift)]
+        del k, raw
+        release()
         return ex.message_table(out)
 
     def resolve(table: pa.Table) -> pa.Table:
-        return merge_bytes(table, length) if table.column("part")[0].as_py() == BYTES else ex.merge_wide_any(table)
+        out = merge_bytes(table, length) if table.column("part")[0].as_py() == BYTES else ex.merge_wide_any(table)
+        release()
+        return out
 
     def cover(table: pa.Table, got: pa.Table) -> pa.Table:
         if not len(table):
             return pa.table({name: pa.array([], kind) for name, kind in zip(names, kinds(table), strict=True)})
         shard = ex.in_order(table)
-        k = Known(shard, sizes, length, gram, got, True)
-        step = np.zeros(len(shard.data) + 1, np.int64)
-        whole = k.which[k.repeated[k.kind]]
-        np.add.at(step, k.contexts.first[whole], 1)
-        np.add.at(step, k.contexts.last[whole] + length, -1)
-        single = [_EMPTY]
+        k = Known(shard, sizes, length, gram, got)
+        flags = np.zeros(int(k.offsets[-1]), bool)
         bits = ex.answers(got, BYTES)
         for block, a, b in ex.by_block(k.key[k.by_bytes], sizes.owner_shift):
             if block in bits:
-                starts, _ = k.windows(k.by_bytes[a:b])
-                single.append(starts[ex.unpack_bits(bits[block], len(starts))])
+                at = _flat(k.offsets, k.by_bytes[a:b])
+                flags[at] = ex.unpack_bits(bits[block], len(at))
         if len(k.by_keys):
-            hi, _, kind, starts, _, known = k.window_keys(shard.data)
-            single.append(starts[(known | ex.marked(hi, sizes.wide_shift, ex.answers(got, KEYS)))[kind]])
-        at = np.concatenate(single)
+            hi, _, kind, known = k.window_keys(shard.data)
+            flags[_flat(k.offsets, k.by_keys)] = (known | ex.marked(hi, sizes.wide_shift, ex.answers(got, KEYS)))[kind]
+        at = k.repeated(flags)
+        del k
+        step = np.zeros(len(shard.data) + 1, np.int32)
         np.add.at(step, at, 1)
         np.add.at(step, at + length, -1)
-        return covered(shard, np.cumsum(step[:-1]) > 0)
+        out = covered(shard, np.cumsum(step[:-1]) > 0)
+        release()
+        return out
 
     names = [f.name for f in carried] + added
     plus = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()]
@@ -354,15 +398,16 @@ def cut_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byt
 
     result = T.StructType([*carried, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())])
     sent = rows.groupBy("__shard").applyInArrow(anchors, ex.MESSAGE)
-    shared = sent.groupBy("part", "block").applyInArrow(ex.merge_cells, ex.ANSWER)
-    described = rows.groupBy("__shard").cogroup(shared.groupBy("shard")).applyInArrow(digests, ex.MESSAGE)
-    known = shared.unionByName(described.groupBy("part", "block").applyInArrow(lambda table: merge_contexts(table, hot), ex.ANSWER))
-    asked = rows.groupBy("__shard").cogroup(known.groupBy("shard")).applyInArrow(compare, ex.MESSAGE)
+    known = sent.groupBy("part", "block").applyInArrow(lambda table: merge_anchors(table, hot), ex.ANSWER)
+    asked = rows.groupBy("__shard").cogroup(known.groupBy("shard")).applyInArrow(send, ex.MESSAGE)
     answered = known.unionByName(asked.groupBy("part", "block").applyInArrow(resolve, ex.ANSWER))
     return rows.groupBy("__shard").cogroup(answered.groupBy("shard")).applyInArrow(cover, result)
 
 
 def spans_query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes."""
+    """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes.
+
+    Null texts are empty, repeated rows remove each other, extra columns are dropped, an empty table gives no rows.
+    """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cut_spans(slim).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -59,32 +59,37 @@ def suffix_array(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def common_prefixes(data: np.ndarray, offsets: np.ndarray, sa: np.ndarray) -> np.ndarray:
+def common_prefixes(data: np.ndarray, offsets: np.ndarray, sa: np.ndarray, least: int = 0) -> np.ndarray:
     """lcp[i]: bytes that suffixes sa[i - 1] and sa[i] share (0 for i = 0), by Kasai's rule.
 
     The rule (the next suffix of a text shares at least one byte less than this one) goes
-    through one text position after the other; all texts take that step together.
+    through one text position after the other; all texts take that step together. ``sa`` may hold only the suffixes of
+    ``least`` bytes or more: then the rule starts anew where the neighbour's next suffix is too short to be among them.
     """
     n = len(data)
-    if not n:
+    if not len(sa):
         return np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     end = offsets[1:][text]
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
-    before = np.where(place > 0, sa[np.maximum(place - 1, 0)], -1)
+    before = np.full(n, -1)
+    before[sa[1:]] = sa[:-1]
     shared = np.zeros(n, np.int64)
     eight = np.zeros(n, U64)  # the eight bytes from each place on
     for j in range(8):
         eight[: n - j] |= data[j:].astype(U64) << U64(8 * j)
     starts, lengths = offsets[:-1], np.diff(offsets)
-    alive = np.flatnonzero(lengths > 0)
+    steps = lengths - max(least, 1) + 1
+    alive = np.flatnonzero(steps > 0)
     h = np.zeros(len(offsets) - 1, np.int64)
-    for t in range(int(lengths.max())):
-        alive = alive[lengths[alive] > t]
+    for t in range(int(steps.max())):
+        alive = alive[steps[alive] > t]
         p = starts[alive] + t
         q = before[p]
-        h[alive] = np.where(q >= 0, np.maximum(h[alive] - 1, 0), 0)
+        known = np.where(q >= 0, np.maximum(h[alive] - 1, 0), 0)
+        if t and least:
+            last = before[p - 1]
+            known[(last < 0) | (end[last] - last <= least)] = 0
+        h[alive] = known
         todo = np.flatnonzero(q >= 0)
         most = np.minimum(end[p] - p, end[q] - q)  # q is -1 where there is none; not used then
         leap = todo

@@ -23,6 +23,38 @@ def test_suffix_array_and_common_prefixes():
             a, b = want[i - 1][0], want[i][0]
             n = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
             assert n == lcp[i]
+        for least in (2, 5):
+            some = sa[[offsets[np.searchsorted(offsets, p, side="right")] - p >= least for p in sa]]
+            lcp = common_prefixes(data, offsets, some, least)
+            rest = [w for w in want if len(w[0]) >= least]
+            for i in range(1, len(rest)):
+                a, b = rest[i - 1][0], rest[i][0]
+                assert lcp[i] == next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+
+
+def test_contexts_against_a_plain_version():
+    import pyarrow as pa
+
+    from quillforge.llm import exchange as ex
+    from quillforge.llm import spans as sp
+    from quillforge.llm.columns import text_bytes
+
+    rng = random.Random(1)
+    for _ in range(80):
+        texts = []
+        for _ in range(rng.randrange(1, 7)):
+            n = rng.randrange(0, 90)
+            texts.append(rng.choice(["".join(rng.choice("ab") for _ in range(n)), "x" * n, "abc" * (n // 3), "".join(rng.choice("abcdefghij") for _ in range(n))]))
+        data, off = text_bytes(pa.array(texts))
+        length, gram = rng.choice([(20, 10), (12, 6), (7, 4), (30, 29)])
+        c = sp.Contexts(ex.Shard(None, data, off), length, gram)
+        starts = [s for a, b in zip(c.first, c.last, strict=True) for s in range(a, b + 1)]
+        assert starts == [s for a, b in zip(off, off[1:], strict=False) for s in range(a, b - length + 1)]
+        # equal windows lie at equal places of contexts with equal keys, and neighbours of one key and document are one context
+        place = {}
+        for a, b, k in zip(c.first.tolist(), c.last.tolist(), c.key.tolist(), strict=True):
+            for s in range(a, b + 1):
+                assert place.setdefault(data[s : s + length].tobytes(), k) == k
 
 
 def brute(texts, length):
@@ -73,6 +105,34 @@ def test_against_brute_force(make, shard_bytes, hot):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got.collect()} == want
 
 
+def test_arrays_decide_where_no_context_is_whole(make, monkeypatch):
+    """Two passages that share 260 bytes under different texts on both sides: no context is equal whole, so an array must tell."""
+    from quillforge.llm import spans as sp
+    from tests.llm.conftest import rows
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(260)
+    texts = [word(300) + shared + word(300), word(150) + shared + word(400)]
+    got = sorted((r["doc_id"], r["n_removed"]) for r in cut_spans(make(rows(texts))).collect())
+    assert got == [(1, 260), (2, 260)]
+    calls = []
+    monkeypatch.setattr(sp, "suffix_array", lambda *a: calls.append(len(a[0])) or suffix_array(*a))
+    from quillforge.llm import exchange as ex
+
+    sizes = sp.Sizes(2000, 200, 100)
+    shards = [ex.Shard(None, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts]
+    anchors = [m for i, s in enumerate(shards) for m in sp.anchor_messages(s, i, sizes, sp.Contexts(s, 200, 100))]
+    told = sp.merge_anchors(ex.message_table(anchors))
+    sent = []
+    for i, s in enumerate(shards):
+        k = sp.Known(s, sizes, 200, 100, told.filter(np.array(told.column("shard")) == i))
+        e = k.example
+        body = b"".join(s.data[a : b + 200].tobytes() for a, b in zip(k.contexts.first[e], k.contexts.last[e], strict=True))
+        sent.append((i, sp.BYTES, 0, len(e), (k.contexts.last - k.contexts.first + 200)[e].astype("<u2").tobytes() + k.twice.tobytes() + k.key.tobytes() + body))
+    assert len(sp.merge_bytes(ex.message_table(sent), 200)) == 2 and calls
+
+
 def test_awkward_rows(awkward, empty):
     got = spans_query(awkward).collect()
     assert len(got) == awkward.count()

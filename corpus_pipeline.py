@@ -17,7 +17,7 @@ from quillforge.llm.neardup import near_duplicates
 from quillforge.llm.packing import pack, pieces
 from quillforge.llm.quality import fit, quality_scores
 from quillforge.llm.spans import cut_spans
-from quillforge.llm.stages import shared_folder
+from quillforge.llm.stages import remove, shared_folder
 from quillforge.tables import table
 
 #: A document goes only if its probability of label 1 is below this.
@@ -116,10 +116,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's result is written to the shared folder and read again."""
+    """All stages over documents; every stage's result is written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the last one stays, for the result reads it.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -106,6 +106,15 @@ def text_stats(text: Column, script: str = LAO) -> dict[str, Column]:
     }
 
 
+def layer_counts(text: Column) -> dict[str, Column]:
+    """What two layers of a page are compared by: solid characters, those of the Lao block, Latin letters and other letters."""
+    text = F.coalesce(text, F.lit(""))
+    solid = F.regexp_replace(text, r"[\s\x{0085}\x{00A0}]+", "")
+    lao, latin = count_of(solid, LAO), count_of(solid, r"\p{L}&&\p{IsLatin}")
+    other = count_of(F.regexp_replace(solid, rf"[{LAO}\p{{IsLatin}}]+", ""), r"\p{L}")
+    return {"solid": F.char_length(solid), "lao": lao, "latin": latin, "other": other}
+
+
 def text_ratios(stats: dict[str, Column]) -> dict[str, Column]:
     """Shares of ``text_stats``: script, replaced and digit characters among the solid ones; 0 without any."""
     share = lambda n: F.when(stats["n_solid"] == 0, F.lit(0.0)).otherwise(stats[n] / F.when(stats["n_solid"] == 0, F.lit(1)).otherwise(stats["n_solid"]))

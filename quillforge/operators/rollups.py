@@ -146,6 +146,28 @@ def media_class(coverage: Column, native_solid: Column) -> Column:
     return F.when(share >= WHOLE, raster).when(share >= PART, "partial-raster-content").otherwise("no-large-raster-layer")
 
 
+def layer_gap(native: dict[str, Column], ocr: dict[str, Column]) -> Column:
+    """How a page's own text differs from the recognized one, by the first rule that holds; both as ``text.layer_counts`` gives them."""
+    letters = native["lao"] + native["latin"] + native["other"]
+    strange = (native["solid"] >= 100) & (native["other"] >= F.greatest(F.lit(20), F.floor(letters * 0.15))) & (ocr["other"] <= F.greatest(F.lit(5), F.floor(native["other"] * 0.1))) & (ocr["lao"] + ocr["latin"] >= 50)
+    return (
+        F.when((native["solid"] == 0) & (ocr["solid"] > 0), "native-layer-empty")
+        .when((native["solid"] <= SPARSE) & (ocr["solid"] >= F.greatest(F.lit(100), native["solid"] * 5)), "native-layer-sparse")
+        .when(strange, "native-layer-script-anomaly")
+        .when((ocr["lao"] >= 50) & (native["lao"] < F.greatest(F.lit(5), F.floor(ocr["lao"] * 0.1))), "lao-missing-from-native-layer")
+        .when((native["solid"] > 0) & (ocr["solid"] >= native["solid"] * 2), "ocr-much-richer-than-native")
+        .otherwise("no-large-gap-detected")
+    )
+
+
+#: Confidences from which a page reads medium and high.
+MEDIUM, HIGH = 0.60, 0.80
+
+
+def confidence_band(mean: Column) -> Column:
+    return F.when(mean.isNull(), "no-confidence").when(mean < MEDIUM, "low").when(mean < HIGH, "medium").otherwise("high")
+
+
 def image_coverage(images: DataFrame) -> DataFrame:
     """Per page: images and the largest share of the page that one covers, within 0 and 1. ``images``: page, image, w, h, page_width, page_height."""
     area = F.col("page_width") * F.col("page_height")

@@ -150,8 +150,13 @@ def q_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that equal a benchmark line after normalization, and the others."""
     rows = cp.lines(_documents(spark, sf_dir)).select("lang", "doc_id", "pos", tx.normalize_line(F.col("line")).alias("t"))
     bench = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("t")).select(tx.normalize_line(F.col("t")).alias("t")).distinct().withColumn("hit", F.lit(True))
-    marked = rows.join(bench, "t", "left")
-    return marked.groupBy("lang").agg(F.count_if(F.col("hit").isNull()).alias("kept"), F.count_if(F.col("hit").isNotNull()).alias("excluded"))
+    if bench.count() <= 100_000:  # lines of the benchmark; beyond that equal lines are counted first, so no line is a hot key
+        counted, bench = rows.withColumn("n", F.lit(1).cast("long")), F.broadcast(bench)
+    else:
+        counted = rows.groupBy("lang", "t").agg(F.count("*").alias("n"))
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+    marked = counted.join(bench, "t", "left")
+    return marked.groupBy("lang").agg(total(F.col("hit").isNull()).alias("kept"), total(F.col("hit").isNotNull()).alias("excluded"))
 
 
 _NGRAMS = """

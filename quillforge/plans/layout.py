@@ -173,16 +173,30 @@ def q_ctc_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir).select("user_id", ctc.needed_steps(F.col("ids")).cast("long").alias("steps"))
 
 
-@query()
-def q_ctc_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beam search over one lattice a user, made from the values of all events in order: four labels and a blank."""
+def _lattices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lattice a user, made from the values of all events in order: four labels and a blank."""
     step = F.array(*(F.log(F.lit(0.05) + F.abs(F.sin(F.col("value") * (k + 1)))) for k in range(5)))
     norm = F.transform(step, lambda v: v - F.log(F.aggregate(F.transform(step, lambda u: F.exp(u)), F.lit(0.0), lambda a, b: a + b)))
     rows = table(spark, sf_dir, "events").where("value is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", norm.alias("p")))).alias("s"))
-    decoded = rows.select("user_id", ctc.beam_decode()(F.transform("s", lambda x: x["p"])).alias("d"))
+    return rows.select("user_id", F.transform("s", lambda x: x["p"]).alias("lattice"))
+
+
+@query()
+def q_ctc_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beam search over the lattices of all users."""
+    decoded = _lattices(spark, sf_dir).select("user_id", ctc.beam_decode()(F.col("lattice")).alias("d"))
     return decoded.select("user_id", F.array_join("d.labels", ",").alias("labels"), F.round("d.log_prob", 6).alias("log_prob"))
 
 
+@query()
+def q_ctc_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a model of label pairs, counted over the event types of all users (views left out)."""
+    sequences = _sequences(spark, sf_dir).select(F.filter("ids", lambda i: i > 0).alias("ids"))
+    model = ctc.LabelModel.collect(ctc.label_counts(sequences, 2), 2, 4)
+    decoded = _lattices(spark, sf_dir).select("user_id", ctc.beam_decode(10, model=model, weight=0.5, bonus=0.2)(F.col("lattice")).alias("d"))
+    return decoded.select("user_id", F.array_join("d.labels", ",").alias("labels"), *(F.round(f"d.{c}", 6).alias(c) for c in ("log_prob", "ranking", "model_log_prob")))
+
+
 _TEXT = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> '') AS text FROM conversations GROUP BY conv_id"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillforge.functions import text as tx
+from quillforge.operators import rollups as ro
 from quillforge.plans.inputs import duck, made
 from quillforge.plans.registry import query
 from quillforge.sources.manifests import CATEGORIES, inventory
@@ -145,24 +146,24 @@ def q_page_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(picks, ",").alias("sampled"))
 
 
+_LAYERS = "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN substr(text, 1, 20) WHEN 2 THEN substr(text, 1, CAST(floor(length(text) / 3) AS INT)) WHEN 3 THEN repeat('\u0416\u0434 \u05d0', 60) ELSE text END AS native, CASE doc_id % 5 WHEN 0 THEN repeat('\u0e81\u0e82 ', 40) WHEN 1 THEN text || text ELSE text END AS ocr FROM {documents} WHERE text IS NOT NULL"
+_COUNTS = r"length(regexp_replace({0}, '[\s\x{{0085}}\x{{00A0}}]+', '', 'g')) AS {1}s, len(regexp_extract_all({0}, '[\x{{0E80}}-\x{{0EFF}}]')) AS {1}l, len(regexp_extract_all({0}, '\p{{Latin}}')) AS {1}a, len(regexp_extract_all(regexp_replace({0}, '[\x{{0E80}}-\x{{0EFF}}\p{{Latin}}]', '', 'g'), '\p{{L}}')) AS {1}o"
+
+
 @query(
-    """SELECT band, count(*) AS n FROM (SELECT CASE WHEN p.html IS NULL THEN 'no-page' WHEN d.text = '' THEN 'no-text' WHEN length(d.text) >= 0.9 * length(p.html) THEN 'agrees' WHEN length(d.text) >= 0.2 * length(p.html) THEN 'partial' ELSE 'gap' END AS band
-FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id) GROUP BY band"""
+    f"""WITH c AS (SELECT doc_id, {_COUNTS.format('native', 'n')}, {_COUNTS.format('ocr', 'r')} FROM {duck(_LAYERS)}) SELECT doc_id, CASE WHEN ns = 0 AND rs > 0 THEN 'native-layer-empty' WHEN ns <= 32 AND rs >= greatest(100, ns * 5) THEN 'native-layer-sparse'
+WHEN ns >= 100 AND no >= greatest(20, floor((nl + na + no) * 0.15)) AND ro <= greatest(5, floor(no * 0.1)) AND rl + ra >= 50 THEN 'native-layer-script-anomaly' WHEN rl >= 50 AND nl < greatest(5, floor(rl * 0.1)) THEN 'lao-missing-from-native-layer'
+WHEN ns > 0 AND rs >= ns * 2 THEN 'ocr-much-richer-than-native' ELSE 'no-large-gap-detected' END AS gap FROM c"""
 )
 def q_layer_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered rules over two layers of a document: a page's HTML and its text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    share = F.char_length("text") / F.greatest(F.lit(1), F.char_length("html"))
-    band = F.when(F.col("html").isNull(), "no-page").when(F.col("text") == "", "no-text").when(share >= 0.9, "agrees").when(share >= 0.2, "partial").otherwise("gap")
-    return d.join(p, "doc_id", "left").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    """Documents as the two layers of a page, one of them emptied, shortened, doubled or in another script."""
+    gap = ro.layer_gap(tx.layer_counts(F.col("native")), tx.layer_counts(F.col("ocr")))
+    return made(spark, sf_dir, _LAYERS).select("doc_id", gap.alias("gap"))
 
 
-@query("SELECT CASE WHEN value IS NULL THEN 'unknown' WHEN value / 100 < 0.6 THEN 'low' WHEN value / 100 < 0.8 THEN 'medium' ELSE 'high' END AS band, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT CASE WHEN value IS NULL THEN 'no-confidence' WHEN value / 100 < 0.6 THEN 'low' WHEN value / 100 < 0.8 THEN 'medium' ELSE 'high' END AS band, count(*) AS n FROM events GROUP BY 1")
 def q_conf_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("value") / 100
-    band = F.when(c.isNull(), "unknown").when(c < 0.6, "low").when(c < 0.8, "medium").otherwise("high")
-    return table(spark, sf_dir, "events").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").groupBy(ro.confidence_band(F.col("value") / 100).alias("band")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT epoch(time_bucket(INTERVAL 60 MINUTE, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -145,7 +145,7 @@ def ground_truth_problems(docs: DataFrame) -> DataFrame:
     run = lambda a, n: F.sequence(F.col(f"c.{a}"), F.col(f"c.{a}") + F.col(f"c.{n}") - 1)
     grid = cells.where(placed & spans).select("file", "block", "cell", F.explode(run("row", "row_span")).alias("r"), F.col("c")).select("file", "block", "cell", "r", F.explode(run("column", "column_span")).alias("k"))
     first = F.min("cell").over(Window.partitionBy("file", "block", "r", "k"))
-    overlaps = grid.where(F.col("cell") > first).select("file", "block", "cell").distinct().withColumn("problem", F.lit("cell overlaps another"))
+    overlaps = grid.withColumn("first", first).where("cell > first").select("file", "block", "cell").distinct().withColumn("problem", F.lit("cell overlaps another"))
     return head.unionByName(many).unionByName(size).unionByName(of_blocks).unionByName(of_cells).unionByName(overlaps)
 
 
@@ -193,7 +193,7 @@ def diagnostic_suite(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     none = F.lit(None).cast("string")
     head_rules = [("unknown schema", ~F.col("j.schema_version").eqNullSafe(F.lit("1"))), ("no suite id", F.trim(F.coalesce(F.col("j.id"), F.lit(""))) == ""), ("no sources", F.coalesce(F.size("j.sources"), F.lit(0)) < 1)]
     head = whole.select(none.alias("id"), F.explode(F.array_compact(F.array(*(F.when(b, F.lit(n)) for n, b in head_rules)))).alias("problem"))
-    each = whole.select(F.posexplode("j.sources").alias("ord", "s")).select("ord", "s.*").withColumns({"id": F.trim(F.coalesce("id", F.lit(""))), "expected_text_layer": F.trim(F.coalesce("expected_text_layer", F.lit(""))), "n": F.count("*").over(Window.partitionBy("s.id"))})
+    each = whole.select(F.posexplode("j.sources").alias("ord", "s")).select("ord", "s.*").withColumns({"id": F.trim(F.coalesce("id", F.lit(""))), "expected_text_layer": F.trim(F.coalesce("expected_text_layer", F.lit(""))), "n": F.count("*").over(Window.partitionBy("id"))})
     rules = [
         ("no id", F.col("id") == ""), ("duplicate id", F.col("n") > 1), ("no pages", F.coalesce(F.size("pages"), F.lit(0)) < 1),
         ("bad page", F.exists(F.coalesce("pages", F.array().cast("array<double>")), lambda p: p.isNull() | (p < 1) | (p != F.floor(p)))),

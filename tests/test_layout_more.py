@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quillforge.functions import sql
 from quillforge.operators import orientation as ori
 from quillforge.operators import spatial as sp
+from quillforge.operators import reading as rd
 from quillforge.operators import tables as tb
 
 
@@ -44,18 +45,44 @@ def test_grid(spark):
     assert len(got) == 7 and all(r[3:] == (1, 1) for r in got[3:])  # an L stays apart
 
 
+LINES = "page long, page_width long, block long, ord long, text string, confidence double, x long, y long, w long, h long"
+
+
 def test_region_tables(spark):
-    kind = "page long, block long, ord long, text string, x long, y long, w long, h long"
-    rows = [(1, 1, i, f"c{i}", (i % 2) * 200 + i, (i // 2) * 30, 50, 10) for i in range(6)] + [(1, 2, 0, "x", 0, 0, 9, 9)]
-    got = sorted((r["row"], r["column"], r["text"]) for r in tb.region_tables(spark.createDataFrame(rows, kind)).collect())
-    assert got == [(i // 2, i % 2, f"c{i}") for i in range(6)]
+    rows = [(1, 1000, 1, i, f" c{i} ", 0.5, (i % 2) * 200 + i, (i // 2) * 30, 50, 10) for i in range(6)] + [(1, 1000, 2, 9, "x", 0.5, 0, 0, 9, 9)]
+    got = tb.region_tables(spark.createDataFrame(rows, LINES)).collect()
+    assert len(got) == 1 and got[0]["text"] == "c0\tc1\nc2\tc3\nc4\tc5" and (got[0]["rows"], got[0]["columns"], got[0]["empty_cells"]) == (3, 2, 0)
+    assert sorted((c["row"], c["column"], c["text"]) for c in got[0]["cells"]) == [(i // 2, i % 2, f"c{i}") for i in range(6)]
+    assert (got[0]["x"], got[0]["y"], got[0]["w"], got[0]["h"]) == (0, 0, 255, 70)
+    sparse = rows[:3] + rows[4:6]  # one place empty
+    assert tb.region_tables(spark.createDataFrame(sparse, LINES)).first()["empty_cells"] == 1
+    doubled = rows[:6] + [(1, 1000, 1, 7, "again", 0.5, 203, 31, 50, 10)]
+    assert tb.region_tables(spark.createDataFrame(doubled, LINES)).count() == 0
+
+
+ORDERED = "page long, page_width long, ord long, x long, y long, w long, h long"
+
+
+def order(spark, boxes, width=600):
+    """Names of boxes (name, x, y, w, h) in the order they are read."""
+    frame = spark.createDataFrame([(1, width, i, *b[1:]) for i, b in enumerate(boxes)], ORDERED)
+    return [boxes[r["ord"]][0] for r in rd.reading_order(frame).orderBy("place").collect()]
 
 
 def test_reading_order(spark):
-    kind = "page long, page_width long, ord long, x long, y long, w long, h long"
-    two = [(1, 1000, 0, 0, 100, 400, 50), (1, 1000, 1, 500, 90, 400, 50), (1, 1000, 2, 0, 200, 400, 50), (1, 1000, 3, 500, 210, 400, 50), (1, 1000, 4, 0, 0, 900, 50)]
-    got = [r["ord"] for r in tb.reading_order(spark.createDataFrame(two, kind)).orderBy("place").collect()]
-    assert got == [4, 0, 2, 1, 3]
+    two = [("L1", 60, 100, 180, 30), ("R1", 360, 100, 180, 30), ("L2", 60, 160, 180, 30), ("R2", 360, 160, 180, 30)]
+    assert order(spark, two) == ["L1", "L2", "R1", "R2"]
+    assert order(spark, [("H", 50, 20, 500, 40), *two, ("F", 30, 300, 540, 35)]) == ["H", "L1", "L2", "R1", "R2", "F"]
+    spanning = [*two[:2], ("S", 120, 145, 360, 35), ("L2", 60, 200, 180, 30), ("R2", 360, 200, 180, 30)]
+    assert order(spark, spanning) == ["L1", "R1", "S", "L2", "R2"]
+    assert order(spark, [("B", 60, 160, 480, 30), ("A", 60, 100, 480, 30), ("C", 60, 220, 480, 30)]) == ["A", "B", "C"]
+    three = [(f"{n}{k}", x, y, 130, 30) for k, y in enumerate((100, 160, 220)) for n, x in (("L", 40), ("M", 235), ("R", 430))]
+    assert order(spark, three) == [f"{n}{k}" for n in "LMR" for k in range(3)]
+    assert order(spark, [("S", 120, 145, 360, 35), *three])[:3] == ["L0", "M0", "R0"]
+    frame = spark.createDataFrame([(1, 600, i, *b[1:]) for i, b in enumerate(three)], ORDERED)
+    assert [(r["column"], r["left"], r["right"], r["blocks"]) for r in rd.column_bands(frame).orderBy("column").collect()] == [(0, 40.0, 170.0, 3), (1, 235.0, 365.0, 3), (2, 430.0, 560.0, 3)]
+    unplaced = spark.createDataFrame([(1, 600, 0, 5, 5, 2, 2), (1, 600, 1, None, None, None, None)], ORDERED)
+    assert [r["ord"] for r in rd.reading_order(unplaced).orderBy("place").collect()] == [1, 0]
 
 
 def test_orientation(spark):
@@ -63,7 +90,9 @@ def test_orientation(spark):
     frame = spark.createDataFrame(lines, "page long, degrees int, text string, confidence double, w long, h long")
     got = {r["page"]: r["degrees"] for r in ori.choose(ori.line_stats(frame)).collect()}
     assert got == {1: 90, 2: 0}
-    assert {r["page"]: r["tall_prevail"] for r in ori.line_geometry(frame.where("degrees = 0")).collect()} == {1: True, 2: False}
+    tall = spark.createDataFrame([(1, "ab", 10, 50), (1, "abc", 10, 50), (1, "abcd", 50, 10), (1, "x", 5, 50), (1, "yy", 9, 9), (2, "ab", 10, 50)], "page long, text string, w long, h long")
+    got = {r["page"]: tuple(r)[1:] for r in ori.line_geometry(tall).collect()}
+    assert got == {1: (1, 2, 4, 5, 2, True), 2: (0, 1, 0, 2, 0, False)}
     assert [tuple(x) for x in one(spark, ori.parse_turns(F.col("t")), t="1:90, 3:0")] == [(1, 90), (3, 0)]
     assert one(spark, ori.parse_turns(F.col("t")), t="1:90,1:180") is None
     assert one(spark, ori.parse_turns(F.col("t")), t="1:45") is None

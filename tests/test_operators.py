@@ -11,6 +11,7 @@ from quillforge.functions import text as tx
 from quillforge.operators import corpus as cp
 from quillforge.operators import ctc
 from quillforge.operators import layout as lo
+from quillforge.operators import regions as rg
 from quillforge.operators import metrics as mt
 from quillforge.sources import readers
 from quillforge.streaming import jobs as jb
@@ -53,14 +54,17 @@ def test_empty_reference(spark):
 
 
 def test_small_recognizers(spark):
-    assert one(spark, tx.safe_filename(F.col("t")), t="../a/b c?.pdf") == "b_c_.pdf"
-    assert one(spark, tx.safe_filename(F.col("t")), t="...") == "upload"
-    assert one(spark, tx.route(F.col("t")), t="/v1/jobs/0123456789abcdef0123/x/12?a=1") == "/v1/jobs/{id}/x/{id}"
+    assert one(spark, tx.safe_filename(F.col("t")), t="../a/b c?.pdf") == "b c_.pdf"
+    assert [one(spark, tx.safe_filename(F.col("t")), t=t) for t in ("...", "..", "", "a\\b/", ".x", "e\u0301 .PNG")] == ["document", "document", "document", "document", "x", "\u00e9.png"]
+    routes = {"/v1/jobs/batch": "/v1/jobs/batch", "/v1/jobs/ab": "/v1/jobs/{job_id}", "/v1/jobs/ab/download": "/v1/jobs/{job_id}/download", "/v1/jobs/ab/x": "/v1/jobs/ab/x", "/v1/health": "/v1/health", "/v1/jobs/": "/v1/jobs/"}
+    assert {t: one(spark, tx.route(F.col("t")), t=t) for t in routes} == routes
     assert one(spark, tx.escape_label(F.col("t")), t='a"b\\c\nd') == 'a\\"b\\\\c\\nd'
     assert one(spark, tx.value_like(F.col("t")), t="1,200.50 LAK") and not one(spark, tx.value_like(F.col("t")), t="total")
     assert one(spark, tx.tags(F.col("t")), t=[" B", "a", "b", " "]) == ["a", "b"]
-    assert one(spark, tx.list_style(F.col("t")), t=["1. a", "more", "2) b"]) == "numbered"
+    assert one(spark, tx.list_style(F.col("t")), t=["1. a", "more", "2) b"]) == "ordered"
     assert one(spark, tx.list_style(F.col("t")), t=["1. a", "- b"]) is None
+    assert one(spark, tx.list_items(F.col("t")), t=["1. a", " more", "2) b"]) == ["a more", "b"]
+    assert one(spark, tx.list_items(F.col("t")), t=["a", "1. b"]) is None
     assert [one(spark, tx.safe_relative(F.col("t")), t=t) for t in ("a/b", "/a", "a/../b", "C:\\x", "")] == [True, False, False, False, False]
     assert one(spark, tx.clusters(F.col("t")), t="\u0eb1\u0e81\u0eb1b") == ["\u0eb1", "\u0e81\u0eb1", "b"]
 
@@ -106,8 +110,8 @@ def test_greedy_matching(spark):
 def test_row_clusters_and_regions(spark):
     lines = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 4, 10), (1, 2, 8, 10), (1, 3, 40, 10)], "page long, ord long, y long, h long")
     assert [r["row"] for r in lo.row_clusters(lines).orderBy("ord").collect()] == [0, 0, 0, 1]
-    boxes = spark.createDataFrame([(1, 1000, 0, 0, 0, 10, 10), (1, 1000, 1, 15, 0, 10, 10), (1, 1000, 2, 500, 0, 10, 10)], "page long, width long, ord long, x long, y long, w long, h long")
-    assert [(r["x"], r["w"]) for r in lo.merged_regions(boxes).orderBy("ord").collect()] == [(0.0, 25.0), (500.0, 10.0)]
+    boxes = spark.createDataFrame([(1, 1000, 1400, 0, 0, 0, 10, 10), (1, 1000, 1400, 1, 15, 0, 10, 10), (1, 1000, 1400, 2, 500, 0, 10, 10), (1, 1000, 1400, 3, 502, 34, 10, 10), (1, 1000, 1400, 4, 500, 80, 10, 10)], "page long, page_width long, page_height long, ord long, x long, y long, w long, h long")
+    assert [(r["x"], r["y"], r["w"], r["h"]) for r in rg.merged_regions(boxes).orderBy("ord").collect()] == [(0, 0, 25, 10), (500, 0, 12, 44), (500, 80, 10, 10)]
 
 
 def test_rotation_turns_back(spark):
@@ -127,8 +131,33 @@ def test_beam_against_all_paths():
             labels = tuple(k for k, _ in itertools.groupby(path) if k)
             total[labels] = total.get(labels, 0.0) + math.exp(sum(p[t, k] for t, k in enumerate(path)))
         best = max(total.items(), key=lambda kv: kv[1])
-        labels, log_p = ctc.beam_search(p, 200)
-        assert tuple(labels) == best[0] and log_p == pytest.approx(math.log(best[1]))
+        labels, log_p, ranking, _ = ctc.beam_search(p, 200)
+        assert tuple(labels) == best[0] and log_p == ranking == pytest.approx(math.log(best[1]))
+        model = ctc.LabelModel(2, 2, {(): {1: 3, 2: 1}, (1,): {2: 5}, (-1,): {1: 1}})
+        fused = max(total.items(), key=lambda kv: math.log(kv[1]) + 0.7 * model.sequence(kv[0]) + 0.3 * len(kv[0]))
+        got = ctc.beam_search(p, 200, scorer=model.score, weight=0.7, bonus=0.3)
+        assert tuple(got.labels) == fused[0] and got.log_prob == pytest.approx(math.log(fused[1])) and got.model_log_prob == pytest.approx(model.sequence(fused[0]))
+
+
+def test_beam_inputs_and_fusion_columns(spark):
+    assert ctc.beam_search(np.zeros((0, 3))) == ([], 0.0, 0.0, 0.0)
+    for bad in ({"width": 0}, {"weight": 1.0}, {"bonus": math.inf}, {"blank": 3}):
+        with pytest.raises(ValueError):
+            ctc.beam_search(np.zeros((2, 3)), **bad)
+    with pytest.raises(ValueError):
+        ctc.beam_search(np.full((2, 3), -np.inf))
+    sequences = spark.createDataFrame([([1, 2, 1],), ([1, 1],), ([],)], "ids array<long>")
+    counts = ctc.label_counts(sequences, 2)
+    assert {(tuple(r["context"]), r["label"]): r["n"] for r in counts.collect()} == {((), 1): 4, ((), 2): 1, ((-1,), 1): 2, ((1,), 2): 1, ((2,), 1): 1, ((1,), 1): 1}
+    model = ctc.LabelModel.collect(counts, 2, 2)
+    assert model.score((), 1) == pytest.approx(math.log(2.1 / 2.2)) and model.score((2,), 2) == pytest.approx(math.log(0.1 / 1.2))
+    with pytest.raises(ValueError):
+        ctc.LabelModel.collect(counts, 2, 2, most=1)
+    p = np.log([[0.2, 0.4, 0.4], [0.6, 0.2, 0.2], [0.1, 0.45, 0.45]])
+    frame = spark.createDataFrame([(p.tolist(),), (None,)], "x array<array<double>>")
+    got = [r["d"] for r in frame.select(ctc.beam_decode(50, model=model, weight=2.0, bonus=0.1)(F.col("x")).alias("d")).collect()]
+    want = ctc.beam_search(p, 50, scorer=model.score, weight=2.0, bonus=0.1)
+    assert list(got[0]["labels"]) == want.labels and got[0]["ranking"] == pytest.approx(want.ranking) and want.labels != ctc.beam_search(p, 50).labels
 
 
 def test_ctc_columns(spark):
@@ -146,6 +175,7 @@ def test_quota_table_and_stream(spark, tmp_path):
     rows = {r["ord"]: (r["admitted"], r["retry_after"]) for r in limits.admit(frame, 2, 10.0).collect()}
     assert [rows[i][0] for i in range(7)] == [True, True, False, True, False, True, True]
     assert rows[2][1] == 8 and rows[4][1] == 10
+    assert all(r["remaining"] == 0 for r in limits.admit(frame, 2, 10.0).collect() if not r["admitted"])
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = limits.admit_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 2, 10.0)
@@ -154,6 +184,62 @@ def test_quota_table_and_stream(spark, tmp_path):
     assert {r["ord"]: (r["admitted"], r["retry_after"]) for r in spark.table("quota").collect()} == rows
 
 
+def test_quota_rules():
+    q = limits.Quota(2, 10)
+    with pytest.raises(ValueError, match="one unit"):
+        q.ask(0.0, 0)
+    assert q.ask(0.0, 3) == (False, 0, 10) and q.ask(0.0, 2) == (True, 0, 0) and q.ask(9.5) == (False, 0, 1) and q.ask(10.0) == (True, 1, 0)
+    assert limits.Quota(0, 10).ask(0.0, 5) == (True, 0, 0)
+    with pytest.raises(ValueError, match="window"):
+        limits.Quota(1, 0.5)
+    k = limits.Keyed(1, 10, most=2)
+    assert k.ask("a", 0.0)[0] and k.ask("b", 5.0)[0]
+    assert k.ask("c", 6.0) == (False, 0, 10) and k.ask("c", 10.0) == (True, 0, 0)  # a is idle by then
+    assert k.ask("b", 11.0) == (False, 0, 4) and k.snapshot()["tracked_clients"] == 2
+
+
+def test_bounded_keys_in_a_table(spark):
+    rows = [("s", "a", 0, 0.0, 1), ("s", "b", 1, 5.0, 1), ("s", "c", 2, 6.0, 1), ("s", "c", 3, 10.0, 1), ("t", "c", 4, 6.0, 1)]
+    frame = spark.createDataFrame(rows, "server string, key string, ord long, ts double, cost int").repartition(3)
+    got = {r["ord"]: (r["admitted"], r["retry_after"]) for r in limits.admit_bounded(frame, 1, 10.0, 2, "server").collect()}
+    assert got == {0: (True, 0), 1: (True, 0), 2: (False, 10), 3: (True, 0), 4: (True, 0)}
+    answers = limits.admit_bounded(frame, 1, 10.0, 2, "server")
+    assert limits.tracked(answers.where("server = 's'"), 10.0, 10.0, 1, 2).first()["tracked_clients"] == 2
+
+
+def test_lifecycle_table_and_stream(spark, tmp_path):
+    schema = "job_id string, ord long, event string"
+    steps = {"a": ["reserve", "enqueue", "start", "succeed", "cancel"], "b": ["enqueue", "reserve", "cancel", "enqueue"], "c": ["reserve", "enqueue", "cancel", "start"], "d": ["reserve", "enqueue", "start", "cancel", "succeed"], "e": ["reserve", "enqueue", "start", "cancel", "fail"]}
+    frame = spark.createDataFrame([(j, i, e) for j, es in steps.items() for i, e in enumerate(es)], schema)
+    got = {(r["job_id"], r["ord"]): (r["status"], r["taken"]) for r in jb.lifecycle(frame).collect()}
+    assert got["a", 3] == ("succeeded", True) and got["a", 4] == ("succeeded", False)
+    assert got["b", 0] == (None, False) and got["b", 2] == ("uploading", True) and got["b", 3] == ("cancelled", True)
+    assert got["c", 2] == ("cancelled", True) and got["c", 3] == ("cancelled", False)
+    assert got["d", 4] == ("cancelled", True) and got["e", 4] == ("failed", True)
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = jb.lifecycle_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("jobs").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert {(r["job_id"], r["ord"]): (r["status"], r["taken"]) for r in spark.table("jobs").collect()} == got
+
+
+def test_journal_is_all_or_nothing(spark):
+    kinds = "job_id string, artifact_key string, workspace_pending boolean, failures int"
+    at = F.lit("2024-01-01").cast("timestamp")
+    journal = spark.createDataFrame([("a", None, True, 0), ("b", "k", True, 2)], kinds).withColumn("retry_at", at)
+    change = lambda rows: spark.createDataFrame(rows, f"op string, {kinds}").withColumn("retry_at", at)
+    keys = lambda f: sorted((r["job_id"], r["artifact_key"], r["failures"]) for r in f.collect())
+    after, bad = jb.journal_step(journal, change([("publish", "a", "x", True, 0), ("add", "c", None, True, 0)]), 9)
+    assert bad.count() == 0 and keys(after) == [("a", "x", 0), ("b", "k", 2), ("c", None, 0)]
+    after, bad = jb.journal_step(journal, change([("publish", "b", "x", True, 0), ("add", "c", None, True, 0)]), 9)
+    assert [r["problem"] for r in bad.collect()] == ["workspace is not owned"] and keys(after) == keys(journal)
+    after, bad = jb.journal_step(journal, change([("add", "c", None, True, 0)]), 2)
+    assert [r["problem"] for r in bad.collect()] == ["journal is full"] and keys(after) == keys(journal)
+    after, _ = jb.journal_step(journal, change([("update", "a", None, False, 0), ("expire", "d", None, True, 0)]), 9)
+    assert keys(after) == [("b", "k", 2), ("d", None, 0)]
+
+
 def test_job_states(spark):
     events = spark.createDataFrame([("j", 1, "queued"), ("j", 2, "succeeded"), ("j", 3, "running"), ("k", 1, "queued")], "job_id string, ord long, status string")
     assert {r["job_id"]: r["status"] for r in jb.latest(events).collect()} == {"j": "succeeded", "k": "queued"}

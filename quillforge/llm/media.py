@@ -18,6 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillforge.llm.columns import release
 
 RATE = 8000
 PACKET = 4000
@@ -187,12 +190,21 @@ def pad(raw: bytes, block: int = BLOCK) -> bytes:
 
 
 def ogg_column(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """``docs`` with each text stored as an Ogg file in the binary column ``media``.
+    """``docs`` with each text stored as an Ogg file in the binary column ``media``, which comes last.
 
-    A null text is stored as an empty one. A column already called ``media`` is replaced.
+    A null text is stored as an empty one; repeated rows give repeated files. A column already called ``media`` is replaced,
+    others, of any names, pass through. An empty table gives no rows. A narrow map: no shuffle.
     """
-    store = F.udf(lambda t: encode(pad((t or "").encode())), "binary", useArrow=False)
-    return docs.withColumn(media, store(F.col(text)))
+    kept = [f for f in docs.schema.fields if f.name.lower() != media.lower()]
+    source = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").cast("string").alias(media))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stored = [encode(pad((t.as_py() or "").encode())) for t in batch.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(stored, pa.binary())], names=[*batch.schema.names[: len(kept)], media])
+        release()
+
+    return source.mapInArrow(run, T.StructType([*kept, T.StructField(media, T.BinaryType())]))
 
 
 #: Distance of each sample value from the middle.
@@ -210,22 +222,25 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Store every text as Ogg, read the stored bytes back, and describe them, one row for each input row.
+    """Store every text with ``ogg_column``, read the stored column back, and describe it, one row for each input row.
 
     Null texts count as empty; an empty text is 64 bytes 0. Repeated rows give
     repeated rows; null ids stay null; other columns are dropped. There is no shuffle.
     """
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("media"))
+    stored = ogg_column(slim, "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                stored = encode(pad(raw))
-                d = decode(stored)
-                out.append((doc_id, len(raw), len(d.payload), hashlib.sha256(d.payload).hexdigest(), zlib.crc32(d.payload[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), features(d, d.payload)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DIGEST)
+            for media in batch.column(2):
+                data = media.as_py()
+                d = decode(data)
+                out.append((len(d.payload), hashlib.sha256(d.payload).hexdigest(), zlib.crc32(d.payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), features(d, d.payload)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        release()
+
+    return stored.mapInArrow(run, DIGEST)

@@ -251,7 +251,8 @@ def _across(members: DataFrame, label: DataFrame, classes: DataFrame, texts: Dat
         right = np.flatnonzero(~major & (chunk == y))
         found = [np.zeros((0, 2), np.int64)]
         for i in left:
-            other = right[(part[right] != part[i]) & (node[right] > node[i] if x == y else node[right] != node[i])]
+            near = (n[right] >= bar * n[i] - 1e-9) & (n[i] >= bar * n[right] - 1e-9)  # others can't reach the bar
+            other = right[near & (part[right] != part[i]) & (node[right] > node[i] if x == y else node[right] != node[i])]
             if not len(other):
                 continue
             equal = regs[other] == regs[i]

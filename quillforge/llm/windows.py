@@ -3,8 +3,9 @@
 Pass one: every shard adds its windows to ``ROWS`` count-min rows; a shard's sketch is
 kept as its non-zero cells and the shards' sketches are merged block by block (a
 count of two or more is all that is asked of them). Pass two: only windows whose smallest
-count is two or more (an overestimate, so none is lost) are grouped exactly, by 96-bit
-keys, and each shard learns which of its windows a smaller shard holds. Pass three cuts
+count is two or more (an overestimate, so none is lost) are grouped by what they are: by 96-bit
+keys, two independent polynomials over 64-bit hashes of their words (the words themselves don't travel; a clash of
+both, which would take two different windows for one, has a chance below 1e-9 for 10^9 windows), and each shard learns which of its windows a smaller shard holds. Pass three cuts
 the covered words. All three read the same exchange of the documents.
 """
 
@@ -88,7 +89,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = ex.SHA
     the same words start earlier: in a smaller doc_id, or earlier in the same document. ``kept`` is the
     other words joined by one space, ``removed`` the word ranges [start, end) cut. Rows
     with equal ids are taken in the order of a hash of their text, null ids come
-    first, null texts have no words. One row for each input row; an empty table gives none.
+    first, null texts have no words. Extra columns are dropped. One row for each input row; an empty table gives none.
     """
     dealt = ex.deal(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), shard_bytes)
     plan, rows = Plan(dealt.bytes, window), dealt.rows

@@ -107,3 +107,10 @@ def moved(b: Box, dx: Column, dy: Column) -> Box:
 def resize_plan(width: Column, height: Column, target_height: int, target_width: int) -> Column:
     """Width of a line scaled to ``target_height``, at least 1 and at most ``target_width`` (halves to even)."""
     return F.greatest(F.lit(1), F.least(F.lit(target_width), F.bround(width * target_height / height).cast("int")))
+
+
+def turned_assets(b: Box, degrees: Column, width: Column, height: Column) -> tuple[Box, Column]:
+    """The box of an asset after its page is turned, and its width as a share of the turned page's."""
+    box = rotated(b, degrees, width, height)
+    across = F.when(degrees.isin(90, 270), height).otherwise(width)
+    return box, box.w / F.greatest(F.lit(1), across)

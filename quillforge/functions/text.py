@@ -159,9 +159,14 @@ def list_items(lines: Column) -> Column:
     return F.when(list_style(lines).isNotNull() & (F.size(items) > 0), items)
 
 
+#: Signs and codes of currencies, and what numbers are made of.
+CURRENCY, NUMERIC = r"(?iU)[$\x{20AC}\x{00A3}\x{00A5}\x{20AD}]|\b(?:USD|LAK|THB|EUR)\b", r"(?U)^[\d\s.,:/()%+\-]+\z"
+
+
 def value_like(text: Column) -> Column:
-    """A number or an amount with a currency: a digit, and nothing but digits, separators and currency signs."""
-    return text.rlike(r"\d") & text.rlike(r"(?i)^\s*(?:[$\x{20AD}\x{20AC}\x{0E3F}]|LAK|USD|THB)?\s*[+-]?[\d.,\s]+%?\s*(?:[$\x{20AD}\x{20AC}\x{0E3F}]|LAK|USD|THB|\x{0E81}\x{0EB5}\x{0E9A})?\s*$")
+    """Whether a text names a currency, or is a number: a digit, and nothing but digits, blanks and the signs of numbers."""
+    plain = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return plain.rlike(CURRENCY) | (plain.rlike(NUMERIC) & plain.rlike(r"(?U)\d"))
 
 
 #: What a name without anything usable is called, and the longest stem.

@@ -200,5 +200,19 @@ def page_sample(count: Column, most: Column, requested: Column | None = None) ->
     return F.when(F.size(F.coalesce(requested, F.array().cast("array<int>"))) == 0, own).when(fine & (most >= 1), F.slice(asked, 1, F.greatest(F.lit(1), most)))
 
 
+def url_problem(url: Column) -> Column:
+    """Why a URL is not to be fetched: not HTTPS, no host, user info, another port, or an address that isn't public written as its host; null if nothing speaks against it (names aren't resolved)."""
+    host, authority = F.lower(F.try_parse_url(url, F.lit("HOST"))), F.try_parse_url(url, F.lit("AUTHORITY"))
+    port = F.regexp_extract(authority, r":(\d*)$", 1)
+    private = host.rlike(r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^(22[4-9]|23\d|24\d|25[0-5])\.|^\[(::1?|f[cd].*|fe[89ab].*|ff.*)\]$")
+    return (
+        F.when(~F.coalesce(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) == "https", F.lit(False)), "not HTTPS")
+        .when(F.coalesce(host, F.lit("")) == "", "no host")
+        .when(F.coalesce(F.contains(authority, F.lit("@")), F.lit(False)), "user info")
+        .when(~port.isin("", "443"), "another port")
+        .when(private, "not a public address")
+    )
+
+
 def mapping(values: dict) -> Column:
     return F.create_map(*map(F.lit, chain.from_iterable(values.items())))

@@ -77,6 +77,37 @@ def vocabulary(rows: DataFrame, text: str) -> DataFrame:
     return chars.select("char", F.row_number().over(Window.orderBy("char")).cast("long").alias("id"))
 
 
+def encoded(texts: DataFrame, key: str, text: str, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, ids), (key, missing)) of normalized texts: the ids of their characters, and for texts with others those characters, sorted.
+
+    A vocabulary (char, id) is bounded by the code points there are, so it is broadcast as one map.
+    """
+    one = vocab.agg(F.map_from_entries(F.collect_list(F.struct("char", "id"))).alias("__ids"))
+    rows = texts.select(key, tx.normalize_text(F.col(text)).alias("t")).join(F.broadcast(one), F.lit(True))
+    chars = F.filter(F.split("t", ""), lambda c: c != "")
+    rows = rows.select(key, chars.alias("c"), F.transform(chars, lambda c: F.try_element_at("__ids", c)).alias("ids"))
+    missing = F.array_sort(F.array_distinct(F.filter(F.transform("c", lambda c, i: F.when(F.get("ids", i).isNull(), c)), lambda c: c.isNotNull())))
+    judged = rows.withColumn("missing", missing)
+    return judged.where(F.size("missing") == 0).select(key, "ids"), judged.where(F.size("missing") > 0).select(key, "missing")
+
+
+def decoded(sequences: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+    """(key, text) of label sequences ``ids``: collapsed, then each label's character; null where a label is in no vocabulary."""
+    from quillforge.operators.ctc import collapse
+
+    one = vocab.agg(F.map_from_entries(F.collect_list(F.struct("id", "char"))).alias("__chars"))
+    rows = sequences.join(F.broadcast(one), F.lit(True)).select(key, F.transform(collapse(F.col("ids")), lambda i: F.try_element_at("__chars", i)).alias("c"))
+    return rows.select(key, F.when(~F.exists("c", lambda c: c.isNull()), F.array_join("c", "")).alias("text"))
+
+
+def vocabulary_checksum(vocab: DataFrame) -> DataFrame:
+    """One row: SHA-256 of the vocabulary's JSON form with sorted keys, its characters in order of their ids."""
+    chars = F.transform(F.array_sort(F.collect_list(F.struct("id", "char"))), lambda s: s["char"])
+    listed = F.array_join(F.transform(chars, lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)), ", ")
+    body = F.concat(F.lit('{"blank_id": 0, "characters": ['), listed, F.lit('], "schema_version": "1", "size": '), F.count("*").cast("string"), F.lit("}"))
+    return vocab.agg(F.sha2(body, 256).alias("checksum"), F.count("*").alias("size"))
+
+
 def corpus_vocabulary(texts: DataFrame, text: str) -> DataFrame:
     """``vocabulary`` of the NFC of ``texts``: blocks are reduced to their distinct characters where they are read."""
 

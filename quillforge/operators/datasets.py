@@ -76,6 +76,23 @@ def upsert_reviews(samples: DataFrame, decisions: DataFrame) -> DataFrame:
     return samples.join(decisions.select("id", F.col("status").alias("new")), "id", "left").withColumn("status", F.coalesce("new", "status")).drop("new")
 
 
+def apply_reviews(samples: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples, violations) after review decisions (id, status), all or none: with a decision on an unknown sample, two on one or an unknown
+    status the samples stay as they are. Nothing is written, so this is the dry run too."""
+    per = decisions.groupBy("id").agg(F.count("*").alias("n"), F.min("status").alias("status"))
+    twice = per.where("n > 1").select("id", F.lit("decided twice").alias("problem"))
+    odd = decisions.where(~F.coalesce(F.col("status").isin("approved", "rejected"), F.lit(False))).select("id", F.lit("unknown status").alias("problem"))
+    bad = twice.unionByName(odd).unionByName(unknown_decisions(samples, per).select("id", F.lit("unknown sample").alias("problem")))
+    any_bad = bad.agg((F.count("*") > 0).alias("__bad"))
+    both = samples.join(per.select("id", F.col("status").alias("__new")), "id", "left").join(F.broadcast(any_bad), F.lit(True))  # one row
+    return both.withColumn("status", F.when(~F.col("__bad"), F.coalesce("__new", "status")).otherwise(F.col("status"))).drop("__new", "__bad"), bad
+
+
+def review_summary(decisions: DataFrame) -> DataFrame:
+    """One row: decisions, and those that approve and reject."""
+    return decisions.agg(F.count("*").alias("decision_count"), F.count_if(F.col("status") == "approved").alias("approved_count"), F.count_if(F.col("status") == "rejected").alias("rejected_count"))
+
+
 def unknown_decisions(samples: DataFrame, decisions: DataFrame) -> DataFrame:
     return decisions.join(samples.select("id"), "id", "left_anti")
 

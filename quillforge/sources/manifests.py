@@ -229,7 +229,7 @@ def worksheet(spark: SparkSession, path: str, modes: list[str]) -> tuple[DataFra
     if lacking:
         none = spark.createDataFrame([], "combined_page int, template string, page_id string, modes array<string>")
         return none, spark.createDataFrame([(None, f"no column {c}") for c in lacking], "page_id string, problem string")
-    wanted = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("required_capture_modes", F.lit("")), ";"), F.trim), lambda m: m != "")))
+    wanted = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("required_capture_modes", F.lit("")), ";"), lambda m: F.trim(m)), lambda m: m != "")))
     rows = raw.select(F.trim("combined_page").try_cast("int").alias("combined_page"), F.trim(F.coalesce("template", F.lit(""))).alias("template"), F.trim(F.coalesce("page_id", F.lit(""))).alias("page_id"), wanted.alias("modes"))
     times = lambda c: F.count("*").over(Window.partitionBy(c))
     rules = [

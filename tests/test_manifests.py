@@ -168,3 +168,39 @@ def test_ordered_fingerprint(spark):
     assert au.ordered_fingerprint(frame).first()["fingerprint"] == digest.hexdigest()
     odd = spark.createDataFrame([(1, "a", " ", A), (2, "a", "x", "zz"), (3, None, "y", B)], "ord long, id string, text string, sha256 string")
     assert sorted((r["ord"], sorted(r["problems"])) for r in au.identities(odd).collect()) == [(1, ["duplicate id", "empty text"]), (2, ["duplicate id", "no pinned hash"]), (3, ["no id"])]
+
+
+def test_vocabulary_coding(spark):
+    import hashlib
+
+    from quillforge.operators import corpus as cp
+
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("é", 3), ('"', 4)], "char string, id long")
+    texts = spark.createDataFrame([(1, "ab"), (2, "aé "), (3, "xay"), (4, "")], "k long, t string")
+    good, bad = cp.encoded(texts, "k", "t", vocab)
+    assert {r["k"]: r["ids"] for r in good.collect()} == {1: [1, 2], 2: [1, 3], 4: []}
+    assert {r["k"]: r["missing"] for r in bad.collect()} == {3: ["x", "y"]}
+    ids = spark.createDataFrame([(1, [1, 1, 0, 1, 2]), (2, [9]), (3, [0])], "k long, ids array<long>")
+    assert {r["k"]: r["text"] for r in cp.decoded(ids, "k", vocab).collect()} == {1: "aab", 2: None, 3: ""}
+    want = json.dumps({"schema_version": "1", "blank_id": 0, "characters": ["a", "b", "é", '"'], "size": 4}, ensure_ascii=False, sort_keys=True)
+    assert cp.vocabulary_checksum(vocab).first()["checksum"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_sql_functions_agree_with_columns(spark):
+    from quillforge.functions import sql
+    from quillforge.functions import text as tx
+
+    sql.register(spark)
+    rows = spark.createDataFrame([("a  b\r\n\r\n\r\n\r\nc ", "a x  c"), ("", ""), ("", "w")], "r string, h string")
+    rows.createOrReplaceTempView("pairs_of_texts")
+    got = spark.sql("SELECT text_normalize(r) AS n, wer(r, h) AS w FROM pairs_of_texts").collect()
+    assert [g["n"] for g in got] == [r["n"] for r in rows.select(tx.normalize_text(F.col("r")).alias("n")).collect()]
+    assert [round(g["w"], 6) for g in got] == [round(1 / 3, 6), 0.0, 1.0]
+    beam = spark.sql("SELECT ctc_beam_decode(array(array(-1D, -0.5D), array(-0.1D, -3D))) AS d").first()["d"]
+    assert list(beam["labels"]) == [1]
+
+
+def test_urls(spark):
+    bad = {"http://a.example": "not HTTPS", "ftp://a": "not HTTPS", "https://u@a.example": "user info", "https://a.example:444": "another port", "https://127.0.0.1/": "not a public address", "https://[::1]/": "not a public address", "https://8.8.8.8/": None, "https://a.example:443/x": None}
+    frame = spark.createDataFrame([(u,) for u in bad], "u string").select("u", vl.url_problem(F.col("u")).alias("p"))
+    assert {r["u"]: r["p"] for r in frame.collect()} == bad

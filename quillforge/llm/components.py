@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.llm.stages import settle
+from quillforge.llm.stages import settle, tidy
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         was, before = now, size
         now = settle(_small_star(_large_star(was)))
         size = now.count()
+        tidy(edges.sparkSession)
         if size == before and now.join(was, ["a", "b"], "left_anti").isEmpty():
             break
     else:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillforge.llm.columns import U64, mix, release, rows_of, slices, text_bytes, window_hash, words
 from quillforge.llm.components import components
-from quillforge.llm.stages import settle
+from quillforge.llm.stages import settle, tidy
 
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
@@ -306,16 +306,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     count as one document; a row without an id stays alone: component_id null, kept true. Extra
     columns are dropped. An empty table gives no rows.
     """
-    bar = percent / 100
+    bar, spark = percent / 100, docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = settle(signatures(base, shingle))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     # rows of one set are many where copies are: they are counted in salted parts, and told their class part by part
     salts = max(1, math.isqrt(signed.count()))
     salt = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(salts)).alias("salt")
-    some = settle(usable.groupBy("s1", "s2", salt).agg(F.min_by(F.struct("n_shingles", "registers"), "doc_id").alias("of"), F.min("doc_id").alias("least")))
+    some = settle(usable.groupBy("s1", "s2", salt).agg(F.min("doc_id").alias("least")))
     groups = some.groupBy("s1", "s2").agg(F.min("least").alias("node"))
-    classes = settle(some.join(groups, ["s1", "s2"]).where("least = node").groupBy("node").agg(F.min_by("of", F.struct("s1", "s2")).alias("of")).select("node", F.col("of.n_shingles").alias("n"), "of.registers"))
+    firsts = groups.select(F.col("s1").alias("g1"), F.col("s2").alias("g2"), "node")
+    same = (F.col("doc_id") == F.col("node")) & (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2"))
+    classes = usable.join(firsts, same, "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "registers")
+    classes = settle(classes.dropDuplicates(["node"]))
+    tidy(spark)
     buckets = band_keys(classes)
     members = settle(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
     central = members.groupBy("node").agg(F.sum("n").alias("score"))
@@ -325,9 +329,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     met = members.select("node").distinct()
     texts = settle(base.join(met, base.doc_id == met.node, "inner").select("node", "text"))
     twins = _twins(usable, groups)
-    links = settle(_verified(_estimated(stars, classes, bar), texts, shingle, percent).unionByName(twins))
+    likely = settle(_estimated(stars, classes, bar))
+    tidy(spark)
+    links = settle(_verified(likely, texts, shingle, percent).unionByName(twins))
+    tidy(spark)
     label = settle(components(links))
+    tidy(spark)
     more = settle(_across(members, label, classes, texts, shingle, percent))
+    tidy(spark)
     if not more.isEmpty():
         label = settle(components(links.unionByName(more)))
     named = groups.join(label, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))

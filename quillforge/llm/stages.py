@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -23,6 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that nothing refers to any more.
+
+    Its cleaner waits for the driver's garbage collection, which a mostly idle driver puts off while a job of many
+    steps fills the disks with what earlier steps have shuffled.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that a stage wrote, in whatever store it lies."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

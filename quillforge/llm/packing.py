@@ -233,7 +233,7 @@ def pieces(docs: DataFrame, name: str, capacity: int = CAPACITY, end: int = END,
         code = encoder(vocabulary(name))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(np.append(0, np.cumsum([len(t) for t in texts])), 4_000_000):
+            for a, b in slices(np.append(0, np.cumsum([len(t) for t in texts])), 1_000_000):
                 got = code.encode(texts[a:b])
                 ids = np.insert(got.ids, got.offsets[1:], np.uint32(end)).astype("<u4")
                 total = np.diff(got.offsets) + 1

@@ -116,7 +116,7 @@ class Encoder:
         """Ids of each text, without special tokens."""
         parts, counts = [np.zeros(0, np.uint32)], []
         sizes = np.append(0, np.cumsum([len(t) for t in texts]))
-        for a, b in slices(sizes, 1_500_000):
+        for a, b in slices(sizes, 500_000):
             got = self._encode(texts[a:b])
             parts.append(got.ids)
             counts.append(np.diff(got.offsets))

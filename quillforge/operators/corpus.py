@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -240,13 +239,3 @@ def backoff_scores(texts: DataFrame, text: str, key: str, counts: DataFrame, ord
         n = F.when(F.col(f"t{s}").isNotNull(), F.coalesce(F.col(f"n{s}"), F.lit(0))).otherwise(n)
     log_p = F.log((n + alpha) / (total + alpha * vocabulary_size))
     return each.groupBy(key).agg(F.sum(log_p).alias("log_prob"), F.count("*").alias("n_chars"))
-
-
-def without(rows: DataFrame, key: Column, excluded: DataFrame, excluded_key: Column) -> DataFrame:
-    """Rows whose key doesn't occur in ``excluded``."""
-    names = excluded.select(excluded_key.alias("__key")).distinct()
-    return rows.withColumn("__key", key).join(names, "__key", "left_anti").drop("__key")
-
-
-def chunk_size(n: int, most: int) -> int:
-    return math.ceil(n / max(1, min(most, n)))

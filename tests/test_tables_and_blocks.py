@@ -207,3 +207,14 @@ def test_column_groups(spark):
     boxes = [(1, 7, x, y, 10, 10) for x, y in itertools.product((0, 100, 300), (0, 50))] + [(2, 0, 0, 0, 1, 1)]
     got = lo.column_groups(spark.createDataFrame(boxes, kinds), 3).collect()
     assert sorted(r["column"] for r in got) == [0, 0, 1, 1, 2, 2] and {r["page"] for r in got} == {1}
+
+
+def test_line_report(spark):
+    from quillforge.operators import rollups as ro
+
+    frame = spark.createDataFrame([("a", "x  y", "x y", 1.0), ("b", "abc", "", 2.0)], "id string, reference string, hypothesis string, seconds double")
+    summary, each = ro.line_report(frame)
+    got = summary.first()
+    assert (got["samples"], got["empty"], got["exact_ratio"], got["seconds"]) == (2, 1, 0.5, 3.0)
+    assert got["cer"] == pytest.approx(3 / 6) and got["wer"] == pytest.approx(1 / 3) and each.count() == 2
+    assert ro.line_report(frame, detail=False)[1] is None

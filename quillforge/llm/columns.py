@@ -61,34 +61,63 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 WORD_BASE, SPAN_BASE = 0xD1342543DE82EF95, 0xA0761D6478BD642F
+GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words parted by blanks: start, end (bytes), hash, and n + 1 word offsets of the rows."""
-    table = byte_table(fold, BLANKS)
-    is_word = (table != 0)[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (bytes) of each word; blanks part words."""
+    is_word = (byte_table(blanks=BLANKS) != 0)[data]
     begin, stop = is_word.copy(), is_word.copy()
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     begin[1:] &= ~is_word[:-1] | cut[1:-1]
     stop[:-1] &= ~is_word[1:] | cut[1:-1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    return starts, ends, span_hash(data, starts, ends, table), np.searchsorted(starts, offsets)
+    return np.flatnonzero(begin), np.flatnonzero(stop) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words parted by blanks: start, end (bytes), hash, and n + 1 word offsets of the rows."""
+    starts, ends = word_spans(data, offsets)
+    return starts, ends, span_hash(data, starts, ends, byte_table(fold, BLANKS)), np.searchsorted(starts, offsets)
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each of ascending, disjoint, non-empty byte spans; another ``seed`` gives an independent one.
+
+    It is the sum of a random number for each byte and its place, drawn by the finisher from both. Unlike a polynomial
+    modulo 2 ** 64, which gives the two Thue-Morse words of 1024 letters one value for any base, it has no
+    clashes that follow from a pattern: two given spans share it with a chance of 2 ** -64.
+    """
+    out = np.zeros(len(starts), U64)
+    lengths = ends - starts
+    off = np.append(0, np.cumsum(lengths))
+    for lo in range(0, int(off[-1]), _HASH_BYTES):  # arrays of bounded size, whatever the length of a span
+        hi = min(lo + _HASH_BYTES, int(off[-1]))
+        first, last = int(np.searchsorted(off, lo, side="right")) - 1, int(np.searchsorted(off, hi, side="left"))
+        edges = np.clip(off[first : last + 1], lo, hi)
+        place = np.arange(lo, hi) - np.repeat(off[first:last], np.diff(edges))
+        value = table[data[place + np.repeat(starts[first:last], np.diff(edges))]]
+        value += place.astype(U64) * GOLDEN
+        out[first:last] += np.add.reduceat(mix(value, seed), edges[:-1] - lo)
+    return mix(out + lengths.astype(U64) * GOLDEN, seed)
+
+
+_HASH_BYTES = 1 << 20
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, base: int = WORD_BASE) -> np.ndarray:
-    """A 64-bit hash of each of ascending, disjoint byte spans."""
+def feature_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A polynomial hash of spans modulo 2 ** 64, for feature hashing only: a clash gives two words one vector."""
     if not len(starts):
         return np.zeros(0, U64)
     lengths = ends - starts
     flat = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    value = table[data[flat + np.repeat(starts, lengths)]] * powers(base, int(lengths.max()))[flat]
+    value = table[data[flat + np.repeat(starts, lengths)]] * powers(WORD_BASE, int(lengths.max()))[flat]
     total = np.add.reduceat(value, np.cumsum(lengths) - lengths)
-    return mix(total + lengths.astype(U64) * U64(0x9E3779B97F4A7C15))
+    return mix(total + lengths.astype(U64) * GOLDEN)
 
 
 def window_hash(h: np.ndarray, k: int, base: int = SPAN_BASE) -> np.ndarray:
-    """The hash of each k consecutive entries (len(h) - k + 1 of them)."""
+    """The hash of each k consecutive entries (len(h) - k + 1 of them); ``h`` holds hashes already, and another base gives another one."""
     n = max(0, len(h) - k + 1)
     out = np.zeros(n, U64)
     for j in range(k):

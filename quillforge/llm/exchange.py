@@ -10,6 +10,7 @@ frequent key costs no more than the number of shards.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.llm.columns import U64, span_hash, text_bytes, byte_table
+from quillforge.llm.columns import U64, text_bytes
 
 SHARD_BYTES = 4_000_000
-KNOTS = 64
+#: Quantiles of the ids, shards to a quantile from which each has quantiles of its own, and the bytes that a row counts at least.
+KNOTS, FINE, UNIT = 256, 8, 256
+#: Stands for a null id: the smallest number.
+NO_ID = -(1 << 63)
 MESSAGE = "shard long, part int, block long, n long, keys binary"
 ANSWER = "shard long, part int, block long, keys binary"
 
@@ -33,29 +37,64 @@ class Dealt:
     bytes: int
 
 
+def _longs(values: list[int]) -> Column:
+    """An array literal, however many values."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _weighed(docs: DataFrame, *more: Column) -> DataFrame:
+    """__key and __size, once for each ``UNIT`` bytes of a row (__unit counts them from 0), so that quantiles of the key count bytes."""
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
+    slim = docs.select(_key().alias("__key"), size.alias("__size"), *more)
+    return slim.withColumn("__unit", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__size") / UNIT))))
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _quantiles() -> Column:
+    return F.percentile_approx("__key", F.array(*(F.lit(k / KNOTS) for k in range(KNOTS + 1))), 100 * KNOTS)
+
+
+def _place(key: Column, tie: Column, knots: Column) -> tuple[Column, Column]:
+    """Where ``key`` stands among ``knots``, 0 to KNOTS: between two by its value, a key that is several of them by ``tie`` (0 to 1); and whether it is several."""
+    below, upto = F.size(F.filter(knots, lambda k: k < key)), F.size(F.filter(knots, lambda k: k <= key))
+    left, right = (F.get(knots, F.greatest(F.lit(0), F.least(F.lit(KNOTS), i))).cast("double") for i in (below - 1, below))
+    inner = (key.cast("double") - left) / F.greatest(right - left, F.lit(1.0))
+    between = F.greatest(below - 1, F.lit(0)) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), inner))
+    return F.when(upto > below, below + (upto - below - 1) * tie).otherwise(between), upto > below + 1
+
+
 def deal(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Dealt:
-    """``docs`` plus __shard, which doesn't decrease with doc_id (null ids come first); about ``shard_bytes`` of text each.
+    """``docs`` plus __shard, which doesn't decrease with doc_id (null ids come first), and __tie; about ``shard_bytes`` of text each.
 
-    Ids are spread by ``KNOTS`` quantiles, so gaps and clusters in them don't make uneven shards.
+    Ids are spread by quantiles that count bytes (a row counts ``UNIT`` at least), so neither gaps and clusters in ids nor long
+    texts in a row make uneven shards; a corpus of very many shards has quantiles inside each quantile. Rows that share an id, or
+    have none, are ordered by __tie, a hash of the whole row, and spread over several shards where they are many; only rows
+    that are equal in every column stay together.
     """
-    key = F.col("doc_id").cast("long")
-    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
-    shares = F.array(*(F.lit(k / KNOTS) for k in range(KNOTS + 1)))
-    total, knots = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.percentile_approx(key, shares, 100 * KNOTS)).first()
-    shards = max(1, math.ceil(total / shard_bytes))
-    knots = sorted(set(knots or []))
-    if shards == 1 or len(knots) < 2:
+    docs = docs.withColumn("__tie", F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString()))))
+    first = F.col("__unit") == 0
+    total, rows, knots = _weighed(docs).agg(F.coalesce(F.sum(F.when(first, F.col("__size"))), F.lit(0)), F.count(F.when(first, 1)), _quantiles()).first()
+    shards = max(1, math.ceil((total + UNIT * rows) / shard_bytes))
+    if shards == 1 or not knots:
         return Dealt(docs.withColumn("__shard", F.lit(0).cast("long")), 1, total)
-    place: Column = F.lit(0.0)
-    for a, b in zip(knots, knots[1:], strict=False):
-        place = place + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (key - F.lit(a)).cast("double") / F.lit(float(b - a))))
-    shard = F.least(F.lit(shards - 1), F.floor(place * F.lit(shards / (len(knots) - 1))))
-    return Dealt(docs.withColumn("__shard", F.when(key.isNull(), F.lit(0)).otherwise(shard).cast("long")), shards, total)
+    tie = (F.col("__tie").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    place, several = _place(_key(), tie, _longs(knots))
+    if shards > FINE * KNOTS:
+        part = F.least(F.lit(KNOTS - 1), F.floor(place)).cast("int")
+        finer = {r[0]: r[1] for r in _weighed(docs, part.alias("__part")).groupBy("__part").agg(_quantiles()).collect()}  # KNOTS rows at most
+        flat = _longs([k for p in range(KNOTS) for k in finer.get(p, [knots[p]] * (KNOTS + 1))])
+        inner, _ = _place(_key(), F.when(several, place - part).otherwise(tie), F.slice(flat, part * (KNOTS + 1) + 1, KNOTS + 1))
+        place = part + inner / F.lit(float(KNOTS))
+    shard = F.least(F.lit(shards - 1), F.floor(place * F.lit(shards / KNOTS)))
+    return Dealt(docs.withColumn("__shard", shard.cast("long")), shards, total)
 
 
 @dataclass
 class Shard:
-    """The rows of a shard in ascending doc_id; equal ids by a hash of their text."""
+    """The rows of a shard in ascending doc_id; equal ids by the hash that dealt them."""
 
     table: pa.Table
     data: np.ndarray
@@ -65,11 +104,7 @@ class Shard:
 def in_order(table: pa.Table) -> Shard:
     ids = pc.fill_null(table.column("doc_id").cast(pa.int64()), np.iinfo(np.int64).min).to_numpy()
     data, offsets = text_bytes(table.column("text"))
-    tie = np.zeros(len(ids), U64)
-    if len(np.unique(ids)) < len(ids):
-        full = offsets[1:] > offsets[:-1]
-        tie[full] = span_hash(data, offsets[:-1][full], offsets[1:][full], byte_table())
-    order = np.lexsort((tie, ids))
+    order = np.lexsort((table.column("__tie").to_numpy(), ids))
     if np.array_equal(order, np.arange(len(order))):
         return Shard(table, data, offsets)
     table = table.take(pa.array(order))

@@ -4,12 +4,12 @@ A document is its set of word shingles. Its sketch has ``REGISTERS`` buckets; ea
 keeps, of the smallest hash in the bucket, the number of leading zeros and ``MANTISSA`` bits after
 them (16 bits in all), and an empty bucket borrows another's by a fixed sequence.
 
-1. Documents with equal sets form a class; its smallest doc_id stands for it.
+1. Documents with equal sets, by two independent 64-bit hashes of their words, form a class; its smallest doc_id stands for it.
 2. Registers are cut into ``BANDS`` bands; classes that share a band meet in a bucket.
    Each bucket offers links to its most central member only (the one in the fullest
    buckets), so a group of copies costs one link for each member and band.
 3. Links whose collision-corrected Jaccard estimate falls far below the bar are left out; the others
-   are verified on full sets. Components are taken from verified links.
+   are verified on full sets: shingles with equal hashes have their words compared byte by byte. Components are taken from verified links.
 4. Where a bucket still holds several components, all its pairs across components are
    estimated, in blocks of bounded size, and verified in the same blocks. So every pair that shares a band is
    either verified, estimated far below the bar, or already in one component.
@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.llm.columns import U64, mix, release, rows_of, slices, text_bytes, window_hash, words
+from quillforge.llm.columns import BLANKS, U64, byte_table, mix, release, rows_of, slices, span_hash, text_bytes, window_hash, words
 from quillforge.llm.components import components
 from quillforge.llm.stages import settle, tidy
 
@@ -41,26 +42,98 @@ HUB = 256
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, registers binary"
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, sorted, and n + 1 offsets; letters A-Z fold to lower case.
+@dataclass
+class Sets:
+    """Distinct shingles of rows: hashes, ascending in a row, with the first word of an occurrence of each, n + 1 offsets, and the rows' words."""
+
+    sh: np.ndarray
+    first: np.ndarray
+    at: np.ndarray
+    width: np.ndarray
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def second(self) -> np.ndarray:
+        """Another hash of each shingle, from the bytes of its words."""
+        h, out = span_hash(self.data, self.starts, self.ends, _FOLDED, seed=7), np.zeros(len(self.first), U64)
+        for j in range(int(self.width.max(initial=0))):
+            out = np.where(j < self.width, out * U64(0x8CB92BA72F3D8DD7) + h[np.minimum(self.first + j, len(h) - 1)], out)
+        return mix(out + self.width.astype(U64))
+
+    def words(self, e: int) -> tuple[bytes, ...]:
+        """The words of shingle ``e`` as they are."""
+        spans = range(int(self.first[e]), int(self.first[e] + self.width[e]))
+        return tuple(self.data[self.starts[w] : self.ends[w]].tobytes().lower() for w in spans)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Sets:
+    """Distinct shingles of each row; letters A-Z fold to lower case.
 
     A row with fewer than k words has one shingle, its whole word sequence; a row without words has none.
     """
-    _, _, h, at = words(data, offsets, fold=True)
+    starts, ends, h, at = words(data, offsets, fold=True)
     n = np.diff(at)
     left = np.repeat(at[1:], n) - np.arange(len(h))
     whole = np.flatnonzero(left >= k)
     row = rows_of(at)
-    sh, owner = window_hash(h, k)[whole] if len(whole) else np.zeros(0, U64), row[whole]
+    sh, owner, first = window_hash(h, k)[whole] if len(whole) else np.zeros(0, U64), row[whole], whole
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
         folded = [mix(window_hash(h[at[r] : at[r + 1]], int(n[r])), seed=int(n[r])) for r in short]
-        sh, owner = np.concatenate([sh, *folded]), np.concatenate([owner, short])
+        sh, owner, first = np.concatenate([sh, *folded]), np.concatenate([owner, short]), np.concatenate([first, at[short]])
     by = np.lexsort((sh, owner))
-    sh, owner = sh[by], owner[by]
+    sh, owner, first = sh[by], owner[by], first[by]
     new = np.ones(len(sh), bool)
     new[1:] = (sh[1:] != sh[:-1]) | (owner[1:] != owner[:-1])
-    return sh[new], np.searchsorted(owner[new], np.arange(len(offsets)))
+    return Sets(sh[new], first[new], np.searchsorted(owner[new], np.arange(len(offsets))), np.minimum(n, k)[owner[new]], data, starts, ends)
+
+
+def same_words(one: Sets, e: np.ndarray, two: Sets, f: np.ndarray) -> bool:
+    """Whether each shingle ``e`` of ``one`` (no place twice) has the words of shingle ``f`` of ``two``, compared byte by byte."""
+    if not np.array_equal(one.width[e], two.width[f]):
+        return False
+    p, q, width = one.first[e], two.first[f], one.width[e]
+    partner = np.full(len(one.starts) + 1, -1, np.int64)
+    partner[p] = q
+    left, right = [p], [q]
+    for t in range(1, int(width.max(initial=1))):  # words that the next shingle of a run compares anyway are left to it
+        more = (width > t) & (partner[np.minimum(p + t, len(one.starts))] != q + t)
+        left.append(p[more] + t)
+        right.append(q[more] + t)
+    p, q = np.concatenate(left), np.concatenate(right)
+    size = one.ends[p] - one.starts[p]
+    if not np.array_equal(size, two.ends[q] - two.starts[q]):
+        return False
+    for a, b in slices(np.append(0, np.cumsum(size))):
+        n = size[a:b]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not np.array_equal(_FOLD[one.data[np.repeat(one.starts[p[a:b]], n) + inner]], _FOLD[two.data[np.repeat(two.starts[q[a:b]], n) + inner]]):
+            return False
+    return True
+
+
+_FOLDED = byte_table(True, BLANKS)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] = np.arange(97, 123)
+
+
+def common(one: Sets, two: Sets) -> int:
+    """Shingles that the only rows of ``one`` and ``two`` share: found by hash, confirmed word by word."""
+    _, e, f = np.intersect1d(one.sh, two.sh, assume_unique=True, return_indices=True)
+    if same_words(one, e, two, f):
+        return len(e)
+    return sum(one.words(i) == two.words(j) for i, j in zip(e.tolist(), f.tolist(), strict=True))
+
+
+def numbered(sets: Sets) -> np.ndarray:
+    """A number for each shingle, equal where the words are equal."""
+    _, rep, number = np.unique(sets.sh, return_index=True, return_inverse=True)
+    every = np.arange(len(number))
+    if same_words(sets, every, sets, rep[number]):
+        return number
+    seen: dict[tuple[bytes, ...], int] = {}
+    return np.fromiter((seen.setdefault(sets.words(i), len(seen)) for i in every.tolist()), np.int64, len(every))
 
 
 def registers(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -125,13 +198,14 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets):
-                sh, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+                sh, at = sets.sh, sets.at
                 n = np.diff(at)
                 sums = [np.zeros(b - a, U64) for _ in range(2)]
                 has = n > 0
-                for s, seed in zip(sums, (31, 37), strict=True):
-                    if len(sh):
-                        s[has] = mix(np.add.reduceat(mix(sh, seed=seed), at[:-1][has]) + n[has].astype(U64))
+                if len(sh):
+                    for s, h, seed in zip(sums, (sh, sets.second()), (31, 37), strict=True):
+                        s[has] = mix(np.add.reduceat(mix(h, seed=seed), at[:-1][has]) + n[has].astype(U64))
                 regs = registers(sh, at)
                 raw = [r.tobytes() if x else b"" for r, x in zip(regs, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "registers"])
@@ -190,17 +264,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, numerator: int) -> Dat
     two = _parts(pairs, texts.select(F.col("node").alias("b"), F.col("text").alias("tb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] = (-1, np.zeros(0, U64))
+        held, y = -1, None
         for batch in batches:
             keep = []
             ids = batch.column("b").to_pylist()
             for i in range(batch.num_rows):
-                x, _ = shingle_sets(*text_bytes(batch.column("ta").slice(i, 1)), k)
-                if last[0] != ids[i]:
-                    last = (ids[i], shingle_sets(*text_bytes(batch.column("tb").slice(i, 1)), k)[0])
-                y = last[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= numerator * (len(x) + len(y) - both))
+                x = shingle_sets(*text_bytes(batch.column("ta").slice(i, 1)), k)
+                if y is None or held != ids[i]:
+                    held, y = ids[i], shingle_sets(*text_bytes(batch.column("tb").slice(i, 1)), k)
+                both = common(x, y)
+                keep.append(both > 0 and 100 * both >= numerator * (len(x.sh) + len(y.sh) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
         release()
 
@@ -271,8 +344,8 @@ def _across(members: DataFrame, label: DataFrame, classes: DataFrame, texts: Dat
             ids = have.column("node").to_numpy()
             order = np.argsort(ids, kind="stable")
             data, offsets = text_bytes(have.column("text"))
-            sh, at = shingle_sets(data, offsets, k)
-            _, word = np.unique(sh, return_inverse=True)
+            sets = shingle_sets(data, offsets, k)
+            at, word = sets.at, numbered(sets)
             mark = np.zeros(len(word) + 1, bool)
             place = order[np.searchsorted(ids[order], pairs)]
             place = place[np.argsort(place[:, 0], kind="stable")]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillforge.llm.columns import U64, WORD_BASE, byte_table, mix, powers, release, rows_of, slices, span_hash, text_bytes
+from quillforge.llm.columns import U64, WORD_BASE, byte_table, mix, powers, release, rows_of, slices, feature_hash, text_bytes
 from quillforge.llm.stages import settle
 
 SAMPLE_ROWS = 12_000
@@ -66,7 +66,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, before: np.ndarray = _NONE) ->
     if len(starts) == 1 and ends[0] - starts[0] > CHUNK:
         h = _long_hash(data[starts[0] : ends[0]])
     else:
-        h = span_hash(data, starts, ends, _TABLE)
+        h = feature_hash(data, starts, ends, _TABLE)
     bucket = (h & U64(BUCKETS - 1)).astype(np.int32)
     row = np.searchsorted(offsets, starts, side="right") - 1
     first = data[starts] if len(starts) else data[:0]
@@ -85,7 +85,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, before: np.ndarray = _NONE) ->
 
 
 def _long_hash(data: np.ndarray) -> np.ndarray:
-    """``span_hash`` of one token longer than a chunk, summed chunk by chunk."""
+    """``feature_hash`` of one token longer than a chunk, summed chunk by chunk."""
     total, mask = 0, (1 << 64) - 1
     for a in range(0, len(data), CHUNK):
         part = _TABLE[data[a : a + CHUNK]]

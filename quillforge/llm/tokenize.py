@@ -1,7 +1,8 @@
 """Token ids of whole text columns, each distinct piece encoded once.
 
 A text is cut into the tokenizer's own pre-tokens with numpy; distinct pre-tokens are
-encoded by the tokenizer's BPE model and remembered in the worker by a 64-bit hash. Texts that hold
+encoded by the tokenizer's BPE model and remembered in the worker by a 64-bit hash; a hit counts only if the
+characters are equal too. Texts that hold
 something the fast cut doesn't handle (an apostrophe, characters from U+3000 on, a special token, or a text that
 normalization changes) go through the tokenizer itself. Both give the tokenizer's ids.
 """
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from quillforge.llm.columns import U64, mix, powers, slices
+from quillforge.llm.columns import GOLDEN, U64, mix, slices
 
 #: Entries that a worker remembers before it starts again.
 REMEMBER = 1_500_000
@@ -156,17 +157,14 @@ class Encoder:
         return Ids(np.concatenate(answer), np.append(0, np.cumsum(out_n)))
 
     def _lookup(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the pre-tokens, and how many each has. What the memory gives is compared character by character."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         size = ends - starts
-        place = np.arange(len(text))
-        owner_start = np.zeros(len(text), np.int64)
-        owner_start[starts] = starts
-        np.maximum.accumulate(owner_start, out=owner_start)
-        place -= owner_start
-        value = mix(text.astype(U64) + U64(1)) * powers(0xD1342543DE82EF95, int(place.max()) + 1)[place]
-        sums = np.append(U64(0), np.cumsum(value))
-        h = mix(sums[ends] - sums[starts] + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+        off = np.append(0, np.cumsum(size))
+        place = np.arange(int(off[-1])) - np.repeat(off[:-1], size)
+        flat = text[place + np.repeat(starts, size)].astype(np.uint16)  # the fast cut has seen that all are below TOP
+        h = mix(np.add.reduceat(mix(flat.astype(U64) * GOLDEN + place.astype(U64)), off[:-1]) + size.astype(U64) * GOLDEN)
         distinct, first, kind = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) > REMEMBER:
             self._forget()
@@ -176,31 +174,43 @@ class Encoder:
         known[inside] = self.hashes[at[inside]] == distinct[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            self._learn(text, starts[first[new]], ends[first[new]], distinct[new])
+            self._learn(flat, off, first[new], distinct[new])
             at = np.searchsorted(self.hashes, distinct)
-        n, base = self.counts[at], self.begins[at]
-        count = n[kind]
-        where = np.repeat(base[kind] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return self.flat[where], count
+        entry = at[kind]
+        other = self.sizes[entry] != size
+        other[~other] = np.logical_or.reduceat(flat != self.chars[np.minimum(place + np.repeat(self.places[entry], size), len(self.chars) - 1)], off[:-1])[~other]
+        count, base = self.counts[entry], self.begins[entry]
+        source = self.flat
+        if other.any():  # another pre-token has this one's hash
+            odd = np.flatnonzero(other)
+            ids = [self._ids(flat[off[i] : off[i + 1]]) for i in odd.tolist()]
+            n = np.array([len(x) for x in ids], np.int64)
+            count[odd], base[odd] = n, len(source) + np.cumsum(n) - n
+            source = np.concatenate([source, np.array(sum(ids, []), np.uint32)])
+        where = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return source[where], count
 
     def _forget(self) -> None:
-        self.hashes, self.begins, self.counts, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hashes, self.flat, self.chars = np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+        self.begins, self.counts, self.places, self.sizes = (np.zeros(0, np.int64) for _ in range(4))
 
-    def _learn(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+    def _ids(self, chars: np.ndarray) -> list[int]:
+        """Token ids of one pre-token by the tokenizer's own model."""
+        piece = chars.astype("<u4").tobytes().decode("utf-32-le").encode().decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+
+    def _learn(self, flat: np.ndarray, off: np.ndarray, which: np.ndarray, hashes: np.ndarray) -> None:
         """Encode new pre-tokens (sorted by hash) and merge them into what is known."""
-        raw, tokenize = text.astype("<u4").tobytes(), self.tokenizer.model.tokenize
-        ids: list[int] = []
-        size = []
-        for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True):
-            piece = raw[a:b].decode("utf-32-le").encode().decode("latin-1").translate(self.alphabet)
-            found = [t.id for t in tokenize(piece)]
-            ids += found
-            size.append(len(found))
-        n = np.array(size, np.int64)
+        found = [self._ids(flat[a:b]) for a, b in zip(off[which].tolist(), off[which + 1].tolist(), strict=True)]
+        n, size = np.array([len(x) for x in found], np.int64), off[which + 1] - off[which]
         at = np.searchsorted(self.hashes, hashes)
-        begins = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
-        self.hashes, self.begins, self.counts = np.insert(self.hashes, at, hashes), np.insert(self.begins, at, begins), np.insert(self.counts, at, n)
+        begins, places = len(self.flat) + np.cumsum(n) - n, len(self.chars) + np.cumsum(size) - size
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))])
+        self.chars = np.concatenate([self.chars, flat[inner + np.repeat(off[which], size)]])
+        self.hashes = np.insert(self.hashes, at, hashes)
+        for name, value in (("begins", begins), ("counts", n), ("places", places), ("sizes", size)):
+            setattr(self, name, np.insert(getattr(self, name), at, value))
 
 
 _ENCODERS: dict[str, Encoder] = {}

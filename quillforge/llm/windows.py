@@ -4,8 +4,8 @@ Pass one: every shard adds its windows to ``ROWS`` count-min rows; a shard's ske
 kept as its non-zero cells and the shards' sketches are merged block by block (a
 count of two or more is all that is asked of them). Pass two: only windows whose smallest
 count is two or more (an overestimate, so none is lost) are grouped by what they are: by 96-bit
-keys, two independent polynomials over 64-bit hashes of their words (the words themselves don't travel; a clash of
-both, which would take two different windows for one, has a chance below 1e-9 for 10^9 windows), and each shard learns which of its windows a smaller shard holds. Pass three cuts
+keys made of two independent hashes of the bytes of their words (the words themselves don't travel; two
+different windows share both with a chance of 2 ** -96, which is below 1e-10 for all pairs of 10^9 windows), and each shard learns which of its windows a smaller shard holds. Pass three cuts
 the covered words. All three read the same exchange of the documents.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.llm import exchange as ex
-from quillforge.llm.columns import U64, mix, rows_of, window_hash, words
+from quillforge.llm.columns import BLANKS, U64, byte_table, mix, rows_of, span_hash, window_hash, words
 
 WINDOW = 20
 ROWS = 2
@@ -47,14 +47,20 @@ class Windows:
     """Words and windows of a shard."""
 
     def __init__(self, shard: ex.Shard, k: int):
+        self.data = shard.data
         self.starts, self.ends, self.h, self.offsets = words(shard.data, shard.offsets)
         left = np.repeat(self.offsets[1:], np.diff(self.offsets)) - np.arange(len(self.h))
         self.at = np.flatnonzero(left >= k)
         self.hash = window_hash(self.h, k)[self.at] if len(self.at) else np.zeros(0, U64)
 
     def second(self, which: np.ndarray, k: int) -> np.ndarray:
-        """32 more bits of the chosen windows, from another polynomial."""
-        h, out = mix(self.h, seed=99), np.zeros(len(which), U64)
+        """32 more bits of the chosen windows, from another hash of the bytes of their words."""
+        inside = np.zeros(len(self.h) + 1, np.int64)
+        np.add.at(inside, self.at[which], 1)
+        np.add.at(inside, self.at[which] + k, -1)
+        used = np.flatnonzero(np.cumsum(inside[:-1]))
+        h, out = np.zeros(len(self.h), U64), np.zeros(len(which), U64)
+        h[used] = span_hash(self.data, self.starts[used], self.ends[used], byte_table(blanks=BLANKS), seed=99)
         for j in range(k):
             out = out * U64(0x8CB92BA72F3D8DD7) + h[self.at[which] + j]
         return (mix(out) >> U64(32)).astype(np.uint32)
@@ -156,5 +162,9 @@ def _result(shard: ex.Shard, w: Windows, gone: np.ndarray) -> pa.Table:
 
 
 def windows_query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and the SHA-256 of the kept words."""
+    """doc_id, n_words, n_removed and the SHA-256 of the kept words.
+
+    Null and empty texts have no words and keep none; of rows that share a doc_id those with smaller text hashes come first, rows
+    without one before all; repeated rows lose their windows to the first of them; extra columns are dropped; an empty table gives no rows.
+    """
     return cut_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -98,3 +98,31 @@ def test_components(spark):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     assert got == {x: find(x) for x in parent}
+
+
+def test_words_that_polynomials_modulo_a_power_of_two_confuse(make):
+    from tests.llm.conftest import rows
+    from tests.llm.test_tokens import thue_morse
+
+    for n in (1024, 4096):
+        got = {r["doc_id"]: r for r in nd.near_duplicates(make(rows([thue_morse(n), thue_morse(n, "b", "a"), thue_morse(n).upper()]))).collect()}
+        assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 2, 1] and got[2]["kept"]
+
+
+def shingles_of(*texts, k=3):
+    raw = [t.encode() for t in texts]
+    return nd.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])), k)
+
+
+def test_equal_hashes_count_only_if_the_words_are_equal():
+    one, two = shingles_of("a bb ccc dd e f gg"), shingles_of("A bb ccc DD e f hh")
+    assert nd.common(one, two) == 4
+    two.sh[:] = one.sh  # as if all shingles had clashed
+    two.first[:] = two.first[::-1].copy()
+    assert nd.common(one, two) == sum(one.words(i) == two.words(i) for i in range(len(one.sh)))
+    both = shingles_of("a b c d", "x y z w", "a b c e")
+    want = [both.words(i) for i in range(len(both.sh))]
+    for _ in range(2):
+        got = nd.numbered(both).tolist()
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(want)) for j in range(len(want)))
+        both.sh[:] = 5

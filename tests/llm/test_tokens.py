@@ -154,3 +154,35 @@ def test_least_bins_is_a_bound():
             return best
 
         assert pk.least_bins(lengths, 40) <= fewest(lengths.tolist(), [])
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_modulo_a_power_of_two_confuse(name, n, make, spark, tmp_path):
+    x, y = thue_morse(n), thue_morse(n, "b", "a")
+    texts = [f"{x} {y}", y, f"{y} {x}", x]
+    got, want = Encoder(vocabulary(name)).encode(texts), Tokenizer.from_file(vocabulary(name)).encode_batch_fast(texts, add_special_tokens=False)
+    assert all(got.ids[got.offsets[i] : got.offsets[i + 1]].tolist() == e.ids for i, e in enumerate(want))
+    from tests.llm.conftest import rows
+
+    frame = make(rows(texts))
+    if name == NAMES[1]:
+        tf.write_tokens(frame, str(tmp_path / "t"), name)
+        got = sorted(tf.read_documents(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    else:
+        got = [r for r in sorted(pk.pieces(frame, name, capacity=1 << 20).collect(), key=lambda r: r["doc_id"])]
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(i.tobytes()) for _, i in expected(frame, name)]
+
+
+def test_a_hit_of_the_memory_counts_only_if_the_characters_are_equal():
+    name = NAMES[0]
+    e, t = Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
+    e.encode(["alpha beta gamma delta"])
+    e.chars = e.chars.copy()
+    e.chars[:] = np.roll(e.chars, 1)  # as if other pre-tokens had had these hashes
+    got = e.encode(["alpha beta gamma delta alpha"])
+    assert got.ids.tolist() == t.encode("alpha beta gamma delta alpha", add_special_tokens=False).ids

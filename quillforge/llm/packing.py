@@ -1,9 +1,9 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Pieces are dealt to groups of bounded size. A group is solved on ``ISLANDS`` islands, each
-with a population of packings. A child keeps the full bins of one parent, takes in whole the full bins of the
-other that hold none of their pieces, drops the bins that would hold a piece twice, and best-fits the displaced pieces, so full bins
-gather from both parents. After an epoch every island's elite also goes to the next island, and evolution goes on. The best
+with a population of packings. A child keeps the well-filled bins of one parent, takes in whole the well-filled bins of the
+other that hold none of their pieces, drops the bins that would hold a piece twice, and best-fits the displaced pieces, so such bins
+gather from both parents; what counts as full follows from the sums that the lengths allow. After an epoch every island's elite also goes to the next island, and evolution goes on. The best
 packing of a group stands; pieces of its loose bins are dealt to new groups and packed once more, so that
 the space lost at group borders doesn't grow with the number of groups.
 """
@@ -33,7 +33,7 @@ CHILDREN = 48
 #: Chance that a child keeps a full bin of its first parent, and how much the order of displaced pieces is blurred.
 KEPT = 0.98
 BLUR = (0.02, 0.1, 0.3, 0.8)
-#: A bin from which this share is filled counts as well filled; the others of a group are packed again.
+#: A bin counts as well filled from this share of what the lengths allow: such bins are injected, and the others of a group are packed again.
 FULL = 0.995
 ELITE = "group long, island int, uids binary, lengths binary, bins binary"
 
@@ -82,10 +82,10 @@ def fills(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
     return np.bincount(bins, weights=lengths)
 
 
-def fitness(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, int, float]:
-    """Smaller is better: bins used, then the number of full ones (more is better), then how unevenly they are filled (uneven is better)."""
+def fitness(lengths: np.ndarray, bins: np.ndarray, capacity: int, most: int | None = None) -> tuple[int, int, float]:
+    """Smaller is better: bins used, then the number of those filled as far as can be, ``most`` (more is better), then how unevenly they are filled (uneven is better)."""
     fill = fills(lengths, bins)
-    return int((fill > 0).sum()), -int((fill == capacity).sum()), -float(((fill / capacity) ** 2).sum())
+    return int((fill > 0).sum()), -int((fill == (most or capacity)).sum()), -float(((fill / capacity) ** 2).sum())
 
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
@@ -100,15 +100,29 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return int((alone + paired + np.maximum(0, -(-rest // capacity))).max())
 
 
-def crossover(lengths: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator, capacity: int) -> np.ndarray:
-    """``one``'s full bins with the full bins of ``two`` injected whole where they share no piece; the other pieces are displaced."""
+def best_fill(lengths: np.ndarray, capacity: int) -> int:
+    """The largest sum of pieces that a bin can hold."""
+    reach, mask = 1, (1 << (capacity + 1)) - 1
+    sizes, counts = np.unique(lengths, return_counts=True)
+    for size, count in zip(sizes.tolist(), counts.tolist(), strict=True):
+        left, step = min(count, capacity // size), 1  # 1, 2, 4, ... copies and the rest
+        while left > 0:
+            step = min(step, left)
+            reach |= (reach << (size * step)) & mask
+            left, step = left - step, step * 2
+    return reach.bit_length() - 1
+
+
+def crossover(lengths: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator, capacity: int, full: int | None = None) -> np.ndarray:
+    """``one``'s well-filled bins (from ``full`` tokens) with those of ``two`` injected whole where they share no piece; the other pieces are displaced."""
+    full = capacity if full is None else full
     mine, other = fills(lengths, one), fills(lengths, two)
-    held = (mine == capacity) & (rng.random(len(mine)) < KEPT)
+    held = (mine >= full) & (rng.random(len(mine)) < KEPT)
     clash = np.zeros(len(other), bool)
     clash[two[held[one]]] = True
-    taken = ((other == capacity) & ~clash)[two]
+    taken = ((other >= full) & ~clash)[two]
     keep = held[one] & ~taken
-    # number the bins: injected first, then those kept of ``one``; both are full
+    # number the bins: injected first, then those kept of ``one``
     out = np.full(len(lengths), -1, np.int64)
     ids, inverse = np.unique(two[taken], return_inverse=True)
     out[taken] = inverse
@@ -117,7 +131,7 @@ def crossover(lengths: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.ran
     loose = np.flatnonzero(out < 0)
     loose = loose[np.argsort(-lengths[loose] * (1 + rng.choice(BLUR) * rng.random(len(loose))), kind="stable")]
     bins = out.tolist()
-    best_fit(lengths.tolist(), loose.tolist(), bins, [0] * (len(ids) + len(kept)), capacity)
+    best_fit(lengths.tolist(), loose.tolist(), bins, np.concatenate([capacity - other[ids], capacity - mine[kept]]).astype(np.int64).tolist(), capacity)
     return np.array(bins, np.int64)
 
 
@@ -127,20 +141,20 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], seed: int, capacit
     Evolution ends early where the elite needs no more bins than any packing must (``least_bins``).
     """
     rng = np.random.default_rng(seed)
-    population = list(population)
+    population, most = list(population), best_fill(lengths, capacity)
     noise = 0.0
     while len(population) < POPULATION:
         population.append(fresh(lengths, rng, noise, capacity))
         noise += 0.05
-    scored = sorted(((fitness(lengths, p, capacity), k) for k, p in enumerate(population)))
+    scored = sorted(((fitness(lengths, p, capacity, most), k) for k, p in enumerate(population)))
     ranked = [(f, population[k]) for f, k in scored]
     least = least_bins(lengths, capacity)
     for _ in range(children):
         if ranked[0][0][0] <= least:
             break
         i, j = rng.choice(len(ranked), 2, replace=False)
-        child = crossover(lengths, ranked[i][1], ranked[j][1], rng, capacity)
-        score = fitness(lengths, child, capacity)
+        child = crossover(lengths, ranked[i][1], ranked[j][1], rng, capacity, math.ceil(FULL * most))
+        score = fitness(lengths, child, capacity, most)
         if score < ranked[-1][0]:
             ranked[-1] = (score, child)
             ranked.sort(key=lambda x: x[0])
@@ -186,7 +200,7 @@ def _solve(items: DataFrame, groups: int, capacity: int, seed: int) -> DataFrame
         fill = fills(lengths, bins).astype(np.int64)[bins]
         return pa.table({"uid": uids, "group": np.full(len(uids), table.column("group")[0].as_py()), "bin": bins, "place": ends - lengths - base, "fill": fill})
 
-    elites = dealt.groupBy("group", "island").applyInArrow(first, ELITE)
+    elites = settle(dealt.groupBy("group", "island").applyInArrow(first, ELITE))  # both sides of the union read it
     own = elites.withColumn("from", F.col("island"))
     moved = own.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int"))
     again = own.unionByName(moved).groupBy("group", "island").applyInArrow(second, ELITE)

@@ -186,3 +186,15 @@ def test_a_hit_of_the_memory_counts_only_if_the_characters_are_equal():
     e.chars[:] = np.roll(e.chars, 1)  # as if other pre-tokens had had these hashes
     got = e.encode(["alpha beta gamma delta alpha"])
     assert got.ids.tolist() == t.encode("alpha beta gamma delta alpha", add_special_tokens=False).ids
+
+
+def test_well_filled_bins_gather_where_no_bin_can_be_full():
+    rng = np.random.default_rng(7)
+    lengths = np.sort(3 * rng.integers(67, 234, 3300))[::-1].astype(np.int64)
+    assert pk.best_fill(lengths, 1024) == 1023
+    assert pk.best_fill(np.array([5, 5, 7]), 11) == 10 and pk.best_fill(np.array([], np.int64), 11) == 0
+    plain = pk.fresh(lengths, np.random.default_rng(0), 0, 1024)
+    elites = [pk.evolve(lengths, [], seed) for seed in (1, 2)]
+    best = pk.evolve(lengths, elites, 3)
+    assert best.max() + 1 <= plain.max() + 1 - 8
+    assert pk.fills(lengths, best).max() <= 1024

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillforge.llm import licenses
+from quillforge.llm import licenses, middle, topk, variants
 from quillforge.llm.media import media_digest
 from quillforge.llm.mixing import mix_query
 from quillforge.llm.nearest import nearest_query
@@ -36,9 +36,15 @@ QUERIES: dict[str, Query] = {
     "op8_budget_mix": _documents(mix_query),
     "op9_quality": lambda spark, sf_dir: quality_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_suffix_spans": _documents(spans_query),
+    "op11_segment_automata": _documents(variants.variants_query),
+    "op12_term_at_a_time": lambda spark, sf_dir: topk.topk_query(table(spark, sf_dir, "embeddings")),
+    "op13_relational_middle": _documents(middle.middle_query),
 }
 
 ORACLES: dict[str, str] = {
+    "op11_segment_automata": variants.oracle(),
+    "op12_term_at_a_time": topk.ORACLE,
+    "op13_relational_middle": middle.ORACLE,
     "op3_rare_token_licenses": licenses.oracle(),
     "op4_countmin_windows": r"""
 WITH docs AS (

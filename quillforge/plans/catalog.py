@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillforge.plans import assembly, audits, corpus, evaluation, extras, layout, pages, rollups, service, values
+from quillforge.plans import assembly, audits, corpus, evaluation, extras, layout, pages, rasters, rollups, service, values
 from quillforge.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "assembly", "audits", "corpus", "evaluation", "extras", "layout", "pages", "rollups", "service", "values"]
+__all__ = ["ORACLES", "QUERIES", "assembly", "audits", "corpus", "evaluation", "extras", "layout", "pages", "rasters", "rollups", "service", "values"]

@@ -114,11 +114,25 @@ def grid_of(rows: list[list[Line]], page_width: int) -> Grid | None:
     return Grid(wide, cells)
 
 
+def _breaks(rows: list[list[Line]]) -> list[int]:
+    """For each row, the row that no run from it can reach: the first that has too many cells, or that lies too far below the one before it."""
+    centres = [_centre(r) for r in rows]
+    far = max(STEP_PX, STEP * max((median(l.h for l in r) for r in rows), default=0))
+    out, stop = [0] * len(rows), len(rows)
+    for i in range(len(rows) - 1, -1, -1):
+        if i + 1 < len(rows) and centres[i + 1] - centres[i] > far:
+            stop = i + 1
+        if len(rows[i]) > COLUMNS[1]:
+            stop = i
+        out[i] = stop
+    return out
+
+
 def runs(rows: list[list[Line]], page_width: int) -> Iterator[tuple[int, int, Grid]]:
     """(first row, row after the last, grid) of tables, from the top: at each row the longest run that reads as one, then on after it."""
-    at = 0
+    at, stops = 0, _breaks(rows)
     while at < len(rows):
-        for end in range(len(rows), at + ROWS - 1, -1):
+        for end in range(stops[at], at + ROWS - 1, -1):
             grid = grid_of(rows[at:end], page_width)
             if grid:
                 yield at, end, grid

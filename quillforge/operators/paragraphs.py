@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillforge.functions import text as tx
 from quillforge.operators.borderless import borderless_tables, remaining
+from quillforge.operators.linked import settled
 from quillforge.operators.reading import reading_order
 from quillforge.operators.tables import region_tables
 
@@ -71,16 +72,17 @@ def page_blocks(lines: DataFrame, ruled: DataFrame | None = None) -> DataFrame:
 
     ``lines`` as for ``paragraph_blocks`` plus ord, unique on a page. ``ruled`` has blocks of type table with ``lines``, the ords they take.
     """
-    left = lines if ruled is None else remaining(lines, ruled)
-    hinted = region_tables(left.where(F.col("hint") == "table"))
-    left = remaining(left, hinted)
-    aligned = borderless_tables(left)
+    ruled = None if ruled is None else settled(ruled)  # every detector's tables are read by the next ones and by the result
+    left = settled(lines if ruled is None else remaining(lines, ruled))
+    hinted = settled(region_tables(left.where(F.col("hint") == "table")))
+    left = settled(remaining(left, hinted))
+    aligned = settled(borderless_tables(left))
     left = remaining(left, aligned)
     width = lines.groupBy("page").agg(F.max("page_width").alias("page_width"))
     table = lambda t: t.withColumn("type", F.lit("table")).drop("page_width").join(width, "page")
     every = concatenated(paragraph_blocks(left), *([table(ruled)] if ruled is not None else []), table(hinted), table(aligned))
     number = F.xxhash64("source", "type", "text", "x", "y", "w", "h").bitwiseAND((1 << 40) - 1)  # unique within a page but for equal blocks
-    every = every.withColumn("ord", F.col("source") * F.lit(1 << 40) + number)
+    every = settled(every.withColumn("ord", F.col("source") * F.lit(1 << 40) + number))
     placed = reading_order(every).groupBy("page", "ord").agg(F.min("place").alias("place"))
     return every.join(placed, ["page", "ord"]).drop("ord")
 

@@ -109,15 +109,15 @@ def q_page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("count", "most", "asked", F.array_join(own, ",").alias("sampled"), F.array_join(wanted, ",").alias("wanted"))
 
 
-_NAMES = r"SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'a/b\\' || lang || ' ' || doc_id || '.PDF' WHEN 1 THEN '  ..x  y?' || doc_id || '.tar.GZ ' WHEN 2 THEN '..' WHEN 3 THEN 'dir/' WHEN 4 THEN '.hidden' || doc_id WHEN 5 THEN 'né' || source || '*.p-g' WHEN 6 THEN 'dots. . .' || doc_id || '.' ELSE substr(coalesce(text, ''), 1, 200) END AS name FROM {documents}"
+_NAMES = r"SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'a/b\\' || lang || ' ' || doc_id || '.PDF' WHEN 1 THEN '  ..x  y?' || doc_id || '.tar.GZ ' WHEN 2 THEN '..' WHEN 3 THEN 'dir/' WHEN 4 THEN '.hidden' || doc_id WHEN 5 THEN 'né' || source || '*.p-g' WHEN 6 THEN 'dots. . .' || doc_id || '.' ELSE coalesce(text, '') END AS name FROM {documents}"
 
 
 @query(
-    r"""WITH n AS (SELECT doc_id, trim(regexp_replace(replace(nfc_normalize(name), chr(92), '/'), '^.*/', '', 's'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)) AS base FROM (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'a/b' || chr(92) || lang || ' ' || doc_id || '.PDF' WHEN 1 THEN '  ..x  y?' || doc_id || '.tar.GZ ' WHEN 2 THEN '..' WHEN 3 THEN 'dir/' WHEN 4 THEN '.hidden' || doc_id WHEN 5 THEN 'né' || source || '*.p-g' WHEN 6 THEN 'dots. . .' || doc_id || '.' ELSE substr(coalesce(text, ''), 1, 200) END AS name FROM documents)),
+    r"""WITH n AS (SELECT doc_id, trim(regexp_replace(replace(nfc_normalize(name), chr(92), '/'), '^.*/', '', 's'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)) AS base FROM (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'a/b' || chr(92) || lang || ' ' || doc_id || '.PDF' WHEN 1 THEN '  ..x  y?' || doc_id || '.tar.GZ ' WHEN 2 THEN '..' WHEN 3 THEN 'dir/' WHEN 4 THEN '.hidden' || doc_id WHEN 5 THEN 'né' || source || '*.p-g' WHEN 6 THEN 'dots. . .' || doc_id || '.' ELSE coalesce(text, '') END AS name FROM documents)),
 s AS (SELECT doc_id, base, regexp_extract(base, '^.+(\.[^.]+)$', 1, 's') AS suffix FROM n), t AS (SELECT doc_id, base, lower(suffix) AS suffix, left(base, length(base) - length(suffix)) AS stem FROM s),
 c AS (SELECT doc_id, base, regexp_replace(regexp_replace(suffix, '\p{C}', '', 'g'), '[^\p{L}\p{N}._-]', '_', 'g') AS suffix, trim(regexp_replace(regexp_replace(regexp_replace(stem, '\p{C}', '', 'g'), '[^\p{L}\p{M}\p{N} ._-]', '_', 'g'), ' +', ' ', 'g'), ' .') AS stem FROM t)
 SELECT doc_id, CASE WHEN base IN ('', '.', '..') THEN 'document' ELSE CASE WHEN rtrim(left(stem, 120), ' .') = '' THEN 'document' ELSE rtrim(left(stem, 120), ' .') END || suffix END AS name FROM c"""
 )
 def q_safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Awkward names made of documents' columns, and the heads of their texts as names."""
+    """Awkward names made of documents' columns, and their whole texts as names."""
     return made(spark, sf_dir, _NAMES).select("doc_id", tx.safe_filename(F.col("name")).alias("name"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillforge.functions import geometry as gm
 from quillforge.functions import text as tx
 from quillforge.operators import ctc
 from quillforge.operators import layout as lo
+from quillforge.operators import order_model as om
 from quillforge.operators import regions as rg
 from quillforge.plans.registry import query
 from quillforge.sources import sinks
@@ -89,6 +90,15 @@ def q_borda_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lo.borda(pairs.withColumn("f", forward), F.col("f")).select("page", "block", F.col("place").cast("long").alias("place"))
 
 
+@query()
+def q_learned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's boxes in the order that a model learned from all pages' boxes by their places, summed up from its chances."""
+    t = boxes(spark, sf_dir).withColumn("ord", F.row_number().over(Window.partitionBy("page").orderBy("y", "x", "w", "h", "type", "role")).cast("long"))
+    pairs = lo.ordered_pairs(t)
+    model = om.fit(pairs, epochs=4, batches=6, rate=0.02, hidden=16)
+    return lo.borda(om.forward(pairs, model), F.col("p")).select("page", "block", F.col("place").cast("long").alias("place"))
+
+
 @query(
     r"""WITH l AS (SELECT source AS doc, doc_id AS page, string_split(text, chr(10)) AS parts FROM documents WHERE text <> ''),
 b AS (SELECT doc, page, 'header' AS band, trim(parts[1]) AS text FROM l UNION ALL SELECT doc, page, 'footer', trim(parts[-1]) FROM l),

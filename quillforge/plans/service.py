@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from quillforge.operators import rollups as ro
 from quillforge.plans.inputs import duck, made
 from quillforge.plans.registry import query
 from quillforge.sources.manifests import CATEGORIES, inventory
+from quillforge.streaming import cleanup as cl
 from quillforge.streaming import jobs as jb
 from quillforge.streaming import limits
 from quillforge.tables import table
@@ -179,3 +182,18 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS
 def q_events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return jb.sessions(e, 120).select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n")
+
+
+def _stage_succeeds(job: str, stage: str, failures: int) -> bool:
+    """A store that fails some stages up to three times."""
+    return failures >= zlib.crc32(f"{job} {stage}".encode()) % 4
+
+
+@query()
+def q_cleanup_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expiry, tries and retries of purchases as finished jobs, a user as a manager, up to a day after the last event."""
+    events = table(spark, sf_dir, "events")
+    last = events.agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6).alias("t")).first()["t"] or 0.0
+    ended = events.select(F.col("user_id").cast("string").alias("manager"), F.col("event_id").cast("string").alias("job_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ended_at"))
+    acts = cl.cleanup(ended, last + 86400, _stage_succeeds, retention=3600, delay=60)
+    return acts.select("manager", "job_id", "act", "failures", "artifact", "workspace", F.col("at").cast("long").alias("at"), F.col("retry_at").cast("long").alias("retry_at"))

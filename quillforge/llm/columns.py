@@ -102,7 +102,7 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.
     return mix(out + lengths.astype(U64) * GOLDEN, seed)
 
 
-_HASH_BYTES = 1 << 20
+_HASH_BYTES = 1 << 18
 
 
 def feature_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -197,7 +197,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 500_000):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 sh, at = sets.sh, sets.at
                 n = np.diff(at)
@@ -209,7 +209,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 regs = registers(sh, at)
                 raw = [r.tobytes() if x else b"" for r, x in zip(regs, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "registers"])
-        release()
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 

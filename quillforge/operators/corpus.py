@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillforge.functions import text as tx
+from quillforge.operators.linked import settled
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -239,3 +241,110 @@ def backoff_scores(texts: DataFrame, text: str, key: str, counts: DataFrame, ord
         n = F.when(F.col(f"t{s}").isNotNull(), F.coalesce(F.col(f"n{s}"), F.lit(0))).otherwise(n)
     log_p = F.log((n + alpha) / (total + alpha * vocabulary_size))
     return each.groupBy(key).agg(F.sum(log_p).alias("log_prob"), F.count("*").alias("n_chars"))
+
+
+# --- models of one to six characters ---------------------------------------------------------------------------------------
+
+#: Code points of 21 bits in a key of two integers: three in each. The last character of a gram is the lowest.
+_HALF, _LONGEST = 3, 6
+_KEY_COLUMNS = "hi long, lo long"
+
+
+def _grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every character of ``texts``: the number of its text, and it with the order - 1 before it as two integers (exact)."""
+    pad = order - 1
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join("\x01" * pad + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    starts = np.cumsum(sizes + pad) - sizes
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    hi, lo = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for back in range(order):
+        half = lo if back < _HALF else hi
+        half |= points[at - back] << ((back % _HALF) * _BITS)
+    return np.repeat(np.arange(len(texts)), sizes), hi, lo
+
+
+def _runs(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct tuples of the columns in order (the first column leads), and how often each occurs."""
+    by = np.lexsort(columns[::-1])
+    columns = [c[by] for c in columns]
+    new = np.ones(len(by), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    first = np.flatnonzero(new)
+    return first, [c[first] for c in columns], np.diff(np.append(first, len(by)))
+
+
+def packed_grams(texts: DataFrame, text: str, order: int) -> DataFrame:
+    """(hi, lo, n): the grams of ``order`` characters of all texts (1 to 6; whole texts, padded with U+0001 before them), counted where they are read.
+
+    Null and empty texts have none. Every shorter gram is the end of one of these, so counts of all lengths are sums of them.
+    """
+    if not 1 <= order <= _LONGEST:
+        raise ValueError("order must be 1 to 6")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches):
+            _, (hi, lo), n = _runs(list(_grams(block, order)[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(n.astype(np.int64))], names=["hi", "lo", "n"])
+
+    return texts.select(F.lit(0).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(count, f"{_KEY_COLUMNS}, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+
+
+def _ending(length: int) -> tuple[Column, Column]:
+    """The key of a gram's last ``length`` characters."""
+    low = lambda k: F.lit((1 << (k * _BITS)) - 1).cast("long")
+    hi = F.col("hi").bitwiseAND(low(length - _HALF)) if length > _HALF else F.lit(0).cast("long")
+    return hi.alias("hi"), F.col("lo").bitwiseAND(low(min(length, _HALF))).alias("lo")
+
+
+def _context() -> tuple[Column, Column]:
+    """The key of a gram without its last character."""
+    carried = F.shiftleft(F.col("hi").bitwiseAND((1 << _BITS) - 1), (_HALF - 1) * _BITS)
+    return F.shiftright("hi", _BITS).alias("c_hi"), F.shiftright("lo", _BITS).bitwiseOR(carried).alias("c_lo")
+
+
+def _text_of(length: int) -> Column:
+    """The characters of a key of that length."""
+    parts = [(F.col("lo") if k < _HALF else F.col("hi"), k % _HALF) for k in range(length - 1, -1, -1)]
+    return F.concat(F.lit(""), *(_character(F.shiftright(half, k * _BITS).bitwiseAND((1 << _BITS) - 1)) for half, k in parts))
+
+
+def model_counts(grams: DataFrame, order: int) -> DataFrame:
+    """``ngram_counts`` from ``packed_grams`` of that order: len, context, token and n for contexts of 0 to order - 1 characters."""
+    sized = []
+    for length in range(order):
+        shorter = grams.select(*_ending(length + 1), "n").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+        cut = shorter.select("n", F.col("lo").bitwiseAND((1 << _BITS) - 1).alias("last"), *_context()).withColumnsRenamed({"c_hi": "hi", "c_lo": "lo"})
+        sized.append(cut.select(F.lit(length).alias("len"), _text_of(length).alias("context"), _character(F.col("last")).alias("token"), "n"))
+    return reduce(DataFrame.unionByName, sized)
+
+
+def model_scores(texts: DataFrame, text: str, key: str, grams: DataFrame, order: int, vocabulary_size: int, alpha: float = 0.1) -> DataFrame:
+    """``backoff_scores`` of ``texts`` under the model of another corpus (its ``packed_grams`` of that order).
+
+    The distinct grams of all texts fall back level by level: those whose context the model knows are settled by a join on its key, the others go on
+    with a context shorter by one; one that is known nowhere, as in an empty model, gets 1 / ``vocabulary_size``. Then every text looks up its own grams, each once
+    with its number of occurrences. Joins are on keys of two integers, no text or context travels.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, block in _blocks(batches):
+            _, (owner, hi, lo), times = _runs(list(_grams(block, order)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).take(pa.array(owner)), pa.array(hi), pa.array(lo), pa.array(times.astype(np.int64))], names=["key", "hi", "lo", "times"])
+
+    rows = texts.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("t"))
+    each = settled(rows.mapInArrow(count, f"key long, {_KEY_COLUMNS}, times long"))
+    left = each.select("hi", "lo", F.col("hi").alias("g_hi"), F.col("lo").alias("g_lo")).distinct()
+    done = []
+    log_p = F.log((F.coalesce("n", F.lit(0)) + alpha) / (F.coalesce("total", F.lit(0)) + alpha * vocabulary_size))
+    for length in range(order, 0, -1):
+        ends = grams.select(*_ending(length), "n").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+        totals = ends.select("n", *_context()).groupBy("c_hi", "c_lo").agg(F.sum("n").alias("total"))
+        here = left.select("g_hi", "g_lo", *_ending(length)).select("*", *_context())
+        met = settled(here.join(F.broadcast(totals) if length == 1 else totals, ["c_hi", "c_lo"], "left"))  # the empty context is one row
+        done.append(met.where("total is not null").join(ends, ["hi", "lo"], "left").select("g_hi", "g_lo", log_p.alias("log_p")))
+        left = met.where("total is null").select("g_hi", "g_lo", "hi", "lo")
+    done.append(left.withColumns({"n": F.lit(0), "total": F.lit(0)}).select("g_hi", "g_lo", log_p.alias("log_p")))
+    known = reduce(DataFrame.unionByName, done).withColumnsRenamed({"g_hi": "hi", "g_lo": "lo"})
+    summed = each.join(known, ["hi", "lo"]).groupBy("key").agg(F.sum(F.col("times") * F.col("log_p")).alias("log_prob"), F.sum("times").alias("n_chars"))
+    return summed.withColumnRenamed("key", key)

@@ -262,7 +262,7 @@ def q_job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jb.lifecycle(rows).withColumn("job_id", F.col("job_id").cast("long"))
 
 
-_LOADS = "SELECT user_id % 10 AS manager, event_id AS ord, CASE event_type WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'drop' ELSE 'reserve' END AS kind, event_id % 3 + 1 AS n FROM {events}"
+_LOADS = "SELECT user_id AS manager, event_id AS ord, CASE event_type WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'drop' ELSE 'reserve' END AS kind, event_id % 3 + 1 AS n FROM {events}"
 
 
 @query(
@@ -273,11 +273,11 @@ CASE e.kind WHEN 'finish' THEN s.retained WHEN 'drop' THEN greatest(s.active, s.
 SELECT manager, ord, refused, active, retained FROM s WHERE i > 0"""
 )
 def q_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as reservations, ends and drops of jobs on ten managers of six running and twenty kept jobs."""
+    """Events as reservations, ends and drops of jobs on a manager for each user, of six running and twenty kept jobs."""
     return jb.admissions(made(spark, sf_dir, _LOADS), "manager", 6, 20).select("manager", "ord", "refused", "active", "retained")
 
 
-_LEASES = "SELECT user_id % 10 AS manager, event_id AS ord, CASE WHEN event_id % 5 < 3 THEN 'acquire' ELSE 'release' END AS kind, 'l' || CAST(event_id % 40 AS STRING) AS lease, 'j' || CAST(user_id % 7 AS STRING) AS job, event_id % 9 > 0 AS ready FROM {events}"
+_LEASES = "SELECT user_id AS manager, event_id AS ord, CASE WHEN event_id % 5 < 3 THEN 'acquire' ELSE 'release' END AS kind, 'l' || CAST(event_id % 12 AS STRING) AS lease, 'j' || event_type AS job, event_id % 9 > 0 AS ready FROM {events}"
 
 
 @query(
@@ -287,7 +287,7 @@ CASE WHEN e.kind = 'release' THEN list_filter(s.held, lambda x: string_split(x,
 FROM s JOIN e ON e.manager = s.manager AND e.i = s.i + 1) SELECT manager, ord, refused, len(list_filter(held, lambda x: string_split(x, '/')[2] = job)) AS open_of_job, len(held) AS open_of_all FROM s WHERE i > 0"""
 )
 def q_download_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as downloads opened and closed on ten managers of nine downloads, four of one job."""
+    """Events as downloads opened and closed on a manager for each user, of nine downloads, four of one job."""
     return jb.leases(made(spark, sf_dir, _LEASES), "manager", 4, 9).select("manager", "ord", "refused", "open_of_job", "open_of_all")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillforge.functions import hashing as hs
 from quillforge.functions import text as tx
 from quillforge.operators import corpus as cp
+from quillforge.operators.linked import settled
 from quillforge.plans.registry import query
 from quillforge.tables import table
 
@@ -133,11 +134,11 @@ def q_duplicate_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT item_id % 8 AS part, count(*) AS n_texts, sha256(unhex(string_agg(lpad(hex(strlen(text)), 16, '0') || hex(encode(text)), '' ORDER BY encode(text)))) AS fingerprint
-FROM (SELECT DISTINCT item_id % 8 AS item_id, text FROM benchmark) GROUP BY 1"""
+    """SELECT item_id // 16 AS part, count(*) AS n_texts, sha256(unhex(string_agg(lpad(hex(strlen(text)), 16, '0') || hex(encode(text)), '' ORDER BY encode(text)))) AS fingerprint
+FROM (SELECT DISTINCT item_id // 16 * 16 AS item_id, text FROM benchmark) GROUP BY 1"""
 )
 def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 8).alias("part"), "text").distinct()
+    rows = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 16).alias("part"), "text").distinct()
     return rows.groupBy("part").agg(F.count("*").alias("n_texts"), F.collect_list("text").alias("t")).select("part", "n_texts", hs.set_fingerprint(F.col("t")).alias("fingerprint"))
 
 
@@ -171,20 +172,34 @@ def q_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.ngram_counts(table(spark, sf_dir, "benchmark"), "text", 3)
 
 
-@query(
-    f"""WITH {_NGRAMS}, c AS (SELECT len, context, token, count(*) AS n FROM n WHERE item_id % 2 = 0 GROUP BY ALL), t AS (SELECT len, context, sum(n) AS total FROM c GROUP BY ALL),
-p AS (SELECT x.item_id, x.i, x.len, t.total, coalesce(c.n, 0) AS n FROM n x JOIN t USING (len, context) LEFT JOIN c ON c.len = x.len AND c.context = x.context AND c.token = x.token WHERE x.item_id % 2 = 1),
+def _model_sql(order: int) -> str:
+    """A model of all documents scores every benchmark item (an alphabet of 200). Characters before one are looked up by window, so texts of any length take linear time."""
+    lags = ", ".join(f"lag(token, {k}, chr(1)) OVER w AS b{k}" for k in range(1, order))
+    contexts = ", ".join(f"{{'len': {n}, 'context': {' || '.join(f'b{k}' for k in range(n, 0, -1)) or repr('')}}}" for n in range(order))
+    grams = lambda key, rows: f"(SELECT {key}, i, token, unnest([{contexts}], recursive := true) FROM (SELECT {key}, i, token, {lags} FROM (SELECT {key}, unnest(c) AS token, generate_subscripts(c, 1) AS i FROM (SELECT {key}, string_split(text, '') AS c FROM {rows} WHERE text <> '')) WINDOW w AS (PARTITION BY {key} ORDER BY i)))"
+    return f"""WITH c AS (SELECT len, context, token, count(*) AS n FROM {grams('doc_id', 'documents')} GROUP BY ALL), x AS {grams('item_id', 'benchmark')}, t AS (SELECT len, context, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT x.item_id, x.i, x.len, t.total, coalesce(c.n, 0) AS n FROM x JOIN t USING (len, context) LEFT JOIN c ON c.len = x.len AND c.context = x.context AND c.token = x.token),
 best AS (SELECT item_id, i, arg_max(n, len) AS n, arg_max(total, len) AS total FROM p GROUP BY item_id, i)
 SELECT item_id, round(sum(ln((n + 0.1::DOUBLE) / (total + 0.1::DOUBLE * 200))), 4) AS log_prob, count(*) AS n_chars FROM best GROUP BY item_id"""
-)
-def q_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model of the even items scores the odd ones (an alphabet of 200)."""
-    items = table(spark, sf_dir, "benchmark")
-    counts = cp.ngram_counts(items.where("item_id % 2 = 0"), "text", 3)
-    got = cp.backoff_scores(items.where("item_id % 2 = 1"), "text", "item_id", counts, 3, 200)
+
+
+def _model_score(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    model = cp.packed_grams(_documents(spark, sf_dir), "text", order)
+    got = cp.model_scores(table(spark, sf_dir, "benchmark"), "text", "item_id", settled(model), order, 200)
     return got.select("item_id", F.round("log_prob", 4).alias("log_prob"), "n_chars")
 
 
+@query(_model_sql(3))
+def q_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model_score(spark, sf_dir, 3)
+
+
+@query(_model_sql(6))
+def q_ngram_score_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of up to five characters, which fall back to shorter ones."""
+    return _model_score(spark, sf_dir, 6)
+
+
 @query(
     """SELECT char, row_number() OVER (ORDER BY encode(char)) AS id FROM (SELECT DISTINCT unnest(string_split(nfc_normalize(text), '')) AS char FROM documents) WHERE char NOT IN ('', chr(10), chr(13))"""
 )

@@ -67,8 +67,8 @@ def q_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_rate_limit_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same units on seven servers that track five users at a time."""
-    rows = costs(spark, sf_dir).withColumn("server", F.col("key").cast("long") % 7)
+    """The same units on servers of ten users each that track five at a time."""
+    rows = costs(spark, sf_dir).withColumn("server", F.floor(F.col("key").cast("long") / 10))
     return limits.admit_bounded(rows, 3, 172_800.0, 5, "server")
 
 

@@ -1,6 +1,7 @@
 """The language model of all documents against plain Python and against the general operators."""
 
 import math
+import random
 import unicodedata
 from collections import Counter
 
@@ -69,3 +70,24 @@ def test_the_same_as_the_general_operators(spark):
     assert sorted(map(tuple, cp.corpus_ngram_counts(d, "text", 3).collect())) == sorted(map(tuple, counts.collect()))
     want = {r[0]: (round(r[1], 6), r[2]) for r in cp.backoff_scores(d, "text", "doc_id", counts, 3, 200).collect()}
     assert {r[0]: (round(r[1], 6), r[2]) for r in cp.corpus_scores(d, "text", "doc_id", 200).collect()} == want
+
+
+def test_models_of_one_to_six_characters(spark):
+    rng = random.Random(9)
+    words = lambda letters, n: ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 30))) for _ in range(n)]
+    corpus = spark.createDataFrame(list(enumerate([*words("ab é\U0001f600\n", 30), None, "x"])), "id long, text string")
+    other = spark.createDataFrame(list(enumerate([*words("abé中\U0001f600", 12), None, "", "zzz"])), "id long, text string")
+    for order in range(1, 7):
+        want = cp.ngram_counts(corpus, "text", order)
+        grams = cp.packed_grams(corpus, "text", order)
+        counted = lambda f: sorted((r["len"], r["context"], r["token"], r["n"]) for r in f.collect())
+        assert counted(cp.model_counts(grams, order)) == counted(want)
+        scored = lambda f: {r["id"]: (round(r["log_prob"], 8), r["n_chars"]) for r in f.collect()}
+        got = scored(cp.model_scores(other, "text", "id", grams, order, 50))
+        assert got == scored(cp.backoff_scores(other, "text", "id", want, order, 50)) and len(got) >= 10
+    empty = cp.packed_grams(corpus.where("false"), "text", 4)
+    got = cp.model_scores(other.where("id = 14"), "text", "id", empty, 4, 50).first()
+    assert abs(got["log_prob"] + 3 * math.log(50)) < 1e-9 and got["n_chars"] == 3
+    for bad in (0, 7):
+        with pytest.raises(ValueError):
+            cp.packed_grams(corpus, "text", bad)

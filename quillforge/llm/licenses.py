@@ -2,7 +2,8 @@
 
 The index is a table of postings and one of templates, carried in one row: for a word, the templates in whose
 key phrases it is one of the two rarest (those that fewest documents contain, the highest IDF), with its place in
-each. A file looks up those of its words that the index knows, rarest first; every place of a word
+each. A file looks up those of its words that the index knows, rarest first: a template whose rarest word it lacks is settled, however often it holds the
+other one. For the others every place of a word
 gives for each posting the offset at which that template would lie. Offsets on which both words of a template agree
 are left; there the key phrases must stand word for word, and the score is the IDF-weighted share
 of the template's words that stand in place, the best over all matches. The two words are words that
@@ -114,18 +115,19 @@ def words_of(text: Column) -> Column:
 def document_frequencies(docs: DataFrame, templates: Templates = TEMPLATES) -> tuple[int, dict[str, int]]:
     """Number of documents, and how many of them hold each template word (one row for each of those words)."""
     vocabulary = sorted({w for _, _, _, w, _ in template_words(templates)} | {w for p, _ in BASE for w in p.split()})
-    some = docs.select(words_of(F.col("text")).alias("words")).select(F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary))).alias("found"))
+    one = docs.sparkSession.createDataFrame([(vocabulary,)], "vocabulary array<string>")
+    some = docs.select(words_of(F.col("text")).alias("words")).join(F.broadcast(one), F.lit(True)).select(F.array_intersect("words", "vocabulary").alias("found"))
     rows = some.select(F.explode(F.concat("found", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     found = {r["word"]: r["n"] for r in rows}
     return found.pop("", 0), {w: found.get(w, 0) for w in vocabulary}
 
 
-POSTING = "struct<t:int,j:int>"
+POSTING = "struct<t:int,j:int,other:string>"
 TEMPLATE = "struct<label:string,base:boolean,needed:array<struct<j:int,w:string>>,words:array<struct<j:int,w:string,v:double>>>"
 
 
-def index(spark: SparkSession, templates: Templates, n: int, df: dict[str, int]) -> tuple[DataFrame, list[str]]:
-    """One row with the postings (word -> places, one anchor each way) and the templates, and the words that have postings.
+def index(spark: SparkSession, templates: Templates, n: int, df: dict[str, int]) -> DataFrame:
+    """One row with the postings (word -> places in templates, each with the template's other anchor), the words that have postings, rarest first, and the templates.
 
     Base phrases are templates without a score, with their rarest word as their only anchor.
     """
@@ -133,20 +135,21 @@ def index(spark: SparkSession, templates: Templates, n: int, df: dict[str, int])
     grouped: dict[int, list[tuple[int, str, bool]]] = {}
     for t, _, i, w, key in template_words(templates):
         grouped.setdefault(t, []).append((i, w, key))
-    postings: dict[str, list[tuple[int, int]]] = {}
+    postings: dict[str, list[tuple[int, int, str | None]]] = {}
     entries = []
     for t, rows in sorted(grouped.items()):
-        for j, w, _ in sorted((x for x in rows if x[2]), key=lambda x: (df[x[1]], x[0]))[:ANCHORS]:
-            postings.setdefault(w, []).append((t, j))
+        (i, one, _), (j, two, _) = sorted((x for x in rows if x[2]), key=lambda x: (df[x[1]], x[0]))[:ANCHORS]
+        postings.setdefault(one, []).append((t, i, two))
+        postings.setdefault(two, []).append((t, j, one))
         whole = sum(idf[w] for _, w, _ in rows)
         entries.append((templates[t][0], False, [(j, w) for j, w, key in rows if key], [(j, w, idf[w] / whole if whole > 0 else 0.0) for j, w, _ in rows]))
     for phrase, label in BASE:
         words = phrase.split()
         at = min((df[w], i) for i, w in enumerate(words))[1]
-        postings.setdefault(words[at], []).append((len(entries), at))
+        postings.setdefault(words[at], []).append((len(entries), at, None))
         entries.append((label, True, list(enumerate(words)), []))
-    kinds = f"postings map<string,array<{POSTING}>>, templates array<{TEMPLATE}>"
-    return spark.createDataFrame([(postings, entries)], kinds), sorted(postings, key=lambda w: (df[w], w))
+    kinds = f"postings map<string,array<{POSTING}>>, rarest array<string>, templates array<{TEMPLATE}>"
+    return spark.createDataFrame([(postings, sorted(postings, key=lambda w: (df[w], w)), entries)], kinds)
 
 
 def scan(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
@@ -158,20 +161,21 @@ def scan(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
     whose size is that of the templates.
     """
     n, df = document_frequencies(docs, templates)
-    one, known = index(docs.sparkSession, templates, n, df)
+    one = index(docs.sparkSession, templates, n, df)
     user = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in user)).alias("row"), words_of(F.col("text")).alias("words")).join(F.broadcast(one), F.lit(True))
     size = F.size("words")
     every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("hits", F.filter(every, lambda i: F.get("words", i).isin(known)))
-    # look up the file's words, rarest first: (template, offset) that each place would give
-    found = F.array_intersect(F.array(*map(F.lit, known)), F.transform("hits", lambda i: F.get("words", i)))
+    # the file's words that have postings, rarest first; a template whose rarer anchor the file lacks is settled by that
+    rows = rows.withColumn("found", F.array_intersect("rarest", "words"))
+    rows = rows.withColumn("hits", F.when(F.size("found") > 0, F.filter(every, lambda i: F.array_contains("found", F.get("words", i)))).otherwise(F.array().cast("array<int>")))
 
     def offsets(word: Column) -> Column:
+        open_ = F.filter(F.element_at("postings", word), lambda p: p["other"].isNull() | F.array_contains("found", p["other"]))
         places = F.filter("hits", lambda i: F.get("words", i) == word)
-        return F.flatten(F.transform(F.element_at("postings", word), lambda p: F.transform(places, lambda i: F.struct(p["t"].alias("t"), (i - p["j"]).alias("o"), p["j"].alias("j")))))
+        return F.flatten(F.transform(open_, lambda p: F.transform(places, lambda i: F.struct(p["t"].alias("t"), (i - p["j"]).alias("o"), p["j"].alias("j")))))
 
-    rows = rows.withColumn("asked", F.flatten(F.transform(found, offsets)))
+    rows = rows.withColumn("asked", F.flatten(F.transform("found", offsets)))
     # both anchors of a template agree on an offset: sorted, they are neighbours
     rows = rows.withColumn("sorted", F.array_sort("asked"))
     rows = rows.withColumn("agreed", F.filter("sorted", lambda c, k: _base_at(c["t"]) | ((F.get("sorted", k + 1)["t"] == c["t"]) & (F.get("sorted", k + 1)["o"] == c["o"]))))

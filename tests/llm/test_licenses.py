@@ -43,3 +43,19 @@ def test_awkward_rows(awkward, empty):
     assert [r["n_words"] for r in got] == words
     assert li.licenses_query(empty).count() == 0
     assert {"score", "shard", "size"} <= set(li.scan(awkward).columns)
+
+
+def test_any_number_of_templates_gives_one_plan(make):
+    import re
+
+    from tests.llm.conftest import rows
+
+    texts = [f"head t{i}a t{i}b common words t{i}c tail" for i in range(60)] + ["common words t3c", "t3a common", None, ""]
+    frame = make(rows(texts))
+    plans = []
+    for n in (2, 60):
+        templates = tuple((f"l{i}", f"t{i}a t{i}b common words t{i}c", (f"t{i}b common", f"t{i}c")) for i in range(n))
+        got = li.scan(frame, templates)
+        assert {r["doc_id"]: r["method_labels"] for r in got.collect()} == {k + 1: [f"l{k}"] if k < n else [] for k in range(len(texts))}
+        plans.append(re.sub(r"#\d+L?|\d+", "", got._jdf.queryExecution().optimizedPlan().toString()))
+    assert plans[0] == plans[1]

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillforge.functions import text as tx
 from quillforge.operators.linked import settled
@@ -36,35 +39,82 @@ def prepare(rows: DataFrame, script: str = tx.LAO, shortest: int = 8, longest: i
     return unique if limit is None else unique.orderBy("doc_id", "pos").limit(limit)
 
 
-def bounded_sample(rows: DataFrame, limit: int, per_document: int, max_documents: int | None = None) -> DataFrame:
-    """An ordered fold over (doc_id, pos, line): a text counts once, a document gives at most ``per_document``.
+#: Eligible lines of a range, about, the most ranges, and the ranges that are folded at a time.
+RANGE_LINES, RANGES, WAVE = 200_000, 1024, 16
 
-    A document that has reached its cap marks nothing more as seen, so later documents may still give those
-    texts; that makes the fold sequential. Eligible lines are filtered in parallel before; the fold keeps only hashes.
+
+def _digest(line: str) -> bytes:
+    return blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def bounded_sample(rows: DataFrame, limit: int, per_document: int, max_documents: int | None = None, range_lines: int = RANGE_LINES, wave: int = WAVE) -> DataFrame:
+    """An ordered fold over (doc_id, pos, line): a text counts once, a document gives at most ``per_document``, all give at most ``limit``.
+
+    A document that has reached its cap marks nothing more as seen, so later documents may still give those texts; that makes the fold
+    sequential. It is done by speculation: ranges of doc_id of about ``range_lines`` lines are folded apart, ``wave`` at a time, each as if the ranges
+    before it in the wave gave none of its texts. In order, a range stands if what it took wasn't taken by them; the first that doesn't stand begins the next
+    wave, which knows all that was taken. So the result is that of one fold, a task holds one range, and no range after the one that reaches the
+    limit, or the last document allowed, is read but for the rest of its wave. The driver holds 16 bytes for each line taken, at most ``limit``, and for those of a wave.
+    Rows without a doc_id or a line don't take part.
     """
-    ordered = rows.repartition(1).sortWithinPartitions("doc_id", "pos")
-    columns = rows.columns
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()
-        current, taken, documents, total = None, 0, 0, 0
-        for pdf in batches:
-            keep = []
-            for doc, line in zip(pdf["doc_id"], pdf["line"], strict=True):
+    spark, names, rows = rows.sparkSession, rows.columns, rows.where("doc_id is not null and line is not null")
+    n, low, knots = rows.agg(F.count("*"), F.min("doc_id"), F.percentile_approx("doc_id", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 10 * RANGES)).first()
+    if not n:
+        return rows.where("false")
+    step = max(1, math.ceil(RANGES * range_lines / n))
+    cuts = sorted(set(knots[step - 1 :: step]) - {low})
+    edges = [None, *cuts, None]  # range i: edges[i] <= doc_id < edges[i + 1]
+    kind = T.StructType([*rows.schema.fields, T.StructField("__range", T.IntegerType()), T.StructField("__nth", T.LongType()), T.StructField("__doc", T.LongType()), T.StructField("__line", T.BinaryType())])
+    seen: set[bytes] = set()
+    at, taken, documents, parts = 0, 0, 0, []
+    while at < len(edges) - 1 and taken < limit and (max_documents is None or documents < max_documents):
+        end = min(at + wave, len(edges) - 1)
+        mine = rows
+        if edges[at] is not None:
+            mine = mine.where(F.col("doc_id") >= edges[at])
+        if edges[end] is not None:
+            mine = mine.where(F.col("doc_id") < edges[end])
+        inner = [c for c in edges[at + 1 : end] if c is not None]
+        number = F.lit(at) + (F.size(F.filter(F.array(*map(F.lit, inner)), lambda c: c <= F.col("doc_id"))) if inner else F.lit(0))
+        known = spark.sparkContext.broadcast(frozenset(seen))
+
+        def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:  # runs before the next wave begins
+            pdf = pdf.sort_values(["doc_id", "pos"], kind="stable", ignore_index=True)
+            mine: set[bytes] = set()
+            current, got, docs, out = None, 0, 0, []
+            for i, (doc, line) in enumerate(zip(pdf["doc_id"], pdf["line"], strict=True)):
                 if doc != current:
-                    current, taken, documents = doc, 0, documents + 1
-                open_doc = taken < per_document and total < limit and (max_documents is None or documents <= max_documents)
-                fresh = open_doc and line not in seen
-                if fresh:
-                    seen.add(line)
-                    taken += 1
-                    total += 1
-                keep.append(fresh)
-            yield pdf[keep][columns]
-            if total >= limit:
-                return
-
-    return ordered.mapInPandas(fold, rows.schema)
+                    current, got, docs = doc, 0, docs + 1
+                if got < per_document and len(mine) < limit and (d := _digest(line)) not in mine and d not in known.value:
+                    mine.add(d)
+                    got += 1
+                    out.append((i, len(mine), docs, d))
+            # the last document of a range is told even where it gave nothing, for documents are counted too
+            kept = pdf.iloc[[i for i, *_ in out]].assign(__nth=[x for _, x, _, _ in out], __doc=[x for _, _, x, _ in out], __line=[x for *_, x in out])
+            last = pdf.iloc[[-1]].assign(__nth=0, __doc=docs, __line=None)
+            return pd.concat([kept, last], ignore_index=True) if len(kept) else last
+
+        found = settled(mine.withColumn("__range", number.cast("int")).groupBy("__range").applyInPandas(fold, kind))
+        marks: dict[int, list] = {}
+        for r in found.select("__range", "__nth", "__doc", "__line").collect():
+            marks.setdefault(r[0], []).append((r[1], r[2], bytes(r[3]) if r[3] is not None else None))
+        known.unpersist()
+        wave_taken: set[bytes] = set()
+        for i in range(at, end):
+            lines = {d for _, _, d in marks.get(i, ()) if d is not None}
+            if lines & wave_taken:
+                break
+            docs = max((doc for _, doc, _ in marks.get(i, ())), default=0)
+            most_docs = docs if max_documents is None else min(docs, max_documents - documents)
+            keep = sorted(nth for nth, doc, d in marks.get(i, ()) if d is not None and doc <= most_docs)[: limit - taken]
+            if keep:
+                parts.append(found.where((F.col("__range") == i) & F.col("__nth").between(1, keep[-1])).select(*names))
+            wave_taken |= lines
+            taken, documents, at = taken + len(keep), documents + docs, i + 1
+            if taken >= limit or (max_documents is not None and documents >= max_documents):
+                break
+        seen |= wave_taken
+    return reduce(DataFrame.unionByName, parts) if parts else rows.where("false")
 
 
 def characters(rows: DataFrame, text: str) -> DataFrame:

@@ -32,7 +32,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     size = now.count()
     for _ in range(rounds):
         was, before = now, size
-        now = settle(_small_star(_large_star(was)))
+        now = settle(_small_star(_large_star(was)), before)
         size = now.count()
         tidy(edges.sparkSession)
         if size == before and now.join(was, ["a", "b"], "left_anti").isEmpty():

@@ -40,7 +40,15 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read from the checkpoint folder from then on."""
+#: Rows to a file, about, where a result's size is known beforehand.
+FILE_ROWS = 200_000
+
+
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` computed once and read from the checkpoint folder from then on.
+
+    Where it has about ``rows`` rows, it is written to a file for each ``FILE_ROWS`` of them, not to one for each partition: the many small
+    results of a loop would else be thousands of files.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)

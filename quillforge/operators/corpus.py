@@ -25,17 +25,20 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select("*", F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
 
 
-def first_wins(rows: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each key in ``order``: an aggregate that combines on the map side, sorted by a hash of the key before the key itself."""
-    names = rows.columns
-    best = rows.groupBy(F.xxhash64(key).alias("__hash"), key.alias("__key")).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("__row"))
-    return best.select(*(F.col(f"__row.{c}").alias(c) for c in names))
+def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each value of the column ``key`` in ``order``: an aggregate that combines on the map side, sorted by a hash of the key before the key itself.
+
+    The key travels once, the other columns beside it.
+    """
+    others = [c for c in rows.columns if c != key]
+    best = rows.groupBy(F.xxhash64(key).alias("__hash"), F.col(key).alias("__key")).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__row"))
+    return best.select(*(F.col("__key").alias(c) if c == key else F.col(f"__row.{c}").alias(c) for c in rows.columns))
 
 
 def prepare(rows: DataFrame, script: str = tx.LAO, shortest: int = 8, longest: int = 180, least: float = 0.5, limit: int | None = None) -> DataFrame:
     """Normalized eligible lines, each text once (first wins by doc_id and pos); filters run before the dedup."""
     clean = rows.withColumn("line", tx.normalize_line(F.col("line"))).where(tx.eligible(F.col("line"), script, shortest, longest, least))
-    unique = first_wins(clean, F.col("line"), "doc_id", "pos")
+    unique = first_wins(clean, "line", "doc_id", "pos")
     return unique if limit is None else unique.orderBy("doc_id", "pos").limit(limit)
 
 

@@ -233,8 +233,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float |
     shards = cells.select("dim", "cell", F.ceil(F.col("n") / shard_rows).cast("long").alias("shards"))
     rows = placed.join(shards, ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
     wanted = settle(_by_cell(asked, pivots))
-    blocks = max(1, math.ceil(wanted.count() / query_rows))
-    left = rows.select("vec_id", "embedding", "dim", "cell", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     keys = ["dim", "cell", "shard", "block"]
 
     def search(key, data: pa.Table, asks: pa.Table) -> pa.Table:
@@ -249,8 +247,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float |
         return pa.table({"query_id": qids[row], "vec_id": who[row, col], "score": best[row, col]})
 
     def found(asks: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
-        right = asks.join(shards, ["dim", "cell"]).select("vec_id", "embedding", "bound", "dim", "cell", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+        """What ``asks`` find in their cells. A cell's rows are copied once for each block of ``query_rows`` that ask it, and not at all if none does."""
+        cell_blocks = settle(asks.groupBy("dim", "cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks")))
+        left = rows.join(cell_blocks, ["dim", "cell"]).select("vec_id", "embedding", "dim", "cell", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int").alias("block")
+        placed_asks = asks.join(shards, ["dim", "cell"]).join(cell_blocks, ["dim", "cell"])
+        right = placed_asks.select("vec_id", "embedding", "bound", "dim", "cell", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
 
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -258,7 +260,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float |
     first = settle(best(found(wanted.withColumn("bound", F.lit(float("inf"))))))
     kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     bounded = wanted.join(kth, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    more = found(_others(bounded, pivots, radius, factor))
+    more = found(settle(_others(bounded, pivots, radius, factor)))
     return best(first.drop("rank").unionByName(more)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

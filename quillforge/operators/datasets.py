@@ -44,13 +44,34 @@ def duplicates(samples: DataFrame) -> DataFrame:
 
 
 def axis_counts(samples: DataFrame) -> DataFrame:
-    """Rows for each value of split, subset, status and tag, from one scan."""
+    """Rows for each value of split, subset, status and tag, and of license and language where ``samples`` has them, from one scan."""
     one = lambda kind, value: F.struct(F.lit(kind).alias("axis"), F.coalesce(value.cast("string"), F.lit("unknown")).alias("value"))
-    singles = F.array(*(one(k, F.col(k)) for k in ("split", "subset", "status")))
+    singles = F.array(*(one(k, F.col(k)) for k in ("split", "subset", "status", "license", "language") if k in samples.columns))
     every = F.concat(singles, F.transform("tags", lambda t: one("tag", t)))
     return samples.select(F.explode(every).alias("a")).groupBy("a.axis", "a.value").agg(F.count("*").alias("n"))
 
 
+def report_totals(samples: DataFrame, required: list[str]) -> DataFrame:
+    """One row: samples and documents, reviews by outcome and the share approved, layouts and their share, captures per document, documents
+    by split (that of a document's first sample), and which of the ``required`` subsets have no sample.
+
+    ``samples``: id, document_id, split, subset, status and has_layout. Samples are counted per document first. Without samples the counts are 0 and the shares null.
+    """
+    has = F.coalesce(F.col("has_layout"), F.lit(False))
+    status = lambda s: F.count_if(F.col("status") == s)
+    each = samples.groupBy("document_id").agg(F.count("*").alias("captures"), F.min_by("split", "id").alias("split"), status("approved").alias("a"), status("rejected").alias("r"), status("unreviewed").alias("u"), F.count_if(has).alias("l"), F.collect_set("subset").alias("subsets"))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    n = whole("captures")
+    splits = {f"{s}_documents": F.count_if(F.col("split") == s) for s in ("train", "development", "test")}
+    there = F.array_distinct(F.flatten(F.collect_set("subsets")))
+    return each.agg(
+        n.alias("samples"), F.count("*").alias("documents"), whole("a").alias("approved"), whole("r").alias("rejected"), whole("u").alias("unreviewed"), F.try_divide(whole("a"), n).alias("approved_ratio"),
+        whole("l").alias("layout_samples"), F.count_if(F.col("l") > 0).alias("layout_documents"), F.try_divide(whole("l"), n).alias("layout_ratio"),
+        F.min("captures").alias("captures_min"), F.max("captures").alias("captures_max"), F.avg("captures").alias("captures_mean"), *(c.alias(k) for k, c in splits.items()),
+        F.array_sort(F.array_except(F.array(*map(F.lit, required)), there)).alias("missing_subsets"),
+    )
+
+
 def coverage_matrix(samples: DataFrame, splits: list[str]) -> DataFrame:
     return samples.groupBy("subset").pivot("split", splits).agg(F.count(F.lit(1))).na.fill(0)
 

@@ -167,6 +167,35 @@ def q_dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dt.axis_counts(samples(spark, sf_dir))
 
 
+def _with_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples whose text says how it is licensed, with the language of their subset; long ones have a layout."""
+    rows = samples(spark, sf_dir)
+    license_ = F.when(F.contains(F.lower("text"), F.lit("licen")), "stated").otherwise("none")
+    return rows.withColumns({"license": F.coalesce(license_, F.lit("none")), "language": F.col("subset"), "has_layout": F.array_contains("tags", "long")})
+
+
+@query(
+    f"""WITH {_SAMPLES} SELECT axis, value, count(*) AS n FROM (SELECT 'split' AS axis, split AS value FROM s UNION ALL SELECT 'subset', subset FROM s UNION ALL SELECT 'status', status FROM s UNION ALL SELECT 'language', subset FROM s
+UNION ALL SELECT 'license', CASE WHEN contains(lower(text), 'licen') THEN 'stated' ELSE 'none' END FROM s UNION ALL SELECT 'tag', unnest(tags) FROM s) GROUP BY axis, value"""
+)
+def q_dataset_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's counts by licence and language too."""
+    return dt.axis_counts(_with_layout(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_SAMPLES}, d AS (SELECT document_id, count(*) AS captures, arg_min(split, id) AS split, count(*) FILTER (WHERE list_contains(tags, 'long')) AS l FROM s GROUP BY document_id)
+SELECT (SELECT count(*) FROM s) AS samples, count(*) AS documents, (SELECT count(*) FROM s WHERE status = 'approved') AS approved, (SELECT count(*) FROM s WHERE status = 'rejected') AS rejected, (SELECT count(*) FROM s WHERE status = 'unreviewed') AS unreviewed,
+round((SELECT count(*) FROM s WHERE status = 'approved') / (SELECT count(*) FROM s)::DOUBLE, 6) AS approved_ratio, sum(l)::BIGINT AS layout_samples, count(*) FILTER (WHERE l > 0) AS layout_documents, round(sum(l) / (SELECT count(*) FROM s)::DOUBLE, 6) AS layout_ratio,
+min(captures) AS captures_min, max(captures) AS captures_max, round(avg(captures), 6) AS captures_mean, count(*) FILTER (WHERE split = 'train') AS train_documents, count(*) FILTER (WHERE split = 'development') AS development_documents, count(*) FILTER (WHERE split = 'test') AS test_documents,
+(SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT unnest(['de', 'en', 'lo', 'th']) AS v) WHERE v NOT IN (SELECT subset FROM s WHERE subset IS NOT NULL)) AS missing_subsets FROM d"""
+)
+def q_dataset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = dt.report_totals(_with_layout(spark, sf_dir), ["de", "en", "lo", "th"])
+    ratios = {c: F.round(c, 6) for c in ("approved_ratio", "layout_ratio", "captures_mean")}
+    return got.withColumns({**ratios, "missing_subsets": F.array_join("missing_subsets", ",")})
+
+
 @query(f"WITH {_SAMPLES} SELECT subset, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'development') AS development, count(*) FILTER (WHERE split = 'test') AS test FROM s GROUP BY subset")
 def q_coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dt.coverage_matrix(samples(spark, sf_dir), ["train", "development", "test"])

@@ -384,14 +384,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     signed = settle(signatures(base, shingle))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     # rows of one set are many where copies are: they are counted in salted parts, and told their class part by part
-    salts = max(1, math.isqrt(signed.count()))
+    size = signed.count()
+    salts = max(1, math.isqrt(size))
     salt = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(salts)).alias("salt")
-    some = settle(usable.groupBy("s1", "s2", salt).agg(F.min("doc_id").alias("least")))
+    some = settle(usable.groupBy("s1", "s2", salt).agg(F.min("doc_id").alias("least")), size)
     groups = some.groupBy("s1", "s2").agg(F.min("least").alias("node"))
     firsts = groups.select(F.col("s1").alias("g1"), F.col("s2").alias("g2"), "node")
     same = (F.col("doc_id") == F.col("node")) & (F.col("s1") == F.col("g1")) & (F.col("s2") == F.col("g2"))
     classes = usable.join(firsts, same, "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "registers")
-    classes = settle(classes.dropDuplicates(["node"]))
+    classes = settle(classes.dropDuplicates(["node"]), size)
     tidy(spark)
     buckets = band_keys(classes)
     members = settle(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"))
@@ -406,12 +407,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     tidy(spark)
     links = settle(_verified(likely, texts, shingle, percent).unionByName(twins))
     tidy(spark)
-    label = settle(components(links))
+    label = settle(components(links), links.count())
     tidy(spark)
     more = settle(_across(members, label, classes, texts, shingle, percent))
     tidy(spark)
     if not more.isEmpty():
-        label = settle(components(links.unionByName(more)))
+        label = settle(components(links.unionByName(more)), links.count() + more.count())
     named = groups.join(label, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
     told = some.select("s1", "s2", "salt").join(named, ["s1", "s2"])
     rows = usable.select("doc_id", "n_shingles", "s1", "s2", salt).join(told, ["s1", "s2", "salt"]).select("doc_id", "n_shingles", "component_id")

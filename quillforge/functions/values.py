@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillforge.functions.draws import first_draws
 from quillforge.functions.text import LAO
 
 # --- shards ---------------------------------------------------------------------------------------------------------------
@@ -139,17 +140,20 @@ DRAW = "angle double, brightness double, contrast double, blur double, noise_std
 def seeded_draws(samples: DataFrame) -> DataFrame:
     """``samples`` (seed, and the limits of ``PROFILE_FIELDS``) with the first five parameters that numpy's generator draws for the seed.
 
-    That generator has no counterpart in SQL, so rows pass through a pandas function in batches.
+    The generators of a whole batch are run side by side (``draws.first_draws``). A seed that is null or below 0 has no draws.
     """
 
     @F.pandas_udf(DRAW)
     def draw(seed: pd.Series, rotation: pd.Series, brightness: pd.Series, contrast: pd.Series, blur: pd.Series, noise: pd.Series) -> pd.DataFrame:
-        u = np.array([np.random.default_rng(int(s)).random(5) for s in seed]).reshape(len(seed), 5)
+        good = (seed.notna() & (seed >= 0)).to_numpy()
+        u = np.full((len(seed), 5), np.nan)
+        u[good] = first_draws(seed[good].to_numpy(np.uint64), 5)
         low = np.stack([-rotation, 1 - brightness, 1 - contrast, 0 * blur, 0 * noise], 1)
         high = np.stack([rotation, 1 + brightness, 1 + contrast, blur, noise], 1)
         return pd.DataFrame(low + (high - low) * u, columns=[c.split()[0] for c in DRAW.split(", ")])
 
-    return samples.withColumn("draw", draw("seed", "max_rotation_degrees", "brightness_jitter", "contrast_jitter", "blur_radius", "noise_std"))
+    usable = F.col("seed").isNotNull() & (F.col("seed") >= 0)
+    return samples.withColumn("draw", draw("seed", "max_rotation_degrees", "brightness_jitter", "contrast_jitter", "blur_radius", "noise_std")).withColumn("draw", F.when(usable, F.col("draw")))
 
 
 # --- the service ------------------------------------------------------------------------------------------------------------

@@ -197,3 +197,13 @@ def q_cleanup_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = events.select(F.col("user_id").cast("string").alias("manager"), F.col("event_id").cast("string").alias("job_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ended_at"))
     acts = cl.cleanup(ended, last + 86400, _stage_succeeds, retention=3600, delay=60)
     return acts.select("manager", "job_id", "act", "failures", "artifact", "workspace", F.col("at").cast("long").alias("at"), F.col("retry_at").cast("long").alias("retry_at"))
+
+
+@query()
+def q_cleanup_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's cleanup an hour and two minutes after the last event, when its latest jobs have just expired and some still wait."""
+    events = table(spark, sf_dir, "events")
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    last = events.agg(F.max(ts).alias("t")).first()["t"] or 0.0
+    ended = events.select(F.col("user_id").cast("string").alias("manager"), F.col("event_id").cast("string").alias("job_id"), ts.alias("ended_at"))
+    return cl.figures(cl.cleanup(ended, last + 3720, _stage_succeeds, retention=3600, delay=60))

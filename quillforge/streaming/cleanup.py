@@ -171,3 +171,17 @@ def cleanup_stream(ended: DataFrame, outcome: Outcome, retention: float = 3600,
     """
     rows = ended.where("job_id is not null and ended is not null").select("manager", "job_id", "ended", (F.unix_micros("ended") / 1e6).alias("ended_at"))
     return rows.withWatermark("ended", late).groupBy("manager").transformWithStateInPandas(Cleaner(outcome, retention, delay), ACTS, "append", "EventTime")
+
+
+def figures(acts: DataFrame) -> DataFrame:
+    """What a manager reports about its cleanup after ``acts``: expired jobs, jobs and artifacts that still wait, tries and failed tries.
+
+    The last act of a job says what is left of it; in one pass a job expires before it is tried.
+    """
+    last = F.max_by(F.struct("act", "artifact"), F.struct("at", F.col("act") != "expired"))
+    tried, failed = F.count_if(F.col("act") != "expired"), F.count_if(F.col("act") == "retry")
+    jobs = acts.groupBy("manager", "job_id").agg(last.alias("last"), tried.alias("tried"), failed.alias("failed"))
+    waits = F.col("last.act") != "cleaned"
+    return jobs.groupBy("manager").agg(
+        F.count("*").alias("expired"), F.count_if(waits).alias("pending_jobs"), F.count_if(waits & F.col("last.artifact")).alias("pending_artifacts"), F.sum("tried").alias("attempts"), F.sum("failed").alias("failures")
+    )

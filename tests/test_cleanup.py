@@ -61,6 +61,15 @@ def test_table_form(spark):
     assert collected(cl.cleanup(frame, 3000, outcome, 300, 60).collect()) == want
     assert {"expired", "retry", "cleaned"} == {w[3] for w in want} and max(sum(w[1] == t and w[3] != "expired" and w[0] == "a" for w in want) for t in range(0, 3001, 60)) == 8
     assert cl.cleanup(frame.where("false"), 3000, outcome).count() == 0
+    early = [w for w in want if w[1] <= 780]  # some have failed by then, some haven't been tried
+    last = {}
+    for w in sorted(early, key=lambda w: (w[1], w[3] != "expired")):
+        last[w[0], w[2]] = w
+    count = lambda m, rule: sum(rule(w) for (k, _), w in last.items() if k == m)
+    tries = lambda m, acts: sum(w[0] == m and w[3] in acts for w in early)
+    waits = lambda w: w[3] != "cleaned"
+    plain_figures = {(m, count(m, lambda w: True), count(m, waits), count(m, lambda w: waits(w) and w[5]), tries(m, ("retry", "cleaned")), tries(m, ("retry",))) for m in {w[0] for w in early}}
+    assert {tuple(r) for r in cl.figures(cl.cleanup(frame, 780, outcome, 300, 60)).collect()} == plain_figures and any(0 < f[3] < f[2] for f in plain_figures)
 
 
 @pytest.mark.parametrize("cuts", [(0, 10_000), (0, 200, 420, 421, 800, 2000, 10_000)])

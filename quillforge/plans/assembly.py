@@ -98,7 +98,7 @@ def q_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page", "place", "source", "type", "level", "x", "y", "w", "h", F.sha2("text", 256).alias("text_sha256"))
 
 
-_EDGES = "SELECT floor(conv_id / 5) AS document, conv_id AS page, 1000 AS page_height, turn AS ord, CASE WHEN turn % 9 = 4 THEN 'table' ELSE 'paragraph' END AS type, CASE WHEN turn % 3 = 0 THEN role || ' ' ELSE text END AS text, CAST(turn * 137 % 1000 AS INT) AS y, 30 AS h FROM {conversations} WHERE text IS NOT NULL"
+_EDGES = "SELECT CAST(floor(conv_id / 5) AS BIGINT) AS document, conv_id AS page, 1000 AS page_height, turn AS ord, CASE WHEN turn % 9 = 4 THEN 'table' ELSE 'paragraph' END AS type, CASE WHEN turn % 3 = 0 THEN role || ' ' ELSE text END AS text, CAST(turn * 137 % 1000 AS INT) AS y, 30 AS h FROM {conversations} WHERE text IS NOT NULL"
 _MARKED = rf"""b AS (SELECT *, CASE WHEN type = 'table' THEN '' ELSE {_FLAT.format('text')} END AS plain, y <= 1000 * 0.12 AS t, y + h >= 1000 * (1 - 0.12) AS f FROM {duck(_EDGES)}), n AS (SELECT document, count(DISTINCT page) AS pages FROM b GROUP BY document),
 c AS (SELECT document, plain, count(DISTINCT page) FILTER (WHERE t) AS tops, count(DISTINCT page) FILTER (WHERE f) AS feet FROM b WHERE plain <> '' GROUP BY document, plain),
 r AS (SELECT b.*, CASE WHEN plain <> '' AND t AND tops >= greatest(2, floor(pages * 0.3 + 0.999999)) THEN 'header' WHEN plain <> '' AND f AND feet >= greatest(2, floor(pages * 0.3 + 0.999999)) THEN 'footer' END AS role FROM b JOIN n USING (document) LEFT JOIN c USING (document, plain))"""
